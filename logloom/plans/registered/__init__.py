@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-GROUPS = ["series"]
+GROUPS = ["series", "logs", "ingest"]
 
 
 def _merged(attr: str) -> dict:
