@@ -13,7 +13,7 @@ from logloom.operators import sinks
 from logloom.schemas import DAY_MS
 from logloom.session import scratch_path
 from logloom.sources import testdata as td
-from logloom.sources.files import read_logs, read_metrics
+from logloom.sources.files import read_logs, read_metrics, spread
 from logloom.sources.lines import parse_payloads
 from logloom.sources.otlp import otlp_json_to_metrics
 from logloom.sources.prometheus import prom_text_to_metrics
@@ -81,7 +81,7 @@ def _duck(text: str) -> str:
 
 
 def _payloads(spark, sf_dir, text: str):
-    return td.events(spark, sf_dir).select("service", "host", F.expr(_spark(text)).alias("payload"),
+    return spread(td.events(spark, sf_dir)).select("service", "host", F.expr(_spark(text)).alias("payload"),
                                            (F.col("timestamp") + 5000).alias("received_at"))
 
 

@@ -27,6 +27,15 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{METRICS.simpleString()[7:-1].replace(':', ' ')}, dt date").parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out when the input has fewer partitions than the cluster has cores.
+
+    Parsing is heavy per byte read; a large input already has enough partitions and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_payload_files(spark: SparkSession, path: str, received_at: int | None = None, column: str = "payload") -> DataFrame:
     """Payload files laid out as ``.../<service>/<host>/<file>``, one payload per file.
 

@@ -15,10 +15,10 @@ from logloom.schemas import COUNTER, GAUGE, SAMPLE_COLUMNS
 
 # The exposition format.
 _NAME = r"[a-zA-Z_:][a-zA-Z0-9_:]*"
-SAMPLE = rf"^({_NAME})\s*(\{{.*\}})?\s*(?<=[\s}}])(\S+)(?:\s+(-?\d+))?$"
+_NUMBER = r"[+-]?(?:[Ii][Nn][Ff](?:inity)?|[Nn][Aa][Nn]|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+SAMPLE = rf"^({_NAME})\s*(\{{.*\}})?\s*(?<=[\s}}])({_NUMBER})(?:\s+(-?\d+))?$"
 TYPE = rf"^#\s+TYPE\s+({_NAME})\s+(\w+)$"
 LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"((?:[^"\\]|\\.)*)"'
-NUMBER = r"(?i)^[+-]?(inf|infinity|nan|(\d+\.?\d*|\.\d+)(e[+-]?\d+)?)$"
 
 
 def _unescape(text: Column) -> Column:
@@ -34,50 +34,56 @@ def _label_entries(block: Column) -> Column:
     return F.zip_with(keys, vals, lambda k, v: F.struct(k.alias("key"), _unescape(v).alias("value")))
 
 
-def _readable(line: Column) -> Column:
-    return line.startswith("#") | (line.rlike(SAMPLE) & F.regexp_extract(line, SAMPLE, 3).rlike(NUMBER))
+def _family_of(name: Column) -> Column:
+    return F.regexp_replace(name, "_(sum|count|bucket)$", "")
 
 
-def with_lines(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_lines`` (trimmed, not blank) and ``_types`` (family name to type) of each scrape."""
+def _scrapes(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``_lines`` (trimmed, not blank), the declared ``_names`` with their ``_kinds``, and ``_valid``."""
     trimmed = F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r")))
     df = df.withColumn("_lines", F.filter(trimmed, lambda x: x != ""))
-    typed = F.filter("_lines", lambda x: x.rlike(TYPE))
-    names = F.transform(typed, lambda x: F.regexp_extract(x, TYPE, 1))
-    kinds = F.transform(typed, lambda x: F.lower(F.regexp_extract(x, TYPE, 2)))
-    return df.withColumn("_names", names).withColumn("_kinds", kinds)
+    df = df.withColumn("_typed", F.filter("_lines", lambda x: x.startswith("#") & x.rlike(TYPE)))
+    df = df.withColumn("_names", F.transform("_typed", lambda x: F.regexp_extract(x, TYPE, 1)))
+    df = df.withColumn("_kinds", F.transform("_typed", lambda x: F.lower(F.regexp_extract(x, TYPE, 2))))
+    readable = F.forall("_lines", lambda x: x.startswith("#") | x.rlike(SAMPLE))
+    return df.withColumn("_valid", readable & (F.size(F.array_distinct("_names")) == F.size("_names")))
 
 
 def rejected(df: DataFrame, text: str = "text") -> DataFrame:
     """The scrapes whose text can't be read."""
-    bad = ~F.forall("_lines", _readable) | (F.size(F.array_distinct("_names")) < F.size("_names"))
-    return with_lines(df, text).filter(bad).drop("_lines", "_names", "_kinds")
+    return _scrapes(df, text).filter(~F.col("_valid")).drop("_lines", "_typed", "_names", "_kinds", "_valid")
+
+
+def _kind_of(name: Column) -> Column:
+    return F.get("_kinds", F.array_position("_names", name).cast("int") - 1)
+
+
+def _kept(s: Column) -> Column:
+    """Quantiles and buckets of a distribution go; its running sum and count stay."""
+    spread = ["histogram", "summary"]
+    return ~(F.coalesce(s["own"].isin(*spread), F.lit(False))
+             | (s["name"].endswith("_bucket") & F.coalesce(s["family"].isin(*spread), F.lit(False))))
 
 
 def prom_text_to_metrics(df: DataFrame, text: str = "text", service: str = "service", host: str = "host",
                          scraped_at: str = "ts", keep: tuple[str, ...] = ()) -> DataFrame:
     """Scrape rows to samples (no ``id`` yet). A sample's own time counts unless it is 0; times are not clamped."""
-    got = with_lines(df.select(text, service, host, scraped_at, *keep), text)
-    got = got.filter(F.forall("_lines", _readable) & (F.size(F.array_distinct("_names")) == F.size("_names")))
-    s = (got.withColumn("_line", F.explode(F.filter("_lines", lambda x: ~x.startswith("#"))))
-         .withColumn("name", F.regexp_extract("_line", SAMPLE, 1)))
-
-    def kind_of(name: Column) -> Column:
-        return F.get("_kinds", F.array_position("_names", name).cast("int") - 1)
-
-    base = F.regexp_replace("name", "_(sum|count|bucket)$", "")
-    s = (s.withColumn("_own", kind_of(F.col("name")))
-         .withColumn("_family", F.when(base != F.col("name"), kind_of(base))))
-    distribution = F.col("_family").isin("histogram", "summary")
-    # quantiles and buckets are dropped; the running sum and count of a distribution are counters
-    dropped = F.col("_own").isin("histogram", "summary") | (distribution & F.col("name").endswith("_bucket"))
-    type_ = F.when(F.col("_own").isNull() & distribution, COUNTER).when(F.col("_own") == "counter", COUNTER).otherwise(GAUGE)
-    own_ms = F.nullif(F.regexp_extract("_line", SAMPLE, 4), F.lit("")).try_cast("bigint")
-    out = (s.filter(~F.coalesce(dropped, F.lit(False)))
-           .withColumn("type", type_.cast("int"))
-           .withColumn("value", F.regexp_extract("_line", SAMPLE, 3).try_cast("double"))
+    got = _scrapes(df.select(text, service, host, scraped_at, *keep), text)
+    # the lines that aren't samples leave inside the array, so no filter repeats the parsing below it
+    named = F.transform(
+        F.filter("_lines", lambda x: F.col("_valid") & ~x.startswith("#")),
+        lambda x: F.struct(x.alias("line"), F.regexp_extract(x, SAMPLE, 1).alias("name")))
+    kinds = F.transform(named, lambda t: F.struct(
+        t["line"].alias("line"), t["name"].alias("name"), _kind_of(t["name"]).alias("own"),
+        F.when(t["name"].rlike("_(sum|count|bucket)$"), _kind_of(_family_of(t["name"]))).alias("family")))
+    s = got.select("*", F.explode(F.filter(kinds, _kept)).alias("_s"))
+    counter = (F.col("_s.own") == "counter") | (F.col("_s.own").isNull() & F.col("_s.family").isin("histogram", "summary"))
+    own_ms = F.nullif(F.regexp_extract("_s.line", SAMPLE, 4), F.lit("")).try_cast("bigint")
+    out = (s.withColumn("name", F.col("_s.name"))
+           .withColumn("type", F.when(counter, COUNTER).otherwise(GAUGE).cast("int"))
+           .withColumn("value", F.regexp_extract("_s.line", SAMPLE, 3).try_cast("double"))
            .withColumn("timestamp", F.coalesce(F.nullif(own_ms, F.lit(0).cast("long")), F.col(scraped_at).cast("long")))
-           .withColumn("_entries", _label_entries(F.regexp_extract("_line", SAMPLE, 2)))
+           .withColumn("_entries", _label_entries(F.regexp_extract("_s.line", SAMPLE, 2)))
            .withColumn("labels", V.sorted_labels("_entries"))
            .withColumn("service", F.col(service)).withColumn("host", F.col(host)))
     return out.select(*SAMPLE_COLUMNS, event_date("timestamp").alias("dt"), *keep)
