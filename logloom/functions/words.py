@@ -58,14 +58,14 @@ def _ends_cvc(stem: str) -> bool:
 
 def _replace(word: str, rules: list[tuple[str, str]], above: int) -> str:
     for suffix, new in sorted(rules, key=lambda r: -len(r[0])):
-        if word.endswith(suffix):
+        if word.endswith(suffix) and len(word) > len(suffix):
             stem = word[:-len(suffix)]
-            return stem + new if stem and _measure(stem) > above else word
+            return stem + new if _measure(stem) > above else word
     return word
 
 
 def _past_and_progressive(word: str) -> str:
-    if word.endswith("eed"):
+    if word.endswith("eed") and len(word) > 3:
         return word[:-1] if _measure(word[:-3]) > 0 else word
     for suffix in ("ed", "ing"):
         stem = word[:-len(suffix)]
@@ -92,7 +92,7 @@ def porter(word: str) -> str:
     word = _replace(word, _STEP2, 0)
     word = _replace(word, _STEP3, 0)
     for suffix in sorted(_STEP4, key=len, reverse=True):
-        if word.endswith(suffix):
+        if word.endswith(suffix) and len(word) > len(suffix):
             stem = word[:-len(suffix)]
             if _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t"))):
                 word = stem
