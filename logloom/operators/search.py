@@ -60,6 +60,13 @@ class Not:
     drop: object
 
 
+@dataclass(frozen=True)
+class Where:
+    """A predicate on the row itself, for scans that combine it with a search."""
+
+    pred: Column
+
+
 def phrase(text: str, prefix: bool = False, first: bool = False) -> Phrase:
     """One or more words as written; they are folded and stemmed, also before a prefix search."""
     found = tuple(W.term(w) for w in regex.findall(W.WORD, text))
@@ -124,6 +131,8 @@ Atom = tuple[str, bool]
 def _phrases(spec) -> list[Phrase]:
     if isinstance(spec, Phrase):
         return [spec]
+    if isinstance(spec, Where):
+        return []
     parts = spec.phrases if isinstance(spec, Near) else (spec.keep, spec.drop) if isinstance(spec, Not) else spec.parts
     return [p for part in parts for p in _phrases(part)]
 
@@ -139,8 +148,8 @@ def _atoms(spec) -> list[Atom]:
 def _needs_positions(spec) -> bool:
     if isinstance(spec, Phrase):
         return len(spec.terms) > 1 or spec.first
-    if isinstance(spec, Near):
-        return True
+    if isinstance(spec, (Near, Where)):
+        return isinstance(spec, Near)
     return any(_needs_positions(p) for p in ((spec.keep, spec.drop) if isinstance(spec, Not) else spec.parts))
 
 
@@ -189,6 +198,8 @@ def _holds(spec, at: dict[Atom, Column], positions: bool) -> Column:
         return F.size(_starts(spec, at)) > 0 if positions else at[spec.terms[0], spec.prefix]
     if isinstance(spec, Near):
         return _near(spec, at)
+    if isinstance(spec, Where):
+        return F.coalesce(spec.pred, F.lit(False))
     if isinstance(spec, Not):
         return _holds(spec.keep, at, positions) & ~_holds(spec.drop, at, positions)
     parts = [_holds(p, at, positions) for p in spec.parts]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-GROUPS = ["series", "logs", "ingest", "search"]
+GROUPS = ["series", "logs", "ingest", "search", "ops"]
 
 
 def _merged(attr: str) -> dict:
