@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-GROUPS = ["series", "logs", "ingest", "search", "ops"]
+GROUPS = ["series", "logs", "ingest", "search", "ops", "sql"]
 
 
 def _merged(attr: str) -> dict:
@@ -25,3 +25,8 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return _merged("ORACLE")
+
+
+def headline() -> list[str]:
+    """The queries the benchmark times."""
+    return [n for g in GROUPS for n in importlib.import_module(f"{__name__}.{g}").HEADLINE]
