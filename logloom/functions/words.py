@@ -35,17 +35,23 @@ _STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "men
 _MIN_BYTES, _MAX_BYTES = 3, 64
 
 
+_KIND = {ord(ch): "v" if ch in "aeiou" else "y" if ch == "y" else "c" for ch in map(chr, range(128))}
+_SYLLABLE = re.compile("v+c+")
+
+
 def _shape(word: str) -> str:
     """The word as ``v`` and ``c``: y is a vowel after a consonant."""
+    kinds = word.translate(_KIND) if word.isascii() else "".join(_KIND.get(ord(ch), "c") for ch in word)
+    if "y" not in kinds:
+        return kinds
     out = []
-    for i, ch in enumerate(word):
-        vowel = ch in "aeiou" or (ch == "y" and i > 0 and out[-1] == "c")
-        out.append("v" if vowel else "c")
+    for kind in kinds:
+        out.append(kind if kind != "y" else "v" if out and out[-1] == "c" else "c")
     return "".join(out)
 
 
 def _measure(stem: str) -> int:
-    return len(re.findall("v+c+", _shape(stem)))
+    return len(_SYLLABLE.findall(_shape(stem)))
 
 
 def _has_vowel(stem: str) -> bool:
@@ -56,11 +62,27 @@ def _ends_cvc(stem: str) -> bool:
     return _shape(stem).endswith("cvc") and stem[-1] not in "wxy"
 
 
-def _replace(word: str, rules: list[tuple[str, str]], above: int) -> str:
-    for suffix, new in sorted(rules, key=lambda r: -len(r[0])):
-        if word.endswith(suffix) and len(word) > len(suffix):
-            stem = word[:-len(suffix)]
-            return stem + new if _measure(stem) > above else word
+def _longest_first(suffixes) -> tuple[str, ...]:
+    return tuple(sorted(suffixes, key=len, reverse=True))
+
+
+_NEW2, _NEW3 = dict(_STEP2), dict(_STEP3)
+_ENDS2, _ENDS3, _ENDS4 = _longest_first(_NEW2), _longest_first(_NEW3), _longest_first(_STEP4)
+
+
+def _ending(word: str, ends: tuple[str, ...]) -> str:
+    """The longest of the endings the word has more than, or nothing."""
+    if word.endswith(ends):
+        for suffix in ends:
+            if word.endswith(suffix) and len(word) > len(suffix):
+                return suffix
+    return ""
+
+
+def _replace(word: str, ends: tuple[str, ...], new: dict[str, str]) -> str:
+    suffix = _ending(word, ends)
+    if suffix and _measure(word[:-len(suffix)]) > 0:
+        return word[:-len(suffix)] + new[suffix]
     return word
 
 
@@ -89,14 +111,13 @@ def porter(word: str) -> str:
     word = _past_and_progressive(word)
     if word.endswith("y") and _has_vowel(word[:-1]):
         word = word[:-1] + "i"
-    word = _replace(word, _STEP2, 0)
-    word = _replace(word, _STEP3, 0)
-    for suffix in sorted(_STEP4, key=len, reverse=True):
-        if word.endswith(suffix) and len(word) > len(suffix):
-            stem = word[:-len(suffix)]
-            if _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t"))):
-                word = stem
-            break
+    word = _replace(word, _ENDS2, _NEW2)
+    word = _replace(word, _ENDS3, _NEW3)
+    suffix = _ending(word, _ENDS4)
+    if suffix:
+        stem = word[:-len(suffix)]
+        if _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t"))):
+            word = stem
     if word.endswith("e"):
         m = _measure(word[:-1])
         if m > 1 or (m == 1 and not _ends_cvc(word[:-1])):
@@ -106,21 +127,28 @@ def porter(word: str) -> str:
     return word
 
 
+class _Folding(dict):
+    """Character to its folded form, worked out when first met."""
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        if ch in _MARKS:
+            ch = ""
+        else:
+            ch = next((form for form in (ch.casefold(), ch.lower()) if len(form) == 1), ch)
+            parts = unicodedata.normalize("NFD", ch)
+            if len(parts) == 2 and parts[0].isascii():
+                ch = parts[0]
+        self[code] = ch
+        return ch
+
+
+_FOLDING = _Folding()
+
+
 def fold(word: str) -> str:
     """Lower case without combining marks; an accented Latin letter becomes its base letter."""
-    if word.isascii():
-        return word.lower()
-    out = []
-    for ch in word:
-        if ch in _MARKS:
-            continue
-        for form in (ch.casefold(), ch.lower()):
-            if len(form) == 1:
-                ch = form
-                break
-        parts = unicodedata.normalize("NFD", ch)
-        out.append(parts[0] if len(parts) == 2 and parts[0].isascii() else ch)
-    return "".join(out)
+    return word.lower() if word.isascii() else word.translate(_FOLDING)
 
 
 @lru_cache(maxsize=200_000)
@@ -144,7 +172,7 @@ def _postings(batch: pa.Array) -> pa.Array:
                                return_inverse=True)
     code = code_of[coded.indices.to_numpy(zero_copy_only=False)] if len(terms) else np.empty(0, np.int64)
 
-    order = np.lexsort((pos, code, row))
+    order = np.argsort(row * max(len(terms), 1) + code, kind="stable")  # words arrive by row and position
     row, code, pos = row[order], code[order], pos[order]
     first = np.ones(len(row), bool)
     first[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
