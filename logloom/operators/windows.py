@@ -24,25 +24,21 @@ def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
             .withColumn("_chunk", F.spark_partition_id()).checkpoint())
 
 
-def _before(chunks: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
-    """Per (key, chunk), each aggregate's value over the chunks before it: (carried as ``_b_<name>``)."""
-    per_chunk = chunks.groupBy(*keys, "_chunk").agg(*[a.alias(n) for n, a in aggs.items()])
-    w = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"_b_{n}") for n in aggs]
-    return per_chunk.select(*keys, "_chunk", *carried)
-
-
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Adds ``row_number`` and ``running_sum`` of ``value`` per key, in ``order`` (ending in a unique column)."""
     chunks = ordered_chunks(df, keys, order)
-    before = _before(chunks, keys, n=F.count("*"), total=F.sum(value))
+    per_chunk = chunks.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_chunk.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n_before"),
+                              F.sum("_s").over(earlier).alias("_s_before"))
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     here = (chunks.withColumn("_n", F.row_number().over(w))
             .withColumn("_s", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    total = F.coalesce(F.col("_s") + F.col("_s_before"), F.col("_s"), F.col("_s_before"))
     return (here.join(before, [*keys, "_chunk"])
-            .withColumn("row_number", F.col("_n") + F.col("_b_n"))
-            .withColumn("running_sum", F.col("_s") + F.col("_b_total"))
-            .drop("_chunk", "_n", "_s", "_b_n", "_b_total"))
+            .withColumn("row_number", F.col("_n") + F.col("_n_before"))
+            .withColumn("running_sum", total)
+            .drop("_chunk", "_n", "_s", "_n_before", "_s_before"))
 
 
 def lag_delta(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
