@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.timeexpr import utc_date
 from logloom.schemas import DAY_MS
+from logloom.session import delete_path
 
 # Days kept unless a valid setting says otherwise.
 DEFAULT_DAYS = {"logs": 30, "metrics": 90, "firings": 90}
@@ -43,25 +45,34 @@ def kept(rows: DataFrame, threshold: int, ts: str = "timestamp") -> DataFrame:
     return rows.filter(cond)
 
 
-def _drop_days(spark: SparkSession, path: str, before) -> None:
-    """Removes the partition folders of all days before a date."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
+def _partitions(spark: SparkSession, path: str, column: str) -> dict[str, str]:
+    """Partition values below a folder and their paths; one entry per day or batch."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("dt=") and name[3:] < before.isoformat():
-            fs.delete(status.getPath(), True)
+    folders = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()] if fs.exists(root) else []
+    return {p.getName()[len(column) + 1:]: p.toString() for p in folders if p.getName().startswith(f"{column}=")}
+
+
+def _drop_days(spark: SparkSession, path: str, before: dt.date) -> None:
+    """Removes the partition folders of all days before a date."""
+    for day, folder in _partitions(spark, path, "dt").items():
+        if day < before.isoformat():
+            delete_path(spark, folder)
 
 
-def _rewrite_day(spark: SparkSession, path: str, day, stays) -> None:
-    """Replaces one day's partition by the rows ``stays`` leaves of it."""
-    rows = spark.read.parquet(path).filter(F.col("dt") == F.lit(day))
-    left = stays(rows)
+def _rewrite_day(spark: SparkSession, path: str, day: dt.date, stays: Callable[[DataFrame], DataFrame]) -> None:
+    """Replaces one day's partitions by the rows ``stays`` leaves of them; the empty ones go."""
+    left = stays(spark.read.parquet(path).filter(F.col("dt") == F.lit(day)))
+    by = [c for c in ("dt", "batch") if c in left.columns]
     if left.isEmpty():
         _drop_days(spark, path, day + dt.timedelta(days=1))
         return
-    (left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path))
+    had = _partitions(spark, f"{path}/dt={day.isoformat()}", "batch")
+    has = {str(r.batch) for r in left.select("batch").distinct().collect()} if "batch" in by else set()
+    left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    for batch, folder in had.items():
+        if batch not in has:
+            delete_path(spark, folder)
 
 
 def expire(spark: SparkSession, path: str, days: int, now: int, ts: str = "timestamp", index_path: str | None = None) -> int:
@@ -87,6 +98,12 @@ def expire(spark: SparkSession, path: str, days: int, now: int, ts: str = "times
     return gone
 
 
+def index_check(index: DataFrame, logs: DataFrame) -> DataFrame:
+    """One row: lines the index knows, and how many of them are orphans."""
+    found = index.select("id").distinct().join(logs.select("id", F.lit(True).alias("_line")), "id", "left")
+    return found.agg(F.count("*").alias("indexed"), F.count_if(F.col("_line").isNull()).alias("orphans"))
+
+
 def orphans(index: DataFrame, logs: DataFrame) -> DataFrame:
     """Index entries without their line; none in a consistent store."""
     return index.select("id").distinct().join(logs.select("id"), "id", "left_anti")

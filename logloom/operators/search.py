@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import words as W
 from logloom.operators import signals
+from logloom.session import staged
 
 # Default NEAR distance, ranking constants, and the characters that mean an expression.
 NEAR_DISTANCE = 10
@@ -110,7 +111,7 @@ def match_spec(text: str) -> And:
 
 def build_index(logs: DataFrame, text: str = "raw") -> DataFrame:
     """``term, id, positions, words`` (words of the line) and ``dt`` when the table has it."""
-    keys = [c for c in ("id", "dt") if c in logs.columns]
+    keys = _keys(logs)
     listed = logs.select(*keys, W.words(F.col(text)).alias("_w"))
     hits = listed.select(*keys, F.size("_w").alias("words"), F.explode(W.postings("_w")).alias("_p"))
     return hits.select("_p.term", *keys, "_p.positions", "words")
@@ -119,8 +120,9 @@ def build_index(logs: DataFrame, text: str = "raw") -> DataFrame:
 def write_index(index: DataFrame, path: str) -> None:
     """Stores an index clustered by term; a term of any frequency is cut at line ids into several files."""
     order = [c for c in ("dt", "term", "id") if c in index.columns]
-    out = index.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append")
-    (out.partitionBy("dt") if "dt" in index.columns else out).parquet(path)
+    with staged(index, "index") as entries:
+        out = entries.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append")
+        (out.partitionBy("dt") if "dt" in index.columns else out).parquet(path)
 
 
 # --- matching --------------------------------------------------------------------------
@@ -211,11 +213,12 @@ def _candidates(index: DataFrame, atoms: Sequence[Atom]) -> DataFrame:
 
 
 def search(index: DataFrame, spec) -> DataFrame:
-    """Ids of the matching lines, each once."""
+    """Ids of the matching lines, each once (with ``dt`` when the index has it)."""
     atoms = _atoms(spec)
     hits = _candidates(index, atoms)
+    keys = _keys(index)
     if len(atoms) == 1 and not atoms[0][1] and not _needs_positions(spec):
-        return hits.select("id")  # one exact term has one row per line
+        return hits.select(*keys)  # one exact term has one row per line
     positions = _needs_positions(spec)
     none = F.array().cast("array<int>")
 
@@ -225,9 +228,13 @@ def search(index: DataFrame, spec) -> DataFrame:
         mine = F.flatten(F.collect_list(F.when(_term_is(a, F.col("term")), F.col("positions"))))
         return F.coalesce(mine, none)
 
-    per_line = hits.groupBy("id").agg(*[gather(a).alias(f"_{i}") for i, a in enumerate(atoms)])
+    per_line = hits.groupBy(*keys).agg(*[gather(a).alias(f"_{i}") for i, a in enumerate(atoms)])
     at = {a: F.col(f"_{i}") for i, a in enumerate(atoms)}
-    return per_line.filter(_holds(spec, at, positions)).select("id")
+    return per_line.filter(_holds(spec, at, positions)).select(*keys)
+
+
+def _keys(df: DataFrame) -> list[str]:
+    return [c for c in ("id", "dt") if c in df.columns]
 
 
 def scan(rows: DataFrame, spec, text: str = "raw") -> DataFrame:
@@ -242,7 +249,7 @@ def scan(rows: DataFrame, spec, text: str = "raw") -> DataFrame:
 
 
 def combine(logs: DataFrame, ids: DataFrame, pred: Column | None = None, op: str = "and") -> DataFrame:
-    """Search hits with a filter: both (semi join) or either (flag join); the columns stay those of ``logs``."""
+    """Search hits with a filter: both or either; the columns stay those of ``logs``."""
     if op == "or":
         return signals.either(logs, ids, F.lit(False) if pred is None else pred)
     return signals.both(logs if pred is None else logs.filter(pred), ids)

@@ -6,7 +6,7 @@ instead of pairing all its lines with all its samples.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.timeexpr import bucket
@@ -55,12 +55,22 @@ def latest_rows(rows: DataFrame, by: str = "service") -> DataFrame:
             .select(by, *[F.col(f"r.{c}").alias(c) for c in rest]))
 
 
-def either(logs: DataFrame, matches: DataFrame, pred) -> DataFrame:
-    """Lines in ``matches`` (unique ids) or satisfying ``pred``."""
-    flagged = logs.join(matches.select("id", F.lit(True).alias("_hit")), "id", "left")
-    return flagged.filter(F.col("_hit") | pred).drop("_hit")
+def _line_keys(logs: DataFrame, matches: DataFrame) -> list[str]:
+    # with the date on both sides the hits prune the partitions of the table
+    return [c for c in ("dt", "id") if c in logs.columns and c in matches.columns]
 
 
 def both(logs: DataFrame, matches: DataFrame) -> DataFrame:
     """Lines in ``matches``; the columns stay those of ``logs``."""
-    return logs.join(matches.select("id"), "id", "left_semi")
+    keys = _line_keys(logs, matches)
+    return logs.join(matches.select(*keys), keys, "left_semi").select(*logs.columns)
+
+
+def either(logs: DataFrame, matches: DataFrame, pred: Column) -> DataFrame:
+    """Lines satisfying ``pred`` or in ``matches``.
+
+    Lines that satisfy ``pred`` need no join; the others are looked up by a semi join, which
+    a selective search can filter ahead.
+    """
+    holds = F.coalesce(pred, F.lit(False))
+    return logs.filter(holds).unionByName(both(logs.filter(~holds), matches))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from logloom.functions.timeexpr import event_date
 from logloom.functions.values import shortest_float
 from logloom.schemas import LOG_COLUMNS, METRIC_COLUMNS
+from logloom.session import staged
 
 # Order inside a file, so that Parquet statistics prune by what queries ask for.
-LOG_ORDER = ["dt", "service", "timestamp"]
-METRIC_ORDER = ["dt", "name", "service", "timestamp"]
+LOG_ORDER = ["dt", "service", "timestamp", "id"]
+METRIC_ORDER = ["dt", "name", "service", "timestamp", "id"]
 
 _PART_BITS, _ROW_BITS = 16, 26
 
@@ -32,9 +33,14 @@ def assign_ids(rows: DataFrame, batch_id: int = 0) -> DataFrame:
 
 def _append(rows: DataFrame, columns: list[str], order: list[str], path: str, cluster: bool) -> None:
     rows = rows.select(*columns, event_date("timestamp").alias("dt"))
-    # ranges of (date, key, time): a hot date or sender spans several files
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order) if cluster else rows.sortWithinPartitions("dt")
-    rows.write.mode("append").partitionBy("dt").parquet(path)
+    if not cluster:
+        rows.sortWithinPartitions("dt").write.mode("append").partitionBy("dt").parquet(path)
+        return
+    # Ranges of (date, key, time, id): a hot date or sender spans several files. Parsing is done
+    # once, before the ranges are drawn.
+    with staged(rows, "append") as parsed:
+        (parsed.repartitionByRange(*order).sortWithinPartitions(*order)
+         .write.mode("append").partitionBy("dt").parquet(path))
 
 
 def append_logs(rows: DataFrame, path: str, batch_id: int = 0, cluster: bool = True) -> None:

@@ -168,8 +168,7 @@ _add("retention_keep", _keep,
 
 def _consistent(spark, sf_dir):
     logs, index, _ = _expired(spark, sf_dir)
-    return index.agg(F.count_distinct("id").alias("indexed")).withColumn("_k", F.lit(1)).join(
-        retention.orphans(index, logs).agg(F.count("*").alias("orphans")).withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return retention.index_check(index, logs)
 
 
 _add("retention_index_orphans", _consistent,

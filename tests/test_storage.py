@@ -91,6 +91,17 @@ def test_expire_whole_boundary_day(spark, tmp_path):
     assert spark.read.parquet(path).count() == 1
 
 
+def test_expire_in_a_streamed_table(spark, tmp_path):
+    """Streamed tables are split by date and batch; a batch left empty goes."""
+    path = str(tmp_path / "logs")
+    for batch, ages in enumerate([[30.3, 30.2], [30.1, 29.99], [40], [1]]):
+        live.store_logs(path)(lines(spark, [NOW - int(a * DAY) for a in ages]), batch)
+    assert retention.expire(spark, path, 30, NOW) == 4
+    left = spark.read.parquet(path)
+    assert sorted(r.batch for r in left.collect()) == [1, 3]
+    assert left.filter("timestamp < " + str(NOW - 30 * DAY)).count() == 0
+
+
 def payload_tree(root, name, text):
     d = root / "in" / "pay svc" / "h1"
     d.mkdir(parents=True, exist_ok=True)
