@@ -7,12 +7,13 @@ rest is array work, so no Python runs per row and no vocabulary is shuffled or b
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,20 +128,31 @@ def porter(word: str) -> str:
     return word
 
 
-class _Folding(dict):
-    """Character to its folded form, worked out when first met."""
+class _Memo(dict):
+    """A dict that fills itself; it travels to a task empty and is bounded there."""
+
+    limit = 200_000
+
+    def __reduce__(self):
+        return type(self), ()
+
+    def keep(self, key, value):
+        if len(self) >= self.limit:
+            self.clear()
+        self[key] = value
+        return value
+
+
+class _Folding(_Memo):
+    """Character to its folded form."""
 
     def __missing__(self, code: int) -> str:
         ch = chr(code)
         if ch in _MARKS:
-            ch = ""
-        else:
-            ch = next((form for form in (ch.casefold(), ch.lower()) if len(form) == 1), ch)
-            parts = unicodedata.normalize("NFD", ch)
-            if len(parts) == 2 and parts[0].isascii():
-                ch = parts[0]
-        self[code] = ch
-        return ch
+            return self.keep(code, "")
+        ch = next((form for form in (ch.casefold(), ch.lower()) if len(form) == 1), ch)
+        parts = unicodedata.normalize("NFD", ch)
+        return self.keep(code, parts[0] if len(parts) == 2 and parts[0].isascii() else ch)
 
 
 _FOLDING = _Folding()
@@ -151,9 +163,18 @@ def fold(word: str) -> str:
     return word.lower() if word.isascii() else word.translate(_FOLDING)
 
 
-@lru_cache(maxsize=200_000)
+class _Terms(_Memo):
+    """Word as written to its term."""
+
+    def __missing__(self, word: str) -> str:
+        return self.keep(word, porter(fold(word)))
+
+
+_TERMS = _Terms()
+
+
 def term(word: str) -> str:
-    return porter(fold(word))
+    return _TERMS[word]
 
 
 def words(text: Column) -> Column:
@@ -184,6 +205,9 @@ def _postings(batch: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
 
 
+# The postings function travels with its helpers, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _POSTINGS = T.ArrayType(T.StructType([
     T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
 

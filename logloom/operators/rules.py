@@ -84,9 +84,12 @@ def outcome(rule_id: int, rows: DataFrame, order: Sequence[Column]) -> DataFrame
     columns = rows.dtypes
     shown = rows.orderBy(*order).limit(AUDIT_ROWS).select(F.lit(rule_id).cast("long").alias("id"), "*")
     top = top_per_key(shown, ["id"], order, AUDIT_ROWS)
-    n = (rows.select(F.lit(rule_id).cast("long").alias("id")).limit(MAX_ROWS)
-         .agg(F.lit(rule_id).cast("long").alias("id"), F.count("*").alias("n_rows")))
-    return _outcome_columns(n.join(_payload(top, ["id"], columns), "id", "left"))
+    shown_json = _payload(top, ["id"], columns)
+    n = (rows.limit(MAX_ROWS).agg(F.count("*").alias("n_rows"))
+         .select(F.lit(rule_id).cast("long").alias("id"), "n_rows"))
+    both = n.unionByName(shown_json, allowMissingColumns=True)
+    return _outcome_columns(both.groupBy("id").agg(
+        F.max("n_rows").alias("n_rows"), F.max("matched").alias("matched"), F.first("lines", True).alias("lines")))
 
 
 def failed(spark, rule_id: int, error: str) -> DataFrame:

@@ -53,6 +53,11 @@ def append_metrics(rows: DataFrame, path: str, batch_id: int = 0, cluster: bool
     _append(assign_ids(rows, batch_id), METRIC_COLUMNS, METRIC_ORDER, path, cluster)
 
 
+def append_firings(firings: DataFrame, path: str) -> None:
+    """Appends audit rows of alert firings, partitioned by the date they fired."""
+    firings.withColumn("dt", event_date("fired_at")).write.mode("append").partitionBy("dt").parquet(path)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """Header and one line per row; NULL is empty, numbers are in their shortest form."""
     cells = [shortest_float(F.col(f"`{c}`")).alias(c) if t in ("double", "float") else F.col(f"`{c}`")

@@ -84,6 +84,15 @@ def test_expire_with_index(spark, tmp_path):
     assert retention.expire(spark, path, 1, NOW, index_path=index) == 2
 
 
+def test_expire_firings(spark, tmp_path):
+    path = str(tmp_path / "firings")
+    rows = spark.createDataFrame([(1, NOW - 100 * DAY, "[]", True), (1, NOW - 91 * DAY, "[]", True), (2, NOW, "[]", False)],
+                                 "alert_id long, fired_at long, matched_rows string, notification_sent boolean")
+    sinks.append_firings(rows, path)
+    assert retention.expire(spark, path, retention.DEFAULT_DAYS["firings"], NOW, ts="fired_at") == 2
+    assert [r.alert_id for r in spark.read.parquet(path).collect()] == [2]
+
+
 def test_expire_whole_boundary_day(spark, tmp_path):
     path = str(tmp_path / "logs")
     stored(spark, path, [30.01, 30.02, 2])
