@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-_EPOCH = "timestamp_micros(cast(secs * 1000000 as bigint))"
+# UTC wall-clock time, whatever the session's zone is.
+_EPOCH = "timestampadd(MICROSECOND, cast(secs * 1000000 as bigint), timestamp_ntz'1970-01-01 00:00:00')"
 _PATTERN = "fmt"
 # Format codes and their date patterns.
 for _code, _pattern in (("%Y", "yyyy"), ("%m", "MM"), ("%d", "dd"), ("%H", "HH"), ("%M", "mm"), ("%S", "ss"),

@@ -74,8 +74,9 @@ def clamp_time(ts: Column, received: Column) -> Column:
 
 
 def escape_json(text: Column) -> Column:
-    """``<``, ``>`` and ``&`` in JSON text as unicode escapes, the stored form."""
-    for ch, code in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e")):
+    """``<``, ``>``, ``&`` and the two line separators in JSON text as unicode escapes, the stored form."""
+    for ch, code in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e"),
+                     ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
         text = F.replace(text, F.lit(ch), F.lit(code))
     return text
 

@@ -66,7 +66,7 @@ ENVELOPE = f"""concat('[{{"date":', cast(timestamp div 1000 as string), '.5,"log
 
 
 def _spark(text: str) -> str:
-    ts = "timestamp_millis(timestamp)"
+    ts = "timestampadd(MICROSECOND, timestamp * 1000, timestamp_ntz'1970-01-01 00:00:00')"
     return (text.replace("STAMP_T", f"date_format({ts}, \"yyyy-MM-dd'T'HH:mm:ss\")")
             .replace("STAMP_S", f"date_format({ts}, 'yyyy-MM-dd HH:mm:ss')")
             .replace("STAMP_CLF", f"date_format({ts}, 'dd/MMM/yyyy:HH:mm:ss')"))

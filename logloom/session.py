@@ -17,6 +17,8 @@ def build_session(app: str = "logloom", master: str | None = None, shuffle_parti
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # generated methods beyond this size are not compiled by the JVM; smaller stages run faster
+         .config("spark.sql.codegen.hugeMethodLimit", "8000")
          .config("spark.ui.enabled", "false"))
     if master:
         b = b.master(master)

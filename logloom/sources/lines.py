@@ -88,16 +88,18 @@ def split_payloads(df: DataFrame, service: str = "service", host: str = "host",
             F.regexp_replace(F.nullif(t["container"]["text"], F.lit("")), "^/", "").alias("container"))
 
     def from_line(text: Column) -> Column:
-        return F.struct(F.btrim(text, F.lit(_SPACE)).alias("line"), F.lit(None).cast("string").alias("record"),
+        return F.struct(text.alias("line"), F.lit(None).cast("string").alias("record"),
                         F.lit(None).cast("long").alias("envelope_ms"), F.lit(None).cast("string").alias("container"))
 
     items = (F.when(F.col("_is_env"), F.transform(F.transform("_env", from_record), from_typed))
-             .otherwise(F.filter(F.transform(F.split("_text", "\n"), from_line), lambda x: F.length(x["line"]) > 0)))
-    return (df.withColumn("_item", F.explode(items))
-            .select(F.col("_item.line").alias("line"), F.col("_item.record").alias("record"),
-                    F.col("_item.envelope_ms").alias("envelope_ms"),
-                    F.coalesce("_item.container", service).alias("service"), F.col(host).alias("host"),
-                    F.col(received).cast("long").alias("ingested_at"), *others))
+             .when(F.length("_text") > 0, F.transform(F.split("_text", "\n"), from_line)))
+    df = df.withColumn("_item", F.explode(items))
+    line = F.when(F.col("_is_env"), F.col("_item.line")).otherwise(F.btrim("_item.line", F.lit(_SPACE)))
+    return (df.select(line.alias("line"), F.col("_item.record").alias("record"),
+                      F.col("_item.envelope_ms").alias("envelope_ms"),
+                      F.coalesce("_item.container", service).alias("service"), F.col(host).alias("host"),
+                      F.col(received).cast("long").alias("ingested_at"), *others)
+            .filter(F.col("line").isNull() | (F.col("line") != "")))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ from logloom.schemas import COUNTER, GAUGE
 #: One day after the last event date, so that "the last 24 h" is never empty.
 AS_OF = 1706659200000
 
-_MS = "unix_micros(cast(ts as timestamp)) div 1000"
+# ``ts`` has no zone and means UTC, whatever the session's zone is.
+_MS = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div 1000"
 
 
 #: Declared, so that reading a table costs no job to look at its files.
