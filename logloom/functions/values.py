@@ -81,6 +81,11 @@ def escape_json(text: Column) -> Column:
     return text
 
 
+def lenient_int(text: Column) -> Column:
+    """Text to integer the forgiving way: the leading digits, or 0 when there are none."""
+    return F.coalesce(F.nullif(F.regexp_extract(text, r"^\s*([+-]?\d+)", 1), F.lit("")).try_cast("bigint"), F.lit(0))
+
+
 def shortest_float(number: Column) -> Column:
     """A double in its shortest form: plain for exponents -4..5, else mantissa and two-digit exponent."""
     s = number.cast("string")

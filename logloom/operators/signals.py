@@ -30,6 +30,23 @@ def correlate(logs: DataFrame, metrics: DataFrame, metric: str, bucket_ms: int,
                                              ["service", "bucket"], how)
 
 
+def bursts(logs: DataFrame, bucket_ms: int, threshold: int) -> DataFrame:
+    """Service and bucket where more than ``threshold`` errors were logged."""
+    return log_buckets(logs, bucket_ms).filter(F.col("errors") > threshold).select("service", "bucket", "errors")
+
+
+def around(left: DataFrame, right: DataFrame, bucket_ms: int, before: int, after: int) -> DataFrame:
+    """Range join of two bucketed results: rows of ``right`` from ``before`` buckets ahead of a ``left`` row to
+    ``after`` behind it, same service.
+
+    Every left row is spread over the few buckets it reaches, which makes the range an equality.
+    """
+    start = F.col("bucket")
+    reach = F.sequence(start - F.lit(before * bucket_ms), start + F.lit(after * bucket_ms), F.lit(bucket_ms).cast("long"))
+    spread = left.withColumn("burst", start).withColumn("bucket", F.explode(reach))
+    return spread.join(right, ["service", "bucket"])
+
+
 def lines_with_sample(logs: DataFrame, metrics: DataFrame, metric: str) -> DataFrame:
     """Each line with the mean sample its own (service, host) reported at the same instant."""
     at = (metrics.filter(F.col("name") == metric).groupBy("service", "host", "timestamp")

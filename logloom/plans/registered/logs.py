@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logloom.functions import values as V
 from logloom.functions.timeexpr import bucket, newer_than
 from logloom.operators import filters, paging, shape, signals, windows
 from logloom.operators.filters import LogFilter
@@ -87,6 +88,12 @@ _add("logs_predicates",
      f"{LOGS} SELECT id AS log_id, CASE WHEN level >= 4 THEN 'bad' ELSE 'ok' END AS grade FROM logs"
      " WHERE message ILIKE '%USER 1_%' AND level IN (3, 4) AND NOT host = 'host-2'"
      f" AND parsed IS NOT NULL AND timestamp BETWEEN {AS_OF - 25 * DAY_MS} AND {AS_OF - DAY_MS}")
+_add("logs_at_level", _logs(lambda t: filters.newest(LogFilter().with_(level=4).apply(t))),
+     f"{LOGS} SELECT {NINE} FROM logs WHERE level = 4 ORDER BY timestamp DESC, id DESC LIMIT 100")
+_add("logs_lenient_cast",
+     _logs(lambda t: t.groupBy(V.lenient_int(F.substring("raw", F.lit(15), F.lit(12))).alias("n")).agg(F.count("*").alias("lines"))),
+     f"{LOGS} SELECT COALESCE(TRY_CAST(NULLIF(regexp_extract(substr(raw, 15, 12), '^\\s*([+-]?\\d+)', 1), '') AS BIGINT), 0)"
+     " AS n, COUNT(*) AS lines FROM logs GROUP BY 1")
 _add("logs_offset_page", _logs(lambda t: t.orderBy(F.desc("timestamp"), F.desc("id")).offset(20).limit(10)),
      f"{LOGS} SELECT {NINE} FROM logs ORDER BY timestamp DESC, id DESC LIMIT 10 OFFSET 20")
 _add("like_scan", _logs(lambda t: t.filter(F.col("raw").ilike("%ERROR BY user 1%")).agg(F.count("*").alias("hits"))),
@@ -146,20 +153,20 @@ _add("incident_logs_pane",
 # both signals
 _add("join_logs_metrics",
      lambda s, d: signals.lines_with_sample(td.logs(s, d), td.metrics(s, d, only="error_value"), "error_value")
-     .select("id", "service", "timestamp", F.round("value", 4).alias("value")),
-     f"{BOTH} SELECT l.id, l.service, l.timestamp, ROUND(m.value, 4) AS value FROM logs l JOIN (SELECT service, host,"
+     .select("id", "service", "timestamp", F.round("value", 8).alias("value")),
+     f"{BOTH} SELECT l.id, l.service, l.timestamp, ROUND(m.value, 8) AS value FROM logs l JOIN (SELECT service, host,"
      " timestamp, AVG(value) AS value FROM metrics WHERE name = 'error_value' GROUP BY 1, 2, 3) m"
      " ON l.service = m.service AND l.host = m.host AND l.timestamp = m.timestamp")
 
 
 def _cells(df):
-    return df.select("service", "bucket", "lines", "errors", F.round("avg_value", 4).alias("avg_value"), "samples")
+    return df.select("service", "bucket", "lines", "errors", F.round("avg_value", 8).alias("avg_value"), "samples")
 
 
 def _buckets_sql(how, width=6 * HOUR_MS):
     return (f"{BOTH}, l AS (SELECT service, timestamp // {width} * {width} AS bucket, COUNT(*) AS lines,"
             " COUNT(*) FILTER (WHERE level >= 4) AS errors FROM logs GROUP BY 1, 2),"
-            f" m AS (SELECT service, timestamp // {width} * {width} AS bucket, ROUND(AVG(value), 4) AS avg_value,"
+            f" m AS (SELECT service, timestamp // {width} * {width} AS bucket, ROUND(AVG(value), 8) AS avg_value,"
             " COUNT(*) AS samples FROM metrics WHERE name = 'purchase_value' GROUP BY 1, 2)"
             f" SELECT service, bucket, lines, errors, avg_value, samples FROM l {how} JOIN m USING (service, bucket)")
 
@@ -170,6 +177,16 @@ _add("join_signal_buckets",
 _add("outer_join_signals",
      lambda s, d: _cells(signals.correlate(td.logs(s, d), td.metrics(s, d, only="purchase_value"),
                                            "purchase_value", 6 * HOUR_MS, "full_outer")), _buckets_sql("FULL"))
+_add("range_join_bursts",
+     lambda s, d: signals.around(
+         signals.bursts(td.logs(s, d), HOUR_MS, 1),
+         signals.metric_buckets(td.metrics(s, d, only="purchase_value"), "purchase_value", HOUR_MS), HOUR_MS, 1, 2)
+     .select("service", "burst", "bucket", "errors", "samples", F.round("avg_value", 8).alias("avg_value")),
+     f"{BOTH}, b AS (SELECT service, timestamp // {HOUR_MS} * {HOUR_MS} AS burst, COUNT(*) FILTER (WHERE level >= 4) AS errors"
+     f" FROM logs GROUP BY 1, 2 HAVING COUNT(*) FILTER (WHERE level >= 4) > 1), m AS (SELECT service, timestamp // {HOUR_MS}"
+     f" * {HOUR_MS} AS bucket, COUNT(*) AS samples, ROUND(AVG(value), 8) AS avg_value FROM metrics"
+     " WHERE name = 'purchase_value' GROUP BY 1, 2) SELECT b.service, burst, bucket, errors, samples, avg_value FROM b JOIN m"
+     f" ON m.service = b.service AND m.bucket BETWEEN burst - {HOUR_MS} AND burst + {2 * HOUR_MS}")
 _add("exists_cross_signal",
      lambda s, d: signals.services_where_both(
          newer_than(td.logs(s, d), AS_OF - DAY_MS).filter(F.col("level") >= ERROR),
@@ -229,9 +246,9 @@ _add("having_busy",
      f"{LOGS} SELECT service, host, COUNT(*) AS cnt FROM logs GROUP BY service, host HAVING cnt > 10")
 _add("basic_aggregates",
      lambda s, d: td.metrics(s, d).groupBy("name").agg(
-         F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value"), 4).alias("mean"),
+         F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value"), 8).alias("mean"),
          F.min("value").alias("low"), F.max("value").alias("high")),
-     f"WITH {td.SQL_METRICS} SELECT name, COUNT(*) AS n, ROUND(SUM(value), 2) AS total, ROUND(AVG(value), 4) AS mean,"
+     f"WITH {td.SQL_METRICS} SELECT name, COUNT(*) AS n, ROUND(SUM(value), 2) AS total, ROUND(AVG(value), 8) AS mean,"
      " MIN(value) AS low, MAX(value) AS high FROM metrics GROUP BY name")
 _add("total_aggregate",
      lambda s, d: newer_than(td.metrics(s, d, only="view_value"), AS_OF).agg(

@@ -25,7 +25,7 @@ def _add(name, fn, sql):
     ORACLE[name] = sql
 
 
-def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+def _rounded(df: DataFrame, digits: int = 8) -> DataFrame:
     return df.select(*[F.round(f"`{c}`", digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
@@ -49,7 +49,7 @@ def _growth_sql(metric, per, where=LAST_DAY, outer="SUM(inc) AS increase", keys=
 # counter verbs
 _add("ts_increase_hourly", _verb("increase", "error_total", per="1h"), _growth_sql("error_total", "1h"))
 _add("ts_rate_hourly", _verb("rate", "error_total", per="1h"),
-     _growth_sql("error_total", "1h", outer="ROUND(SUM(inc) / 3600.0, 4) AS rate_per_s"))
+     _growth_sql("error_total", "1h", outer="ROUND(SUM(inc) / 3600.0, 8) AS rate_per_s"))
 _add("ts_increase_window", _verb("increase", "click_total", last="7d"),
      f"{WITH} SELECT SUM(inc) AS increase FROM (SELECT service, host, labels, MAX(value) - MIN(value) AS inc"
      f" FROM metrics WHERE name = 'click_total' AND timestamp > {AS_OF} - {7 * DAY_MS} GROUP BY 1, 2, 3)")
@@ -58,13 +58,13 @@ _add("ts_increase_by_service", _verb("increase", "click_total", last="7d", by_se
      f" FROM metrics WHERE name = 'click_total' AND timestamp > {AS_OF} - {7 * DAY_MS} GROUP BY 1, 2, 3)"
      " GROUP BY service")
 _add("ts_rate_by_service", _verb("rate", "view_total", last="2d", by_service=True),
-     f"{WITH} SELECT service, ROUND(SUM(inc) / {2 * DAY_MS // 1000}.0, 4) AS rate_per_s FROM (SELECT service, host,"
+     f"{WITH} SELECT service, ROUND(SUM(inc) / {2 * DAY_MS // 1000}.0, 8) AS rate_per_s FROM (SELECT service, host,"
      " labels, MAX(value) - MIN(value) AS inc FROM metrics WHERE name = 'view_total'"
      f" AND timestamp > {AS_OF} - {2 * DAY_MS} GROUP BY 1, 2, 3) GROUP BY service")
 
 # gauge verbs
 _add("ts_avg_bucket", _verb("avg", "error_value", per="1h"),
-     f"{WITH} SELECT {_bucket_sql('1h')} AS bucket, ROUND(AVG(value), 4) AS avg_value FROM metrics"
+     f"{WITH} SELECT {_bucket_sql('1h')} AS bucket, ROUND(AVG(value), 8) AS avg_value FROM metrics"
      f" WHERE name = 'error_value' AND {LAST_DAY} GROUP BY 1")
 
 
@@ -81,10 +81,10 @@ _add("ts_min_max_sum", _min_max_sum,
      f" AND timestamp > {AS_OF} - {30 * DAY_MS} GROUP BY service")
 for _v in ("min", "max", "sum"):
     _add(f"ts_{_v}_bucket", _verb(_v, "purchase_value", per="6h", last="7d"),
-         f"{WITH} SELECT {_bucket_sql('6h')} AS bucket, ROUND({_v.upper()}(value), 4) AS {_v}_value FROM metrics"
+         f"{WITH} SELECT {_bucket_sql('6h')} AS bucket, ROUND({_v.upper()}(value), 8) AS {_v}_value FROM metrics"
          f" WHERE name = 'purchase_value' AND timestamp > {AS_OF} - {7 * DAY_MS} GROUP BY 1")
 _add("ts_avg_stat", _verb("avg", "signup_value", last="30d"),
-     f"{WITH} SELECT ROUND(AVG(value), 4) AS avg_value FROM metrics WHERE name = 'signup_value'"
+     f"{WITH} SELECT ROUND(AVG(value), 8) AS avg_value FROM metrics WHERE name = 'signup_value'"
      f" AND timestamp > {AS_OF} - {30 * DAY_MS}")
 _add("ts_count_samples", _verb("count", "view_value", per="1h"),
      f"{WITH} SELECT {_bucket_sql('1h')} AS bucket, COUNT(*) AS samples FROM metrics"
@@ -108,7 +108,7 @@ def _pivot_sql(cell: str) -> str:
 
 _add("ts_avg_pivot", _verb("avg", "error_value", per="1h", by_service=True),
      f"{WITH} SELECT {_bucket_sql('1h')} AS bucket, "
-     + _pivot_sql("ROUND(AVG(CASE WHEN service = '{s}' THEN value END), 4)")
+     + _pivot_sql("ROUND(AVG(CASE WHEN service = '{s}' THEN value END), 8)")
      + f" FROM metrics WHERE name = 'error_value' AND {LAST_DAY} GROUP BY 1")
 _add("ts_count_pivot", _verb("count", "click_value", per="3h", last="7d", by_service=True),
      f"{WITH} SELECT {_bucket_sql('3h')} AS bucket, " + _pivot_sql("COUNT(CASE WHEN service = '{s}' THEN 1 END)")
@@ -118,11 +118,11 @@ _add("ts_increase_pivot", _verb("increase", "error_total", per="6h", last="7d",
                  _pivot_sql("SUM(CASE WHEN service = '{s}' THEN inc END)")))
 _add("ts_rate_pivot", _verb("rate", "error_total", per="6h", last="7d", by_service=True),
      _growth_sql("error_total", "6h", f"timestamp > {AS_OF} - {7 * DAY_MS}",
-                 _pivot_sql("ROUND(SUM(CASE WHEN service = '{s}' THEN inc END) / 21600.0, 4)")))
+                 _pivot_sql("ROUND(SUM(CASE WHEN service = '{s}' THEN inc END) / 21600.0, 8)")))
 
 # window override and filters
 _add("ts_window_override", _verb("rate", "click_total", window=WINDOW, by_service=True),
-     f"{WITH} SELECT service, ROUND(SUM(inc) / {2 * DAY_MS // 1000}.0, 4) AS rate_per_s FROM (SELECT service, host,"
+     f"{WITH} SELECT service, ROUND(SUM(inc) / {2 * DAY_MS // 1000}.0, 8) AS rate_per_s FROM (SELECT service, host,"
      " labels, MAX(value) - MIN(value) AS inc FROM metrics WHERE name = 'click_total'"
      f" AND timestamp BETWEEN {WINDOW[0]} AND {WINDOW[1]} GROUP BY 1, 2, 3) GROUP BY service")
 _add("ts_label_filter", _verb("count", "view_value", last="30d", by_service=True, filters={"k": "7", "host": "host-1"}),
@@ -154,7 +154,7 @@ _add("ts_gapfill_counter", _filled("increase", "error_total", "10m"),
      f" AND {LAST_DAY} GROUP BY 1, 2, 3, 4) GROUP BY bucket)"
      " SELECT bucket, COALESCE(increase, 0.0) AS increase FROM grid LEFT JOIN r USING (bucket)")
 _add("ts_gapfill_gauge", _filled("avg", "error_value", "10m"),
-     f"{WITH}, {_grid_sql('10m')}, r AS (SELECT {_bucket_sql('10m')} AS bucket, ROUND(AVG(value), 4) AS avg_value"
+     f"{WITH}, {_grid_sql('10m')}, r AS (SELECT {_bucket_sql('10m')} AS bucket, ROUND(AVG(value), 8) AS avg_value"
      f" FROM metrics WHERE name = 'error_value' AND {LAST_DAY} GROUP BY 1)"
      " SELECT bucket, avg_value FROM grid LEFT JOIN r USING (bucket)")
 
@@ -174,7 +174,7 @@ def _sum_count(spark, sf_dir):
 
 
 _add("ts_avg_from_sum_count", _sum_count,
-     f"WITH {td._SQL_EVENTS} SELECT timestamp, service, host, ROUND(CASE WHEN c = 0 THEN NULL ELSE s / c END, 4)"
+     f"WITH {td._SQL_EVENTS} SELECT timestamp, service, host, ROUND(CASE WHEN c = 0 THEN NULL ELSE s / c END, 8)"
      " AS avg_value FROM (SELECT timestamp, service, host, arg_max(value, event_id) AS s,"
      " arg_max(CAST(user_id % 5 AS DOUBLE), event_id) AS c FROM ev WHERE event_type = 'view' GROUP BY 1, 2, 3)")
 

@@ -42,11 +42,11 @@ _add("sql_increase_snippet",
      f" MAX(value) - MIN(value) AS inc FROM metrics WHERE name = 'error_total' AND timestamp > {AS_OF} - 86400000"
      " GROUP BY hour, labels) GROUP BY hour")
 _add("sql_pivot_snippet",
-     "SELECT timestamp div 600000 * 600000 AS bucket, ROUND(AVG(CASE WHEN service = 'svc-0' THEN value END), 4) AS service_a,"
-     " ROUND(AVG(CASE WHEN service = 'svc-1' THEN value END), 4) AS service_b FROM {metrics} WHERE name = 'view_value'"
+     "SELECT timestamp div 600000 * 600000 AS bucket, ROUND(AVG(CASE WHEN service = 'svc-0' THEN value END), 8) AS service_a,"
+     " ROUND(AVG(CASE WHEN service = 'svc-1' THEN value END), 8) AS service_b FROM {metrics} WHERE name = 'view_value'"
      " GROUP BY bucket ORDER BY bucket",
      f"WITH {td.SQL_METRICS} SELECT timestamp // 600000 * 600000 AS bucket, ROUND(AVG(CASE WHEN service = 'svc-0' THEN value"
-     " END), 4) AS service_a, ROUND(AVG(CASE WHEN service = 'svc-1' THEN value END), 4) AS service_b FROM metrics"
+     " END), 8) AS service_a, ROUND(AVG(CASE WHEN service = 'svc-1' THEN value END), 8) AS service_b FROM metrics"
      " WHERE name = 'view_value' GROUP BY 1")
 _add("sql_absence_rule",
      "SELECT 'silent' AS alert, COUNT(*) AS senders FROM (SELECT DISTINCT service, host FROM {logs}) s WHERE NOT EXISTS"
@@ -67,4 +67,18 @@ _add("sql_named_window",
      f" AS so_far FROM (SELECT service, timestamp // {DAY_MS} AS day, COUNT(*) AS lines FROM logs GROUP BY 1, 2)"
      " WINDOW w AS (PARTITION BY service ORDER BY day)")
 
+_add("sql_window_functions",
+     "SELECT service, day, lines, ROW_NUMBER() OVER w AS pos, LEAD(lines) OVER w AS following,"
+     " FIRST_VALUE(lines) OVER w AS first_day, LAST_VALUE(lines) OVER (PARTITION BY service ORDER BY day ROWS BETWEEN"
+     " UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_day, NTILE(3) OVER w AS third, SUM(lines) OVER (PARTITION BY"
+     " service ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS three_days FROM"
+     f" (SELECT service, timestamp div {DAY_MS} AS day, COUNT(*) AS lines FROM {{logs}} GROUP BY service, day)"
+     " WINDOW w AS (PARTITION BY service ORDER BY day)",
+     f"WITH {td.SQL_LOGS} SELECT service, day, lines, CAST(ROW_NUMBER() OVER w AS INTEGER) AS pos, LEAD(lines) OVER w AS"
+     " following, FIRST_VALUE(lines) OVER w AS first_day, LAST_VALUE(lines) OVER (PARTITION BY service ORDER BY day ROWS"
+     " BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_day, CAST(NTILE(3) OVER w AS INTEGER) AS third,"
+     " CAST(SUM(lines) OVER (PARTITION BY service ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT)"
+     f" AS three_days FROM (SELECT service, timestamp // {DAY_MS} AS day, COUNT(*) AS lines FROM logs GROUP BY 1, 2)"
+     " WINDOW w AS (PARTITION BY service ORDER BY day)")
+
 HEADLINE = ["sql_scalar_functions"]

@@ -19,6 +19,8 @@ def build_session(app: str = "logloom", master: str | None = None, shuffle_parti
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          # generated methods beyond this size are not compiled by the JVM; smaller stages run faster
          .config("spark.sql.codegen.hugeMethodLimit", "8000")
+         # checkpoint files go when nothing refers to them any more
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.ui.enabled", "false"))
     if master:
         b = b.master(master)
