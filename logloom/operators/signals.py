@@ -66,10 +66,13 @@ def silent(expected: DataFrame, recent: DataFrame, key: str = "service") -> Data
 
 
 def latest_rows(rows: DataFrame, by: str = "service") -> DataFrame:
-    """The row that arrived last for every key, by partial aggregation instead of a correlated lookup."""
-    rest = [c for c in rows.columns if c != by]
-    return (rows.groupBy(by).agg(F.max_by(F.struct(*rest), "id").alias("r"))
-            .select(by, *[F.col(f"r.{c}").alias(c) for c in rest]))
+    """The row that arrived last for every key.
+
+    The newest id per key is a hash aggregate over two narrow columns; the rows are then picked
+    by that small result, so nothing wide is sorted or shuffled.
+    """
+    newest = rows.groupBy(by).agg(F.max("id").alias("id"))
+    return rows.join(newest, [by, "id"], "left_semi").select(*rows.columns)
 
 
 def _line_keys(logs: DataFrame, matches: DataFrame) -> list[str]:

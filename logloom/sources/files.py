@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logloom.schemas import LOGS, METRICS
 
@@ -20,11 +21,15 @@ def read_table(spark: SparkSession, path: str, view: str | None = None) -> DataF
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{LOGS.simpleString()[7:-1].replace(':', ' ')}, dt date").parquet(path)
+    return spark.read.schema(_dated(LOGS)).parquet(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{METRICS.simpleString()[7:-1].replace(':', ' ')}, dt date").parquet(path)
+    return spark.read.schema(_dated(METRICS)).parquet(path)
+
+
+def _dated(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("dt", T.DateType())])
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -124,10 +124,12 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     def group(i: int) -> Column:
         return F.regexp_extract("line", ACCESS_LINE, i)
 
-    df = df.withColumn("_a", F.when(is_access, F.struct(
+    access = F.when(is_access, F.struct(
         group(1).alias("ip"), group(2).alias("user"), group(3).alias("at"), F.split(group(4), " ", 3).alias("req"),
         group(5).cast("int").alias("status"), group(6).alias("bytes"), group(7).alias("referer"),
-        group(8).alias("agent"))))
+        group(8).alias("agent")))
+    is_plain = F.col("format") == "plain"
+    df = df.withColumns({"_a": access, "_tok": F.when(is_plain, F.split("line", " ", 3))})
     status = F.col("_a.status")
     method, path = F.get("_a.req", F.lit(0)), F.coalesce(F.get("_a.req", F.lit(1)), F.lit(""))
 
@@ -143,20 +145,16 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     access_ms = F.unix_millis(F.try_to_timestamp("_a.at", F.lit(ACCESS_TIME)))
     access_msg = F.concat_ws(" ", method, path, status.cast("string"))
 
-    is_plain = F.col("format") == "plain"
-    df = df.withColumn("_tok", F.when(is_plain, F.split("line", " ", 3)))
     plain_ms = V.leading_time_to_ms(F.get("_tok", F.lit(0)), F.get("_tok", F.lit(1)))
-    return (df
-            .withColumn("level", F.when(is_json, json_level).when(is_access, access_level)
-                        .when(is_plain, V.plain_level(F.col("line"))).cast("int"))
-            .withColumn("event_ms", F.when(is_json, json_ms).when(is_access, access_ms)
-                        .when(is_plain, plain_ms))
-            .withColumn("message", F.when(is_json, json_msg).when(is_access, access_msg)
-                        .when(is_plain, F.col("line")))
-            .withColumn("parsed", F.when(is_json, F.col("line")).when(is_access, access_json)
-                        .when(~is_plain, F.col("record")))
-            .withColumn("raw", F.coalesce("line", "record"))
-            .drop("_obj", "_rec", "_a", "_tok"))
+    out = {
+        "level": F.when(is_json, json_level).when(is_access, access_level)
+        .when(is_plain, V.plain_level(F.col("line"))).cast("int"),
+        "event_ms": F.when(is_json, json_ms).when(is_access, access_ms).when(is_plain, plain_ms),
+        "message": F.when(is_json, json_msg).when(is_access, access_msg).when(is_plain, F.col("line")),
+        "parsed": F.when(is_json, F.col("line")).when(is_access, access_json).when(~is_plain, F.col("record")),
+        "raw": F.coalesce("line", "record"),
+    }
+    return df.select(*lines.columns, "format", *[c.alias(n) for n, c in out.items()])
 
 
 def parse_payloads(df: DataFrame, service: str = "service", host: str = "host", payload: str = "payload",
@@ -169,6 +167,6 @@ def parse_payloads(df: DataFrame, service: str = "service", host: str = "host",
     p = parse_lines(split_payloads(df.select(service, host, payload, received, *keep),
                                    service, host, payload, received))
     ts = F.coalesce("event_ms", "envelope_ms", "ingested_at")
-    p = (p.withColumn("timestamp", V.clamp_time(ts, F.col("ingested_at")) if clamp else ts)
-         .withColumn("level", F.coalesce("level", F.lit(INFO))))
+    p = p.withColumns({"timestamp": V.clamp_time(ts, F.col("ingested_at")) if clamp else ts,
+                       "level": F.coalesce("level", F.lit(INFO))})
     return p.select(*PARSED_LOG_COLUMNS, event_date("timestamp").alias("dt"), *keep)

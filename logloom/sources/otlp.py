@@ -73,9 +73,9 @@ def otlp_json_to_metrics(df: DataFrame, payload: str = "payload", received: str
     got = df.withColumn("_p", F.from_json(payload, PAYLOAD))
     res = got.select(F.col(received).cast("long").alias("_recv"), *keep,
                      F.explode("_p.resourceMetrics").alias("_r"))
-    met = (res.withColumn("service", _identity(F.col("_r.resource.attributes"), "service.name"))
-           .withColumn("host", _identity(F.col("_r.resource.attributes"), "host.name"))
-           .withColumn("_m", F.explode(F.flatten(F.transform("_r.scopeMetrics", lambda s: s["metrics"]))))
+    met = (res.select("_recv", *keep, _identity(F.col("_r.resource.attributes"), "service.name").alias("service"),
+                      _identity(F.col("_r.resource.attributes"), "host.name").alias("host"),
+                      F.explode(F.flatten(F.transform("_r.scopeMetrics", lambda s: s["metrics"]))).alias("_m"))
            .filter(F.length("_m.name") > 0))
     name, none = F.col("_m.name"), F.array()
     sum_type = F.when(F.lower("_m.sum.isMonotonic") == "true", COUNTER).otherwise(GAUGE)
@@ -92,8 +92,8 @@ def otlp_json_to_metrics(df: DataFrame, payload: str = "payload", received: str
     ms = F.call_function("div", nanos, F.lit(1_000_000).cast("decimal(20,0)")).cast("long")
     pts = pts.withColumn("_labels", F.transform("_pt.attributes", lambda a: F.struct(
         a["key"].alias("key"), _attr_text(a["value"]).alias("value"))))
-    out = (pts.withColumn("name", F.col("_pt.name")).withColumn("type", F.col("_pt.type"))
-           .withColumn("value", F.col("_pt.value"))
-           .withColumn("timestamp", F.when(nanos == 0, F.col("_recv")).otherwise(V.clamp_time(ms, F.col("_recv"))))
-           .withColumn("labels", V.sorted_labels("_labels")))
+    out = pts.withColumns({
+        "name": F.col("_pt.name"), "type": F.col("_pt.type"), "value": F.col("_pt.value"),
+        "timestamp": F.when(nanos == 0, F.col("_recv")).otherwise(V.clamp_time(ms, F.col("_recv"))),
+        "labels": V.sorted_labels("_labels")})
     return out.select(*SAMPLE_COLUMNS, event_date("timestamp").alias("dt"), *keep)

@@ -79,11 +79,11 @@ def prom_text_to_metrics(df: DataFrame, text: str = "text", service: str = "serv
     s = got.select("*", F.explode(F.filter(kinds, _kept)).alias("_s"))
     counter = (F.col("_s.own") == "counter") | (F.col("_s.own").isNull() & F.col("_s.family").isin("histogram", "summary"))
     own_ms = F.nullif(F.regexp_extract("_s.line", SAMPLE, 4), F.lit("")).try_cast("bigint")
-    out = (s.withColumn("name", F.col("_s.name"))
-           .withColumn("type", F.when(counter, COUNTER).otherwise(GAUGE).cast("int"))
-           .withColumn("value", F.regexp_extract("_s.line", SAMPLE, 3).try_cast("double"))
-           .withColumn("timestamp", F.coalesce(F.nullif(own_ms, F.lit(0).cast("long")), F.col(scraped_at).cast("long")))
-           .withColumn("_entries", _label_entries(F.regexp_extract("_s.line", SAMPLE, 2)))
-           .withColumn("labels", V.sorted_labels("_entries"))
-           .withColumn("service", F.col(service)).withColumn("host", F.col(host)))
-    return out.select(*SAMPLE_COLUMNS, event_date("timestamp").alias("dt"), *keep)
+    out = s.withColumns({
+        "name": F.col("_s.name"), "type": F.when(counter, COUNTER).otherwise(GAUGE).cast("int"),
+        "value": F.regexp_extract("_s.line", SAMPLE, 3).try_cast("double"),
+        "timestamp": F.coalesce(F.nullif(own_ms, F.lit(0).cast("long")), F.col(scraped_at).cast("long")),
+        "_entries": _label_entries(F.regexp_extract("_s.line", SAMPLE, 2)),
+        "service": F.col(service), "host": F.col(host)})
+    return out.select(*[c for c in SAMPLE_COLUMNS if c != "labels"], V.sorted_labels("_entries").alias("labels"),
+                      event_date("timestamp").alias("dt"), *keep)

@@ -26,7 +26,7 @@ def ticks(rules: DataFrame, matches: Callable[[DataFrame, int], DataFrame], path
     """Batch sink that runs one tick: due rules, their matches, the next state, the audit rows.
 
     ``matches(batch, now)`` gives matched rows with their rule ``id``; ``deliver`` sends the
-    messages and returns ``id, notify_error``. A tick writes its audit rows before its state
+    messages at once and returns ``id, notify_error`` as data, not as a plan that would send again. A tick writes its audit rows before its state
     and both under its batch id, so running it again replaces them.
     """
     def each(df: DataFrame, batch_id: int) -> None:
@@ -35,11 +35,13 @@ def ticks(rules: DataFrame, matches: Callable[[DataFrame, int], DataFrame], path
         before = state(spark, path, below=batch_id)
         due = R.due(rules, before, now)
         found = matches(df, now).join(due.select("id"), "id", "left_semi")
-        outcomes = R.grouped_outcomes(due, found, [F.col(c) for c in found.columns if c != "id"])
+        outcomes = R.grouped_outcomes(due, found, [F.col(c) for c in found.columns if c != "id"]).persist()
+        judged = outcomes
         if deliver is not None:
             answers = deliver(R.to_notify(rules, before, outcomes, now))
-            outcomes = outcomes.drop("notify_error").join(answers, "id", "left")
-        after, fired = R.step(rules, before, outcomes, now)
+            judged = outcomes.drop("notify_error").join(answers, "id", "left")
+        after, fired = R.step(rules, before, judged, now)
         _replace_batch(fired.withColumn("batch", F.lit(batch_id)), f"{path}/firings", ["batch"])
         refresh(f"{path}/state")(after, batch_id)
+        outcomes.unpersist()
     return each

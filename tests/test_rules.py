@@ -90,3 +90,30 @@ def test_payload_and_message(spark):
 def test_message_float_form(spark):
     rows = spark.createDataFrame([(1234567.0,)], "v double")
     assert R.outcome(1, rows, [F.col("v")]).first().message == "1 matching row(s)\nv=1.234567e+06"
+
+
+def test_loop_retries_a_failed_delivery(spark, tmp_path, rules):
+    """Ticks over batches: a failed message is sent again, and a repeated tick changes nothing."""
+    from logloom.streaming import rule_loop
+
+    path, sent = str(tmp_path), []
+
+    def deliver(messages):
+        got = [(r.id, r.message) for r in messages.collect()]
+        sent.extend(got)
+        error = "HTTP 503" if len(sent) == 1 else None
+        return spark.createDataFrame([(i, error) for i, _ in got], "id long, notify_error string")
+
+    def batch(ts):
+        return spark.createDataFrame([(1, ts)], "id long, line long")
+
+    each = rule_loop.ticks(rules, lambda df, now: df, path, lambda df: df.first().line, deliver)
+    each(batch(NOW), 0)
+    each(batch(NOW + 60_000), 1)
+    each(batch(NOW + 60_000), 1)
+    each(batch(NOW + 120_000), 2)
+    state = rule_loop.state(spark, path).first()
+    assert state.last_fired_at == NOW + 60_000 and state.currently_firing and state.last_error is None
+    fired = sorted((r.fired_at, r.notification_sent) for r in rule_loop.firings(spark, path).collect())
+    assert fired == [(NOW, False), (NOW + 60_000, True)]
+    assert sent[0] == (1, f"1 matching row(s)\nline={NOW}")
