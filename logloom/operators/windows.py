@@ -10,6 +10,7 @@ they are read, also after an executor is lost.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,14 @@ def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
             .withColumn("_chunk", F.spark_partition_id()).checkpoint())
 
 
+def _with_carried(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each row beside its (key, chunk) summary; a NULL key is a key like any other."""
+    at = [*keys, "_chunk"]
+    right = carried.withColumnsRenamed({k: f"_at{i}" for i, k in enumerate(at)})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_at{i}")) for i, k in enumerate(at)])
+    return rows.join(right, same).drop(*[f"_at{i}" for i in range(len(at))])
+
+
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Adds ``row_number`` and ``running_sum`` of ``value`` per key, in ``order`` (ending in a unique column)."""
     chunks = ordered_chunks(df, keys, order)
@@ -35,7 +44,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
     here = (chunks.withColumn("_n", F.row_number().over(w))
             .withColumn("_s", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))))
     total = F.coalesce(F.col("_s") + F.col("_s_before"), F.col("_s"), F.col("_s_before"))
-    return (here.join(before, [*keys, "_chunk"])
+    return (_with_carried(here, before, keys)
             .withColumn("row_number", F.col("_n") + F.col("_n_before"))
             .withColumn("running_sum", total)
             .drop("_chunk", "_n", "_s", "_n_before", "_s_before"))
@@ -50,7 +59,7 @@ def lag_delta(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
     over_chunks = Window.partitionBy(*keys).orderBy("_chunk")
     carried = last.select(*keys, "_chunk", F.lag("_last").over(over_chunks).alias("_before"))
     here = (chunks.withColumn("_rn", F.row_number().over(w)).withColumn("_lag", F.lag(value).over(w)))
-    return (here.join(carried, [*keys, "_chunk"])
+    return (_with_carried(here, carried, keys)
             .withColumn("previous", F.when(F.col("_rn") == 1, F.col("_before")).otherwise(F.col("_lag")))
             .withColumn("delta", F.col(value) - F.col("previous"))
             .drop("_chunk", "_rn", "_lag", "_before"))
