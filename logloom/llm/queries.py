@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import exact_dedup, language, mixing, secrets, toxicity
+from logloom.llm import exact_dedup, language, mixing, near_dedup, secrets, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -88,3 +88,8 @@ SELECT doc_id, size, source_size, target,
 FROM c""")
 def mixed(spark, sf_dir):
     return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
+@query("op10_near_dedup")
+def near_duplicates(spark, sf_dir):
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
