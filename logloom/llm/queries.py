@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import exact_dedup, language, mixing, near_dedup, secrets, toxicity
+from logloom.llm import exact_dedup, language, mixing, near_dedup, phrase_index, secrets, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -93,3 +93,26 @@ def mixed(spark, sf_dir):
 @query("op10_near_dedup")
 def near_duplicates(spark, sf_dir):
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+@query("op4_decontamination", """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w
+           FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+      FROM benchmark),
+p AS (SELECT DISTINCT item, w[i:i + 9] AS phrase FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(phrase) AS n FROM p),
+runs AS (SELECT r, n, i, w[i:i + n - 1] AS phrase FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT r, item, i, n FROM runs JOIN p USING (phrase)),
+hits AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM m) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT r, item FROM m) WHERE item IS NOT NULL GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)""")
+def contaminated(spark, sf_dir):
+    found = phrase_index.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    hit = phrase_index.covered(F.col("runs"))
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
