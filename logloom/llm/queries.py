@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import exact_dedup, language, mixing, near_dedup, phrase_index, secrets, toxicity
+from logloom.llm import exact_dedup, language, mixing, near_dedup, packing, phrase_index, secrets, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -116,3 +116,28 @@ def contaminated(spark, sf_dir):
     hit = phrase_index.covered(F.col("runs"))
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+@query("op5_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS hex FROM p),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM h),
+b AS (SELECT *, list_transform(range(1, 37, 5), lambda i: CAST('0x' || substr(hex, i, 5) AS INTEGER)) AS fives FROM g)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(flatten(list_transform(fives, lambda x: [x >> 15, (x >> 10) & 31, (x >> 5) & 31, x & 31])),
+         lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', d + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b""")
+def archived(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages")
+    kind = dict(pages.dtypes)["page_id"]
+    return warc.archive_index(pages).select(
+        F.col("id").cast(kind).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+        F.when(F.col("intact"), F.col("type")).otherwise(F.raise_error(F.lit("a payload differs from its digest"))).alias("record_type"),
+        F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+@query("op6_packing")
+def packed(spark, sf_dir):
+    return packing.packed(_read(spark, sf_dir, "documents"))

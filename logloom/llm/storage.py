@@ -13,11 +13,16 @@ _written: list[str] = []
 def table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once below ``spark.checkpoint.dir`` and read back: a lost executor costs a read, not the work."""
     path = scratch_path(df.sparkSession, name)
-    _written.append(path)
+    keep(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep(path: str) -> None:
+    """Notes a path that ``release`` is to delete."""
+    _written.append(path)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes the tables written so far; for when every result that reads them has been written."""
     while _written:
