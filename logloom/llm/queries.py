@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import exact_dedup, language, mixing, near_dedup, packing, phrase_index, secrets, toxicity, warc
+from logloom.llm import exact_dedup, language, mixing, near_dedup, packing, phrase_index, secrets, suffix_dedup, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -141,3 +141,11 @@ def archived(spark, sf_dir):
 @query("op6_packing")
 def packed(spark, sf_dir):
     return packing.packed(_read(spark, sf_dir, "documents"))
+
+
+@query("op3_suffix_dedup")
+def without_repeats(spark, sf_dir):
+    out = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
