@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm import storage
@@ -202,3 +202,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                     F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
             .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows, with all their columns, of one document of each component. Of rows that repeat an id one stays,
+    by its text; rows with a null id all stay."""
+    kept = near_duplicates(docs, id_col, text_col, percent).filter("kept").groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__rows"))
+    kept = storage.table(kept.filter("__id is not null"), "kept")
+    one = docs.join(kept.filter("__rows = 1"), F.col(id_col) == F.col("__id"), "left_semi")
+    out = one.union(docs.filter(F.col(id_col).isNull()))
+    again = kept.filter("__rows > 1")
+    if again.isEmpty():
+        return out
+    first = Window.partitionBy(F.col(id_col)).orderBy(F.col(text_col).asc_nulls_last(), F.monotonically_increasing_id())
+    several = docs.join(again, F.col(id_col) == F.col("__id"), "left_semi")
+    return out.union(several.withColumn("__place", F.row_number().over(first)).filter("__place = 1").drop("__place"))

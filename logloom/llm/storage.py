@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.session import delete_path, scratch_path
 
-_written: list[str] = []
+#: Where the paths of written tables are noted, innermost last.
+_noted: list[list[str]] = [[]]
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -19,14 +23,25 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def keep(path: str) -> None:
-    """Notes a path that ``release`` is to delete."""
-    _written.append(path)
+    """Notes a path that is to be deleted once its readers are done."""
+    _noted[-1].append(path)
+
+
+@contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """Within the block, paths of written tables are added to ``paths``."""
+    _noted.append(paths)
+    try:
+        yield
+    finally:
+        _noted.pop()
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables written so far; for when every result that reads them has been written."""
-    while _written:
-        delete_path(spark, _written.pop())
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes noted tables; for when every result that reads them has been written."""
+    paths = _noted[0] if paths is None else paths
+    while paths:
+        delete_path(spark, paths.pop())
 
 
 def join_few(df: DataFrame, few: DataFrame, on: str, rows: int, at_most: int = 100_000, salts: int = 32) -> DataFrame:
