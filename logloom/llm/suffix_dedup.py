@@ -99,8 +99,8 @@ _PIECE = X.BLOCK_BYTES
 
 def _pieces(column: pa.Array, length: int) -> Iterator[tuple[X.Block, int]]:
     """Blocks of a column; a document larger than a block comes as overlapping pieces, each with its first byte."""
-    for block in X.blocks(column):
-        if len(block.data) <= 2 * _PIECE:
+    for block in X.blocks(column, _PIECE):
+        if block.hi - block.lo > 1 or len(block.data) <= 2 * _PIECE:
             yield block, 0
             continue
         for a in range(0, len(block.data), _PIECE):
