@@ -7,7 +7,6 @@ nothing is shuffled.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator, Sequence
@@ -49,40 +48,54 @@ def _plain(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
 
 
-def _pieces(value: str, low: str, i: int, ranks: dict[str, int], longest: int) -> Iterator[tuple[int, float]]:
-    """(end, log10 guesses) of every word, date, repeat and walk that starts at ``i``."""
-    n = len(value)
-    for j in range(i + 3, min(n, i + longest) + 1):
-        rank = ranks.get(low[i:j])
-        if rank:
-            yield j, math.log10(rank + 1) + (0.3 if value[i:j] != low[i:j] else 0.0)
-    for m in (_DATE.match(value, i),):
+def _streaks(follows: list[bool], step: int) -> list[int]:
+    """For each place how often in a row, going on by ``step``, the next place follows."""
+    out = [0] * (len(follows) + step)
+    for i in range(len(follows) - 1, -1, -1):
+        out[i] = out[i + step] + 1 if follows[i] else 0
+    return out
+
+
+class _Pieces:
+    """Words, dates, repeats and walks that begin at a place of one value; lengths of runs are found once."""
+
+    def __init__(self, value: str, words: Sequence[str]):
+        self.value, self.ranks = value, _ranks(tuple(words))
+        low = value.lower()
+        self.low = low if len(low) == len(value) else value
+        self.longest = max(map(len, self.ranks), default=0)
+        n = len(value)
+        self.repeats = {w: _streaks([value[i:i + w] == value[i + w:i + 2 * w] for i in range(max(n - w, 0))], w) for w in (1, 2, 3, 4)}
+        pairs = [_NEXT.get(p) for p in zip(self.low, self.low[1:])]
+        self.walks = {step: _streaks([p == step for p in pairs], 1) for step in (1, -1)}
+
+    def at(self, i: int) -> Iterator[tuple[int, float]]:
+        """(end, log10 guesses) of every piece from ``i`` on."""
+        value, low = self.value, self.low
+        n = len(value)
+        for j in range(i + 3, min(n, i + self.longest) + 1):
+            rank = self.ranks.get(low[i:j])
+            if rank:
+                yield j, math.log10(rank + 1) + (0.3 if value[i:j] != low[i:j] else 0.0)
+        m = _DATE.match(value, i)
         if m:
             yield m.end(), math.log10(365 * 120) if m.end() - i > 4 else math.log10(120)
-    for width in (1, 2, 3, 4):
-        unit = value[i:i + width]
-        j = i + width
-        while len(unit) == width and value.startswith(unit, j):
-            j += width
-        times = (j - i) // width
-        if times >= 2 and j - i >= 3:
-            yield j, sum(map(_plain, unit)) + math.log10(times)
-    j, step = i + 1, 0
-    while j < n and (way := _NEXT.get((low[j - 1], low[j]))) and step in (0, way):
-        j, step = j + 1, way
-    if j - i >= 3:
-        yield j, math.log10(4 * len(_ROWS) * 10) + math.log10(j - i)
+        for width, streak in self.repeats.items():
+            times = streak[i] + 1 if i < len(streak) else 1
+            if times >= 2 and times * width >= 3:
+                yield i + times * width, sum(map(_plain, value[i:i + width])) + math.log10(times)
+        for streak in self.walks.values():
+            if i < len(streak) and streak[i] >= 2:
+                yield i + streak[i] + 1, math.log10(4 * len(_ROWS) * 10) + math.log10(streak[i] + 1)
 
 
 def guess_cost(value: str, words: Sequence[str] = COMMON) -> float:
     """log10 of the guesses for the cheapest segmentation of ``value``; 0 for the empty text."""
-    ranks = _ranks(tuple(words))
-    low = value.lower() if len(value.lower()) == len(value) else value
-    longest = max(map(len, ranks), default=0)
+    pieces = _Pieces(value, words)
     best = [0.0] + [math.inf] * len(value)
     for i in range(len(value)):
         best[i + 1] = min(best[i + 1], best[i] + _plain(value[i]))
-        for j, cost in _pieces(value, low, i, ranks, longest):
+        for j, cost in pieces.at(i):
             best[j] = min(best[j], best[i] + cost + math.log10(2))
     return best[-1]
 
@@ -157,7 +170,3 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = ids.schema["id"].dataType.simpleString()
     return (ids.mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
             .withColumnRenamed("id", id_col))
-
-
-def digest(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()

@@ -25,11 +25,11 @@ class Settings:
 
     bits: int = 20
     most_rows: int = 24_000
-    epochs: int = 3
-    alpha: float = 0.3
+    epochs: int = 4
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.5
-    l2: float = 0.5
+    l1: float = 8.0
+    l2: float = 0.1
 
 
 def features(block: X.Block, bits: int) -> tuple[np.ndarray, np.ndarray]:
