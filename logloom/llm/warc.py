@@ -1,7 +1,7 @@
 """WARC archives: pages written as records, read back, and indexed in global order of URL key and time.
 
-Archives are written by Spark's text writer, so they lie wherever the shared folder is; records are cut by
-their Content-Length when read. The index is an external merge: captures are sorted into runs, each a part of
+Archives are written by Spark's text writer, gzipped, so they lie wherever the shared folder is; records are cut
+by their Content-Length when read, and offsets count uncompressed bytes. The index is an external merge: captures are sorted into runs, each a part of
 a written table, ranges of the whole order are taken from the runs, and the runs meet in each range in a loser
 tree.
 """
@@ -9,6 +9,7 @@ tree.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote_plus, urlsplit
@@ -106,9 +107,9 @@ def base32(sha1: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0, per_file: int = RECORDS) -> None:
-    """Writes (id, url, payload, time) rows as WARC files of at most ``per_file`` records."""
+    """Writes (id, url, payload, time) rows as gzipped WARC files of at most ``per_file`` records."""
     rows = records(pages, least).withColumn("sha1", base32(F.col("sha1")))
-    _render(rows).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    _render(rows).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -151,7 +152,7 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = [_capture(name, *record) for record in parse(data.as_py())]
+                rows = [_capture(name, *record) for record in parse(gzip.decompress(data.as_py()))]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
