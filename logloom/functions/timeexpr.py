@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 import time
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,17 +47,23 @@ def event_date(ts: Column | str) -> Column:
     return F.date_add(F.lit(dt.date(1970, 1, 1)), F.floor(col / F.lit(DAY_MS)).cast("int"))
 
 
+def newer_condition(columns: Sequence[str], cutoff_ms: int, ts: str = "timestamp") -> Column:
+    """Strictly after ``cutoff_ms``; with the date too where ``dt`` is among the columns."""
+    cond = F.col(ts) > F.lit(cutoff_ms).cast("long")
+    return (F.col("dt") >= F.lit(utc_date(cutoff_ms))) & cond if "dt" in columns else cond
+
+
 def newer_than(df: DataFrame, cutoff_ms: int, ts: str = "timestamp") -> DataFrame:
     """Rows strictly after ``cutoff_ms``, with no upper bound; prunes ``dt`` partitions when there are any."""
-    cond = F.col(ts) > F.lit(cutoff_ms).cast("long")
-    if "dt" in df.columns:
-        cond = (F.col("dt") >= F.lit(utc_date(cutoff_ms))) & cond
-    return df.filter(cond)
+    return df.filter(newer_condition(df.columns, cutoff_ms, ts))
+
+
+def between_condition(columns: Sequence[str], from_ms: int, to_ms: int, ts: str = "timestamp") -> Column:
+    """In the inclusive window; with the date too where ``dt`` is among the columns."""
+    cond = F.col(ts).between(F.lit(from_ms).cast("long"), F.lit(to_ms).cast("long"))
+    return F.col("dt").between(F.lit(utc_date(from_ms)), F.lit(utc_date(to_ms))) & cond if "dt" in columns else cond
 
 
 def between(df: DataFrame, from_ms: int, to_ms: int, ts: str = "timestamp") -> DataFrame:
     """Rows in the inclusive window, pruning ``dt`` partitions when there are any."""
-    cond = F.col(ts).between(F.lit(from_ms).cast("long"), F.lit(to_ms).cast("long"))
-    if "dt" in df.columns:
-        cond = F.col("dt").between(F.lit(utc_date(from_ms)), F.lit(utc_date(to_ms))) & cond
-    return df.filter(cond)
+    return df.filter(between_condition(df.columns, from_ms, to_ms, ts))

@@ -37,13 +37,13 @@ GRAMS = (0.25, 0.96, 1.0)
 MANY = 2000
 
 #: Bytes of segments in one shard.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = X.seeds(256, 31)
 
 
-@lru_cache(2)
+@lru_cache(4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2^64."""
     back = pow(_BASE, -1, 1 << 64)
@@ -58,7 +58,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """The hash of the ``size`` bytes from each place on; it depends on these bytes alone."""
     n = len(data)
-    up, down = _powers(max(X.BLOCK_BYTES, 1 << (n - 1).bit_length()) if n else X.BLOCK_BYTES)
+    up, down = _powers(1 << max(n, 1).bit_length())
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTES[data] * up[:n], out=sums[1:])
     return X.mix((sums[size:] - sums[:n + 1 - size]) * down[:n + 1 - size])
@@ -94,7 +94,7 @@ def segments(block: X.Block, length: int, gram: int) -> tuple[np.ndarray, np.nda
 
 
 #: Windows of a document worked on at a time.
-_PIECE = X.BLOCK_BYTES
+_PIECE = 1 << 18
 
 
 def _pieces(column: pa.Array, length: int) -> Iterator[tuple[X.Block, int]]:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.timeexpr import between, newer_than
+from logloom.functions.timeexpr import between, between_condition, newer_condition, newer_than
+from logloom.operators.paging import keyset_page
 from logloom.schemas import DAY_MS, ERROR, HOUR_MS, WARN
 
 QUICK_COLUMNS = ("service", "host", "level")
-DRILL_IN_ROWS = 50
-PRESET_ROWS = 100
 
 
 @dataclass(frozen=True)
@@ -54,6 +57,15 @@ class LogFilter:
     def is_empty(self) -> bool:
         return not (self.equal or self.preds or self.window or self.since is not None)
 
+    def condition(self, columns: Sequence[str]) -> Column:
+        """The filter as one predicate over a frame with these columns, dates of a stored table included."""
+        parts = [F.col(column) == F.lit(value) for column, value in self.equal] + list(self.preds)
+        if self.since is not None:
+            parts.append(newer_condition(columns, self.since))
+        if self.window:
+            parts.append(between_condition(columns, *self.window))
+        return reduce(and_, parts, F.lit(True))
+
     def apply(self, logs: DataFrame) -> DataFrame:
         for column, value in self.equal:
             logs = logs.filter(F.col(column) == F.lit(value))
@@ -66,12 +78,15 @@ class LogFilter:
         return logs
 
 
-def drill_in(logs: DataFrame, base: LogFilter, column: str, value) -> DataFrame:
-    """The lines behind one aggregated row: same filter plus the clicked value, oldest fifty."""
-    return base.with_(**{column: value}).apply(logs).orderBy("timestamp", "id").limit(DRILL_IN_ROWS)
+def drill_in(logs: DataFrame, base: LogFilter, column: str, value, rows: int = 50) -> DataFrame:
+    """The lines behind one aggregated row: same filter plus the clicked value, the oldest first."""
+    return base.with_(**{column: value}).apply(logs).orderBy("timestamp", "id").limit(rows)
 
 
-def point_lookup(logs: DataFrame, log_id: int) -> DataFrame:
+def point_lookup(logs: DataFrame, log_id: int, timestamp: int | None = None) -> DataFrame:
+    """One line by id. With its time, which every listing shows beside the id, only its day is read."""
+    if timestamp is not None:
+        logs = between(logs, timestamp, timestamp)
     return logs.filter(F.col("id") == log_id)
 
 
@@ -92,5 +107,5 @@ def service_errors(service: str, as_of: int) -> LogFilter:
     return service_logs(service).where(F.col("level") >= ERROR).newer(as_of - DAY_MS)
 
 
-def newest(logs: DataFrame, n: int = PRESET_ROWS) -> DataFrame:
-    return logs.orderBy(F.desc("timestamp"), F.desc("id")).limit(n)
+def newest(logs: DataFrame, n: int = 100, days: Sequence[dt.date] | None = None) -> DataFrame:
+    return keyset_page(logs, size=n, days=days)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.timeexpr import utc_date
 from logloom.schemas import DAY_MS
-from logloom.session import delete_path
+from logloom.session import delete_path, folders, read_note, write_note
 
 # Days kept unless a valid setting says otherwise.
 DEFAULT_DAYS = {"logs": 30, "metrics": 90, "firings": 90}
@@ -45,56 +46,102 @@ def kept(rows: DataFrame, threshold: int, ts: str = "timestamp") -> DataFrame:
     return rows.filter(cond)
 
 
-def _partitions(spark: SparkSession, path: str, column: str) -> dict[str, str]:
-    """Partition values below a folder and their paths; one entry per day or batch."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    folders = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()] if fs.exists(root) else []
-    return {p.getName()[len(column) + 1:]: p.toString() for p in folders if p.getName().startswith(f"{column}=")}
-
+def _drop_days(spark: SparkSession, path: str, before: dt.date) -> int:
+    """Removes the partition folders of all days before a date and returns how many rows they held."""
+    old = [folder for day, folder in folders(spark, path, "dt").items() if day < before.isoformat()]
+    if not old:
+        return 0
+    held = spark.read.parquet(*old).count()
+    for folder in old:
+        delete_path(spark, folder)
+    return held
 
-def _drop_days(spark: SparkSession, path: str, before: dt.date) -> None:
-    """Removes the partition folders of all days before a date."""
-    for day, folder in _partitions(spark, path, "dt").items():
-        if day < before.isoformat():
-            delete_path(spark, folder)
 
+def replace_day(spark: SparkSession, path: str, day: dt.date, change: Callable[[DataFrame], DataFrame],
+                always: bool = False) -> int:
+    """Replaces the rows of one day by ``change`` of them and returns how many fewer there are.
 
-def _rewrite_day(spark: SparkSession, path: str, day: dt.date, stays: Callable[[DataFrame], DataFrame]) -> None:
-    """Replaces one day's partitions by the rows ``stays`` leaves of them; the empty ones go."""
-    left = stays(spark.read.parquet(path).filter(F.col("dt") == F.lit(day)))
+    What ``change`` leaves is written aside and noted; then it is moved in and exactly the files it was made from
+    are deleted, so rows that arrive meanwhile stay, and a call that was cut short is finished by the next one.
+    """
+    _finish(spark, path)
+    files = _files(spark, f"{path}/dt={day.isoformat()}")
+    if not files:
+        return 0
+    rows = spark.read.option("basePath", path).parquet(*files)
+    left = change(rows)
+    before, after = rows.count(), left.count()
+    if before == after and not always:
+        return 0
+    aside = f"{path}/_aside-{uuid.uuid4().hex}"
     by = [c for c in ("dt", "batch") if c in left.columns]
-    if left.isEmpty():
-        _drop_days(spark, path, day + dt.timedelta(days=1))
+    if after:
+        left.withColumn("dt", F.lit(day)).write.partitionBy(*by).parquet(aside)
+    write_note(spark, f"{path}/{SWAP}", {"old": files, "aside": aside})
+    _finish(spark, path)
+    return before - after
+
+
+#: Below a table: the exchange of files that is under way.
+SWAP = "_swap"
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The data files below a folder."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found, walk = [], fs.listFiles(root, True)
+    while walk.hasNext():
+        p = walk.next().getPath()
+        if p.getName()[0] not in "_.":
+            found.append(p.toString())
+    return found
+
+
+def _finish(spark: SparkSession, path: str) -> None:
+    """Carries out the noted exchange of files, if there is one; doing it again changes nothing."""
+    note = read_note(spark, f"{path}/{SWAP}")
+    if not note:
         return
-    had = _partitions(spark, f"{path}/dt={day.isoformat()}", "batch")
-    has = {str(r.batch) for r in left.select("batch").distinct().collect()} if "batch" in by else set()
-    left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
-    for batch, folder in had.items():
-        if batch not in has:
-            delete_path(spark, folder)
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = jvm_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for file in _files(spark, note["aside"]):
+        target = jvm_path(f"{path}/{file.rpartition(note['aside'].rpartition('/')[2] + '/')[2]}")
+        fs.mkdirs(target.getParent())
+        fs.rename(jvm_path(file), target)
+    for file in note["old"]:
+        fs.delete(jvm_path(file), False)
+    delete_path(spark, note["aside"])
+    delete_path(spark, f"{path}/{SWAP}")
+    # folders that the exchange has emptied would still count as days
+    for day in {f.rpartition("/")[0] for f in note["old"]}:
+        folder = jvm_path(day)
+        while folder.getName().partition("=")[0] in ("dt", "batch") and not _files(spark, folder.toString()):
+            fs.delete(folder, True)
+            folder = folder.getParent()
 
 
 def expire(spark: SparkSession, path: str, days: int, now: int, ts: str = "timestamp", index_path: str | None = None) -> int:
-    """Deletes rows older than ``days`` from a stored table and returns how many.
+    """Deletes rows older than ``days`` from a table stored by ``dt`` and returns how many.
 
-    A search index beside a log table loses the same days, and on the boundary day the
-    lines that went.
+    A search index beside a log table is swept first, and at every call: it loses the same days and, on the
+    boundary day, every line that does not stay. So a sweep that was cut short leaves no entry without its line.
     """
+    if "dt" not in spark.read.parquet(path).columns:
+        raise ValueError(f"{path} is not stored by dt")
+    _finish(spark, path)
     threshold = threshold_ms(days, now)
-    rows = spark.read.parquet(path)
-    gone = expired_count(rows, threshold, ts)
-    if not gone:
-        return 0
     day = utc_date(threshold)
-    _drop_days(spark, path, day)
-    if threshold % DAY_MS and rows.filter((F.col("dt") == F.lit(day)) & (F.col(ts) < threshold)).limit(1).count():
-        _rewrite_day(spark, path, day, lambda r: r.filter(F.col(ts) >= threshold))
-        if index_path:
-            ids = spark.read.parquet(path).filter(F.col("dt") == F.lit(day)).select("id")
-            _rewrite_day(spark, index_path, day, lambda r: r.join(ids, "id", "left_semi"))
+    stays = F.col(ts) >= threshold
     if index_path:
         _drop_days(spark, index_path, day)
+        lines = spark.read.parquet(path).filter((F.col("dt") == F.lit(day)) & stays).select("id")
+        replace_day(spark, index_path, day, lambda rows: rows.join(lines, "id", "left_semi"))
+    gone = _drop_days(spark, path, day)
+    if threshold % DAY_MS:
+        gone += replace_day(spark, path, day, lambda rows: rows.filter(stays))
     return gone
 
 

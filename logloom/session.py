@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,6 +58,52 @@ def delete_path(spark: SparkSession, path: str) -> None:
     root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
+def _folder(spark: SparkSession, path: str):
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folders(spark: SparkSession, path: str, column: str) -> dict[str, str]:
+    """Partition values below a folder and their paths; no data is read."""
+    root, fs = _folder(spark, path)
+    found = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()] if fs.exists(root) else []
+    return {p.getName()[len(column) + 1:]: p.toString() for p in found if p.getName().startswith(f"{column}=")}
+
+
+def stored_days(spark: SparkSession, path: str) -> list[dt.date]:
+    """The days of a table stored by ``dt``, newest first."""
+    return sorted((dt.date.fromisoformat(d) for d in folders(spark, path, "dt")), reverse=True)
+
+
+def read_note(spark: SparkSession, path: str) -> dict | None:
+    """The last complete note kept in a folder, a small JSON object."""
+    root, fs = _folder(spark, path)
+    kept = sorted(int(s.getPath().getName()[5:]) for s in fs.listStatus(root)
+                  if s.getPath().getName().startswith("note-")) if fs.exists(root) else []
+    if not kept:
+        return None
+    stream = fs.open(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, f"note-{kept[-1]}"))
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode()) | {"_at": kept[-1]}
+    finally:
+        stream.close()
+
+
+def write_note(spark: SparkSession, path: str, note: dict) -> None:
+    """Replaces the note of a folder: written aside, renamed, and only then is the old one deleted."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root, fs = _folder(spark, path)
+    before = read_note(spark, path)
+    number = before["_at"] + 1 if before else 0
+    aside = jvm_path(root, f".{uuid.uuid4().hex}")
+    stream = fs.create(aside, True)
+    stream.write(bytearray(json.dumps({k: v for k, v in note.items() if k != "_at"}).encode()))
+    stream.close()
+    fs.rename(aside, jvm_path(root, f"note-{number}"))
+    if before:
+        fs.delete(jvm_path(root, f"note-{number - 1}"), False)
+
+
 @contextmanager
 def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
     """``df`` as a written table for the length of the block.

@@ -7,7 +7,10 @@ under their batch id, so a batch that is run again replaces itself.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +20,10 @@ from logloom.functions.timeexpr import event_date
 from logloom.functions.values import clamp_time
 from logloom.operators import search
 from logloom.operators.filters import LogFilter
-from logloom.operators.sinks import assign_ids
+from logloom.operators.retention import replace_day
+from logloom.operators.sinks import with_ids
 from logloom.schemas import LOG_COLUMNS, METRIC_COLUMNS
+from logloom.session import delete_path, read_note, write_note
 
 # How often the views refresh, and the size of the recent-lines ring.
 TAIL_EVERY, REFRESH_EVERY = "1 second", "5 seconds"
@@ -40,13 +45,15 @@ def tail(stream: DataFrame, flt: LogFilter | None = None, spec=None, pred: Colum
          op: str = "and") -> DataFrame:
     """New lines that match: stateless, in append mode, nothing from before the query started.
 
-    With ``op='or'`` a line needs to satisfy the filter or the search.
+    With ``op='or'`` a line needs to satisfy any of the filter, the predicate and the search that are given.
     """
-    if spec is not None and op == "or" and pred is not None:
-        return search.scan(stream, search.any_of(spec, search.Where(pred)))
-    out = (flt or LogFilter()).apply(stream)
-    if pred is not None:
-        out = out.filter(pred)
+    given = [] if flt is None or flt.is_empty else [flt.condition(stream.columns)]
+    given += [] if pred is None else [pred]
+    if op == "or":
+        if spec is not None:
+            return search.scan(stream, search.any_of(spec, *map(search.Where, given)) if given else spec)
+        return stream.filter(reduce(or_, given)) if given else stream
+    out = stream.filter(reduce(and_, given)) if given else stream
     return out if spec is None else search.scan(out, spec)
 
 
@@ -67,32 +74,43 @@ def run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], Non
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
+def run_of(df: DataFrame) -> str:
+    """The streaming query a micro-batch belongs to, which lives as long as its checkpoint; ``direct`` outside of any."""
+    return df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+
+
 def _replace_batch(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partitions).parquet(path))
 
 
-def store_logs(path: str) -> Callable[[DataFrame, int], None]:
-    """Batch sink of parsed lines: ids given, partitioned by date and batch."""
-    def each(df: DataFrame, batch_id: int) -> None:
-        rows = assign_ids(df, batch_id).select(*LOG_COLUMNS, event_date("timestamp").alias("dt"),
-                                               F.lit(batch_id).alias("batch"))
-        _replace_batch(rows, path, ["dt", "batch"])
-    return each
+def batch_name(df: DataFrame, batch_id: int, run: str | None = None) -> str:
+    """Names a micro-batch among all that were ever written: batch numbers start anew with a new checkpoint, runs do not."""
+    return f"{run or run_of(df)}-{batch_id}"
 
 
-def store_metrics(path: str) -> Callable[[DataFrame, int], None]:
+def _store(path: str, columns: Sequence[str], run: str | None) -> Callable[[DataFrame, int], None]:
     def each(df: DataFrame, batch_id: int) -> None:
-        rows = assign_ids(df, batch_id).select(*METRIC_COLUMNS, event_date("timestamp").alias("dt"),
-                                               F.lit(batch_id).alias("batch"))
-        _replace_batch(rows, path, ["dt", "batch"])
+        own = run or run_of(df)
+        with with_ids(df, path, own, batch_id) as rows:
+            rows = rows.select(*columns, event_date("timestamp").alias("dt"), F.lit(batch_name(df, batch_id, own)).alias("batch"))
+            _replace_batch(rows, path, ["dt", "batch"])
     return each
 
 
-def append_batches(path: str) -> Callable[[DataFrame, int], None]:
+def store_logs(path: str, run: str | None = None) -> Callable[[DataFrame, int], None]:
+    """Batch sink of parsed lines: ids given, partitioned by date and batch. ``compact`` joins the batches of a past day."""
+    return _store(path, LOG_COLUMNS, run)
+
+
+def store_metrics(path: str, run: str | None = None) -> Callable[[DataFrame, int], None]:
+    return _store(path, METRIC_COLUMNS, run)
+
+
+def append_batches(path: str, run: str | None = None) -> Callable[[DataFrame, int], None]:
     """Batch sink of any append stream, one partition per batch."""
     def each(df: DataFrame, batch_id: int) -> None:
-        _replace_batch(df.withColumn("batch", F.lit(batch_id)), path, ["batch"])
+        _replace_batch(df.withColumn("batch", F.lit(batch_name(df, batch_id, run))), path, ["batch"])
     return each
 
 
@@ -108,37 +126,47 @@ def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, in
     return each
 
 
-def _version(path: str, batch_id: int) -> str:
-    return f"{path.rstrip('/')}/v={batch_id}"
+def _version(path: str, name: str) -> str:
+    return f"{path.rstrip('/')}/v={name}"
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    done = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("v=")]
-    return sorted(int(p.getName()[2:]) for p in done if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+def latest(spark: SparkSession, path: str, other_than: str | None = None) -> DataFrame | None:
+    """The newest complete version of a refreshed result, or the one before it if the newest is ``other_than``."""
+    note = read_note(spark, f"{path}/_versions") or {}
+    name = note.get("current")
+    if name is not None and name == other_than:
+        name = note.get("previous")
+    return spark.read.parquet(_version(path, name)) if name else None
 
 
-def latest(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
-    """The newest complete version of a refreshed result (older than batch ``below``)."""
-    found = [v for v in _versions(spark, path) if below is None or v < below]
-    return spark.read.parquet(_version(path, found[-1])) if found else None
+def _publish(df: DataFrame, path: str, name: str) -> None:
+    """Writes a version and makes it the newest. It and the one before it stay, whatever was there earlier goes."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(_version(path, name))
+    note = read_note(spark, f"{path}/_versions") or {}
+    if note.get("current") != name:
+        write_note(spark, f"{path}/_versions", {"current": name, "previous": note.get("current")})
+        if note.get("previous"):
+            delete_path(spark, _version(path, note["previous"]))
 
 
-def refresh(path: str) -> Callable[[DataFrame, int], None]:
+def refresh(path: str, run: str | None = None) -> Callable[[DataFrame, int], None]:
     """Batch sink of a complete-mode aggregate: each batch writes the whole result anew."""
     def each(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(_version(path, batch_id))
+        _publish(df, path, batch_name(df, batch_id, run))
     return each
 
 
-def ring(path: str, size: int = RING, by: str = "id") -> Callable[[DataFrame, int], None]:
+def ring(path: str, size: int = RING, by: str = "id", run: str | None = None) -> Callable[[DataFrame, int], None]:
     """Batch sink that keeps the last ``size`` lines by arrival."""
     def each(df: DataFrame, batch_id: int) -> None:
-        before = latest(df.sparkSession, path, below=batch_id)
+        name = batch_name(df, batch_id, run)
+        before = latest(df.sparkSession, path, other_than=name)
         rows = df if before is None else df.unionByName(before)
-        rows.orderBy(F.desc(by)).limit(size).write.mode("overwrite").parquet(_version(path, batch_id))
+        _publish(rows.orderBy(F.desc(by)).limit(size), path, name)
     return each
+
+
+def compact(spark: SparkSession, path: str, day: dt.date) -> None:
+    """Joins the batch folders of one past day into one; batches written meanwhile stay as they are."""
+    replace_day(spark, path, day, lambda rows: rows.withColumn("batch", F.lit("compacted")), always=True)

@@ -7,21 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions.timeexpr import event_date
 from logloom.operators import rules as R
-from logloom.streaming.live import _replace_batch, latest, refresh
+from logloom.streaming.live import _publish, _replace_batch, batch_name, latest
 
 
-def state(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
-    found = latest(spark, f"{path}/state", below)
+def state(spark: SparkSession, path: str, other_than: str | None = None) -> DataFrame:
+    found = latest(spark, f"{path}/state", other_than)
     return spark.createDataFrame([], R.STATE) if found is None else found
 
 
 def firings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/firings").drop("batch")
+    return spark.read.parquet(f"{path}/firings").drop("batch", "dt")
 
 
 def ticks(rules: DataFrame, matches: Callable[[DataFrame, int], DataFrame], path: str,
-          clock: Callable[[DataFrame], int], deliver: Callable[[DataFrame], DataFrame] | None = None
+          clock: Callable[[DataFrame], int], deliver: Callable[[DataFrame], DataFrame] | None = None, run: str | None = None
           ) -> Callable[[DataFrame, int], None]:
     """Batch sink that runs one tick: due rules, their matches, the next state, the audit rows.
 
@@ -32,7 +33,8 @@ def ticks(rules: DataFrame, matches: Callable[[DataFrame, int], DataFrame], path
     def each(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         now = clock(df)
-        before = state(spark, path, below=batch_id)
+        name = batch_name(df, batch_id, run)
+        before = state(spark, path, other_than=name)
         due = R.due(rules, before, now)
         found = matches(df, now).join(due.select("id"), "id", "left_semi")
         outcomes = R.grouped_outcomes(due, found, [F.col(c) for c in found.columns if c != "id"]).persist()
@@ -41,7 +43,8 @@ def ticks(rules: DataFrame, matches: Callable[[DataFrame, int], DataFrame], path
             answers = deliver(R.to_notify(rules, before, outcomes, now))
             judged = outcomes.drop("notify_error").join(answers, "id", "left")
         after, fired = R.step(rules, before, judged, now)
-        _replace_batch(fired.withColumn("batch", F.lit(batch_id)), f"{path}/firings", ["batch"])
-        refresh(f"{path}/state")(after, batch_id)
+        dated = fired.withColumn("dt", event_date("fired_at")).withColumn("batch", F.lit(name))
+        _replace_batch(dated, f"{path}/firings", ["dt", "batch"])
+        _publish(after, f"{path}/state", name)
         outcomes.unpersist()
     return each

@@ -3,24 +3,26 @@
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.functions.timeexpr import event_date
 from logloom.operators import filters, paging, shape, signals, windows
 from logloom.operators.filters import LogFilter
 from logloom.plans import home, incident
+from logloom.session import stored_days
 
-T0 = 1_723_600_000_000
+T0 = 1_690_000_000_000
 
 
 @pytest.fixture(scope="module")
 def logs(spark):
-    rows = [(i + 1, T0 + i * 1000, T0, 2 if i % 2 == 0 else 4, "payment-svc" if i % 2 == 0 else "auth-svc", "host-1",
+    rows = [(i + 1, T0 + i * 1000, T0, 2 if i % 2 == 0 else 4, "billing" if i % 2 == 0 else "ledger", "rack-7",
              None if i % 5 == 0 else f"m{i}", None, f"raw {i}") for i in range(120)]
     return spark.createDataFrame(rows, "id long, timestamp long, ingested_at long, level int, service string, host string,"
                                        " message string, parsed string, raw string")
 
 
 def test_quick_filter_retargets(logs):
-    f = LogFilter().with_(service="payment-svc").with_(service="auth-svc").with_(level="4").with_(level=4)
-    assert f.equal == (("service", "auth-svc"), ("level", 4))
+    f = LogFilter().with_(service="billing").with_(service="ledger").with_(level="4").with_(level=4)
+    assert f.equal == (("service", "ledger"), ("level", 4))
     assert f.apply(logs).count() == 60
     with pytest.raises(ValueError):
         LogFilter().with_(message="x")
@@ -29,12 +31,12 @@ def test_quick_filter_retargets(logs):
 
 
 def test_free_predicate_is_kept_beside_quick_filter(logs):
-    f = LogFilter().where((F.col("service") == "auth-svc") | (F.col("id") == 1)).with_(service="payment-svc")
+    f = LogFilter().where((F.col("service") == "ledger") | (F.col("id") == 1)).with_(service="billing")
     assert [r.id for r in f.apply(logs).collect()] == [1]
 
 
 def test_drill_in(logs):
-    got = filters.drill_in(logs, LogFilter().within(T0, T0 + 10_000), "service", "auth-svc").collect()
+    got = filters.drill_in(logs, LogFilter().within(T0, T0 + 10_000), "service", "ledger").collect()
     assert [r.id for r in got] == [2, 4, 6, 8, 10]
 
 
@@ -49,8 +51,25 @@ def test_pages_cover_history_once(logs):
     assert seen == list(range(120, 0, -1))
     with pytest.raises(ValueError):
         paging.keyset_page(logs, size=0)
-    with pytest.raises(ValueError):
-        paging.keyset_page(logs, size=10_001)
+    assert len(paging.keyset_page(logs, size=10_001).collect()) == 120
+
+
+def test_newest_days_prune(spark, tmp_path):
+    """A page is exact however few rows the newest days hold, and older days are not read."""
+    day = 86_400_000
+    rows = [(k, T0 + k * day // 4) for k in range(40)] + [(100, T0 + 30 * day)]
+    path = str(tmp_path / "t")
+    (spark.createDataFrame(rows, "id long, timestamp long").withColumn("dt", event_date("timestamp"))
+     .write.partitionBy("dt").parquet(path))
+    table, days = spark.read.parquet(path), stored_days(spark, path)
+    assert len(days) == 11 or len(days) == 12
+    for size in (1, 2, 5, 17, 41, 60):
+        got = paging.keyset_page(table, size=size, days=days)
+        assert [r.id for r in got.collect()] == sorted([i for i, _ in rows], reverse=True)[:size]
+    plan = paging.keyset_page(table, size=5, days=days)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan
+    older = paging.keyset_page(table, (T0 + 5 * day, 20), 3, days)
+    assert [r.id for r in older.collect()] == [19, 18, 17]
 
 
 def test_viewer_rows(logs):
@@ -115,8 +134,8 @@ def test_top_per_key(spark):
 
 def test_latest_and_silent(spark, logs):
     got = {r.service: r.id for r in signals.latest_rows(logs.select("service", "id", "raw")).collect()}
-    assert got == {"payment-svc": 119, "auth-svc": 120}
-    assert [r.service for r in signals.silent(logs, logs.filter("level = 2")).collect()] == ["auth-svc"]
+    assert got == {"billing": 119, "ledger": 120}
+    assert [r.service for r in signals.silent(logs, logs.filter("level = 2")).collect()] == ["ledger"]
 
 
 def test_volume_and_bars(logs):
