@@ -15,8 +15,8 @@ from logloom.session import scratch_path
 from logloom.sources import testdata as td
 from logloom.sources.files import read_logs, read_metrics, spread
 from logloom.sources.lines import parse_payloads
-from logloom.sources.otlp import otlp_json_to_metrics
-from logloom.sources.prometheus import prom_text_to_metrics
+from logloom.sources.otlp import otlp_json_to_metrics, rejected as otlp_rejected
+from logloom.sources.prometheus import prom_text_to_metrics, rejected as prom_rejected
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -81,7 +81,7 @@ def _duck(text: str) -> str:
 
 
 def _payloads(spark, sf_dir, text: str):
-    return spread(td.events(spark, sf_dir)).select("service", "host", F.expr(_spark(text)).alias("payload"),
+    return spread(td.events(spark, sf_dir), 8).select("service", "host", F.expr(_spark(text)).alias("payload"),
                                            (F.col("timestamp") + 5000).alias("received_at"))
 
 
@@ -164,6 +164,22 @@ def _otlp_rows(kinds):
 
 
 _add("otlp_to_metrics", _otlp, _otlp_rows(["gauge", "sum", "hsum", "hcount"]))
+
+
+def _broken_otlp(spark, sf_dir):
+    """Payloads with an empty scope before the real one, cut off, or followed by other text."""
+    df = _payloads(spark, sf_dir, OTLP)
+    late = F.replace("payload", F.lit('"scopeMetrics":['), F.lit('"scopeMetrics":[{"scope":{}},'))
+    cut = F.substring("payload", F.lit(1), F.length("payload") - 2)
+    broken = F.when(F.col("host") == "host-0", late).when(F.col("host") == "host-1", cut).otherwise(F.concat("payload", F.lit(" tail")))
+    return df.withColumn("payload", broken)
+
+
+_add("otlp_empty_scope", lambda s, d: otlp_json_to_metrics(_broken_otlp(s, d)).select(*SAMPLE),
+     f"SELECT * FROM ({_otlp_rows(['gauge', 'sum', 'hsum', 'hcount'])}) WHERE host = 'host-0'")
+_add("otlp_rejected",
+     lambda s, d: otlp_rejected(_broken_otlp(s, d)).groupBy("service", "host").agg(F.count("*").alias("n")),
+     f"WITH {td._SQL_EVENTS} SELECT service, host, COUNT(*) AS n FROM ev WHERE host <> 'host-0' GROUP BY service, host")
 _add("histogram_downcast", lambda s, d: _otlp(s, d).filter(F.col("name").rlike("_time_(sum|count)$")),
      _otlp_rows(["hsum", "hcount"]))
 
@@ -188,10 +204,23 @@ _add("prom_to_metrics", _prom, _duck(
     f" UNION ALL SELECT timestamp + 5000, 'untyped_thing', 1, 1000.0, service, host, {_NONE} FROM ev"))
 
 
+
+
+def _bad_scrapes(spark, sf_dir):
+    df = _payloads(spark, sf_dir, PROM).withColumnsRenamed({"payload": "text", "received_at": "ts"})
+    line = F.when(F.col("host") == "host-0", F.lit("m{bad} 1\n")).when(F.col("host") == "host-1", F.lit('m{a="x",} 1\n')).otherwise(F.lit(""))
+    return df.withColumn("text", F.concat("text", line))
+
+
+_add("prom_bad_labels",
+     lambda s, d: prom_rejected(_bad_scrapes(s, d)).groupBy("service", "host").agg(F.count("*").alias("n")),
+     f"WITH {td._SQL_EVENTS} SELECT service, host, COUNT(*) AS n FROM ev WHERE host = 'host-0' GROUP BY service, host")
+
+
 # sinks: written to the shared folder, then read back with the declared schema
 def _stored_logs(spark, sf_dir):
     path = scratch_path(spark, "logs")
-    sinks.append_logs(parse_payloads(_payloads(spark, sf_dir, JSON_LINE)), path, batch_id=3)
+    sinks.append_logs(parse_payloads(_payloads(spark, sf_dir, JSON_LINE)), path)
     return (read_logs(spark, path).groupBy("dt", "service")
             .agg(F.count("*").alias("lines"), F.count_distinct("id").alias("ids"), F.max("timestamp").alias("newest"))
             .select(F.col("dt").cast("string").alias("day"), "service", "lines", "ids", "newest"))
@@ -227,6 +256,19 @@ _add("export_csv", _csv,
      " CASE WHEN host <> 'host-1' THEN host ELSE '' END) AS line FROM metrics WHERE name = 'view_value'")
 
 
+def _csv_odd(spark, sf_dir):
+    """Values with quotes, commas, line ends and outer blanks, written and read by standard rules."""
+    path = scratch_path(spark, "csv")
+    odd = td.logs(spark, sf_dir).select("id", F.col("parsed"), F.concat(F.lit('  a "b", c\n'), "message", F.lit("  ")).alias("text"))
+    sinks.export_csv(odd, path)
+    read = (spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema("id long, parsed string, text string"))
+    return read.csv(path)
+
+
+_add("export_csv_odd", _csv_odd,
+     f"WITH {td.SQL_LOGS} SELECT id, parsed, concat('  a \"b\", c', chr(10), message, '  ') AS text FROM logs")
+
+
 def _json(spark, sf_dir):
     path = scratch_path(spark, "json")
     sinks.export_json(td.logs(spark, sf_dir).groupBy("service").agg(

@@ -8,10 +8,6 @@ from pyspark.sql import types as T
 
 from logloom.schemas import LOGS, METRICS
 
-#: Fixed value: the longest service or host name a path may carry.
-MAX_NAME = 200
-
-
 def read_table(spark: SparkSession, path: str, view: str | None = None) -> DataFrame:
     """A stored logs or metrics table (partitioned by ``dt``), optionally as a temp view for SQL."""
     df = spark.read.parquet(path)
@@ -32,13 +28,12 @@ def _dated(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("dt", T.DateType())])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals rows out when the input has fewer partitions than the cluster has cores.
+def spread(df: DataFrame, partitions: int) -> DataFrame:
+    """Deals rows out over a stated number of partitions, for few files whose rows are heavy to parse.
 
-    Parsing is heavy per byte read; a large input already has enough partitions and stays as it is.
+    The number is the caller's and not the cluster's, so that ids, which follow partitions, are the same anywhere.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(partitions)
 
 
 def read_payload_files(spark: SparkSession, path: str, received_at: int | None = None, column: str = "payload") -> DataFrame:
@@ -60,6 +55,6 @@ def stream_payload_files(spark: SparkSession, path: str, max_files: int = 1000,
 def attribute(df: DataFrame, received_at: int | None) -> DataFrame:
     parts = F.split(F.col("_metadata.file_path"), "/")
     received = F.unix_millis("_metadata.file_modification_time") if received_at is None else F.lit(received_at)
-    return (df.withColumn("service", F.substring(F.url_decode(F.element_at(parts, -3)), 1, MAX_NAME))
-            .withColumn("host", F.substring(F.url_decode(F.element_at(parts, -2)), 1, MAX_NAME))
+    return (df.withColumn("service", F.url_decode(F.element_at(parts, -3)))
+            .withColumn("host", F.url_decode(F.element_at(parts, -2)))
             .withColumn("received_at", received.cast("long")))

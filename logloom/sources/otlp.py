@@ -67,15 +67,30 @@ def _tally_points(points: Column, name: Column, always_sum: bool) -> Column:
     return F.flatten(F.transform(F.filter(points, _recorded), two))
 
 
+def _whole(payload: str) -> Column:
+    """Whether a payload is one JSON object from its first character to its last."""
+    text = F.btrim(F.col(payload), F.lit(" \t\r\n"))
+    # as the only element of an array, nothing may follow it
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.coalesce(text.startswith("{") & alone.isNotNull() & F.try_variant_get(alone, "$[1]", "variant").isNull(), F.lit(False))
+
+
+def rejected(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """The payload rows that can't be read; null ones too."""
+    return df.filter(~_whole(payload))
+
+
 def otlp_json_to_metrics(df: DataFrame, payload: str = "payload", received: str = "received_at",
                          keep: tuple[str, ...] = ()) -> DataFrame:
-    """Payload rows to samples (no ``id`` yet)."""
-    got = df.withColumn("_p", F.from_json(payload, PAYLOAD))
+    """Payload rows to samples (no ``id`` yet). A payload that ``rejected`` lists yields none."""
+    got = df.filter(_whole(payload)).withColumn("_p", F.from_json(payload, PAYLOAD))
     res = got.select(F.col(received).cast("long").alias("_recv"), *keep,
                      F.explode("_p.resourceMetrics").alias("_r"))
+    # a scope may state no metrics; flattening must not see it
+    scopes = F.filter("_r.scopeMetrics", lambda s: s["metrics"].isNotNull())
     met = (res.select("_recv", *keep, _identity(F.col("_r.resource.attributes"), "service.name").alias("service"),
                       _identity(F.col("_r.resource.attributes"), "host.name").alias("host"),
-                      F.explode(F.flatten(F.transform("_r.scopeMetrics", lambda s: s["metrics"]))).alias("_m"))
+                      F.explode(F.flatten(F.transform(scopes, lambda s: s["metrics"]))).alias("_m"))
            .filter(F.length("_m.name") > 0))
     name, none = F.col("_m.name"), F.array()
     sum_type = F.when(F.lower("_m.sum.isMonotonic") == "true", COUNTER).otherwise(GAUGE)

@@ -16,7 +16,9 @@ from logloom.schemas import COUNTER, GAUGE, SAMPLE_COLUMNS
 # The exposition format.
 _NAME = r"[a-zA-Z_:][a-zA-Z0-9_:]*"
 _NUMBER = r"[+-]?(?:[Ii][Nn][Ff](?:inity)?|[Nn][Aa][Nn]|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
-SAMPLE = rf"^({_NAME})\s*(\{{.*\}})?\s*(?<=[\s}}])({_NUMBER})(?:\s+(-?\d+))?$"
+_PAIR = r'[a-zA-Z_][a-zA-Z0-9_]*\s*=\s*"(?:[^"\\]|\\.)*"'
+_LABELS = rf"\{{\s*(?:{_PAIR}\s*(?:,\s*{_PAIR}\s*)*,?\s*)?\}}"
+SAMPLE = rf"^({_NAME})\s*({_LABELS})?\s*(?<=[\s}}])({_NUMBER})(?:\s+(-?\d+))?$"
 TYPE = rf"^#\s+TYPE\s+({_NAME})\s+(\w+)$"
 LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"((?:[^"\\]|\\.)*)"'
 

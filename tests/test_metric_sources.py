@@ -2,11 +2,11 @@
 
 import json
 
-from logloom.sources.otlp import otlp_json_to_metrics
+from logloom.sources.otlp import otlp_json_to_metrics, rejected as otlp_rejected
 from logloom.sources.prometheus import prom_text_to_metrics, rejected
 
-RECV = 1723600500000
-NANO = "1723600000000000000"
+RECV = 1690000500000
+NANO = "1690000000000000000"
 
 
 def attr(k, **v):
@@ -16,7 +16,7 @@ def attr(k, **v):
 def otlp(spark, metrics, resource=True):
     r = {"scopeMetrics": [{"metrics": metrics}]}
     if resource:
-        r["resource"] = {"attributes": [attr("service.name", stringValue="shop"), attr("host.name", stringValue="h1")]}
+        r["resource"] = {"attributes": [attr("service.name", stringValue="relay"), attr("host.name", stringValue="rack-7")]}
     df = spark.createDataFrame([(json.dumps({"resourceMetrics": [r]}), RECV)], "payload string, received_at long")
     return [(r.name, r.type, r.value, r.service, r.host, r.timestamp, r.labels)
             for r in otlp_json_to_metrics(df).orderBy("name").collect()]
@@ -24,23 +24,22 @@ def otlp(spark, metrics, resource=True):
 
 def test_otlp_kinds(spark):
     got = otlp(spark, [
-        {"name": "orders_total", "sum": {"isMonotonic": True, "aggregationTemporality": 2, "dataPoints": [
-            {"asInt": "42", "timeUnixNano": NANO, "attributes": [attr("status", stringValue="ok")]}]}},
-        {"name": "queue_depth", "gauge": {"dataPoints": [{"asDouble": 7.5, "timeUnixNano": NANO}]}},
-        {"name": "req_latency", "histogram": {"dataPoints": [
-            {"count": "10", "sum": 123.4, "timeUnixNano": NANO, "bucketCounts": ["4", "6"], "explicitBounds": [1]}]}},
+        {"name": "bytes_sent", "sum": {"isMonotonic": True, "aggregationTemporality": 2, "dataPoints": [
+            {"asInt": "77", "timeUnixNano": NANO, "attributes": [attr("zone", stringValue="b")]}]}},
+        {"name": "free_slots", "gauge": {"dataPoints": [{"asDouble": -3.25, "timeUnixNano": NANO}]}},
+        {"name": "write_time", "histogram": {"dataPoints": [
+            {"count": "31", "sum": 0.875, "timeUnixNano": NANO, "bucketCounts": ["30", "1"], "explicitBounds": [1]}]}},
         {"name": "updown", "sum": {"dataPoints": [{"asInt": 3}]}},
         {"name": "nosum", "exponentialHistogram": {"dataPoints": [{"count": 2}]}},
         {"name": "quant", "summary": {"dataPoints": [{"count": 4}]}},
         {"name": "", "gauge": {"dataPoints": [{"asInt": 1}]}}])
-    ts = 1723600000000
+    ts = 1690000000000
     assert got == [
-        ("nosum_count", 0, 2.0, "shop", "h1", RECV, None),
-        ("orders_total", 0, 42.0, "shop", "h1", ts, '{"status":"ok"}'),
-        ("quant_count", 0, 4.0, "shop", "h1", RECV, None), ("quant_sum", 0, 0.0, "shop", "h1", RECV, None),
-        ("queue_depth", 1, 7.5, "shop", "h1", ts, None),
-        ("req_latency_count", 0, 10.0, "shop", "h1", ts, None), ("req_latency_sum", 0, 123.4, "shop", "h1", ts, None),
-        ("updown", 1, 3.0, "shop", "h1", RECV, None)]
+        ("bytes_sent", 0, 77.0, "relay", "rack-7", ts, '{"zone":"b"}'), ("free_slots", 1, -3.25, "relay", "rack-7", ts, None),
+        ("nosum_count", 0, 2.0, "relay", "rack-7", RECV, None),
+        ("quant_count", 0, 4.0, "relay", "rack-7", RECV, None), ("quant_sum", 0, 0.0, "relay", "rack-7", RECV, None),
+        ("updown", 1, 3.0, "relay", "rack-7", RECV, None),
+        ("write_time_count", 0, 31.0, "relay", "rack-7", ts, None), ("write_time_sum", 0, 0.875, "relay", "rack-7", ts, None)]
 
 
 def test_otlp_skips_and_defaults(spark):
@@ -49,6 +48,15 @@ def test_otlp_skips_and_defaults(spark):
     assert got == [("g", 1, 0.0, "unknown", "unknown", RECV, None)]
 
 
+def test_otlp_scope_without_metrics(spark):
+    one = {"metrics": [{"name": "g", "gauge": {"dataPoints": [{"asInt": 5}]}}]}
+    texts = [json.dumps({"resourceMetrics": [{"scopeMetrics": scopes}]}) for scopes in ([{"scope": {}}, one], [one, {"metrics": None}], [{}], [])]
+    broken = [texts[0][:-1], texts[0] + " x", texts[0] + texts[0], "", "[]", None, texts[0] + ",null"]
+    df = spark.createDataFrame([(t, RECV) for t in texts + broken], "payload string, received_at long")
+    assert [r.value for r in otlp_json_to_metrics(df).collect()] == [5.0, 5.0]
+    assert otlp_rejected(df).count() == len(broken)
+
+
 def test_otlp_labels(spark):
     got = otlp(spark, [{"name": "g", "gauge": {"dataPoints": [{"asInt": 1, "attributes": [
         attr("z", boolValue=True), attr("a", intValue="5"), attr("m", doubleValue=1000000), attr("", stringValue="x"),
@@ -56,22 +64,22 @@ def test_otlp_labels(spark):
     assert got[0][-1] == '{"a":"last","m":"1e+06","q":"\\u003c\\u0026\\u003e","z":"true"}'
 
 
-PROM = """# HELP reqs_total Requests.
-# TYPE reqs_total counter
-reqs_total{method="GET",code="200"} 10
-reqs_total{code="500",method="GET",} 2 1723600000123
-# TYPE temp gauge
-temp 7
-# TYPE lat histogram
-lat_bucket{le="0.1"} 3
-lat_bucket{le="+Inf"} 120
-lat_sum 9.5
-lat_count 120
+PROM = """# HELP sent_total Bytes.
+# TYPE sent_total counter
+sent_total{to="eu",via="a"} 8
+sent_total{via="b",to="eu",} 3 1690000000123
+# TYPE load gauge
+load 0.5
+# TYPE wait histogram
+wait_bucket{le="2"} 6
+wait_bucket{le="+Inf"} 31
+wait_sum 71.25
+wait_count 31
 # TYPE rpc summary
 rpc{quantile="0.5"} 1
 rpc_sum{path="a}\\"b"} 4
 rpc_count{path="a}\\"b"} 2
-mystery_count 42
+lonely_count 77
 """
 
 
@@ -79,11 +87,19 @@ def test_prometheus(spark):
     df = spark.createDataFrame([(PROM, "svc", "h", RECV)], "text string, service string, host string, ts long")
     got = {(r.name, r.labels): (r.type, r.value, r.timestamp) for r in prom_text_to_metrics(df).collect()}
     assert got == {
-        ("reqs_total", '{"code":"200","method":"GET"}'): (0, 10.0, RECV),
-        ("reqs_total", '{"code":"500","method":"GET"}'): (0, 2.0, 1723600000123),
-        ("temp", None): (1, 7.0, RECV), ("lat_sum", None): (0, 9.5, RECV), ("lat_count", None): (0, 120.0, RECV),
+        ("sent_total", '{"to":"eu","via":"a"}'): (0, 8.0, RECV),
+        ("sent_total", '{"to":"eu","via":"b"}'): (0, 3.0, 1690000000123),
+        ("load", None): (1, 0.5, RECV), ("wait_sum", None): (0, 71.25, RECV), ("wait_count", None): (0, 31.0, RECV),
         ("rpc_sum", '{"path":"a}\\"b"}'): (0, 4.0, RECV), ("rpc_count", '{"path":"a}\\"b"}'): (0, 2.0, RECV),
-        ("mystery_count", None): (1, 42.0, RECV)}
+        ("lonely_count", None): (1, 77.0, RECV)}
+
+
+def test_prometheus_label_grammar(spark):
+    good = ["m{} 1", "m{ } 1", 'm{a="x"} 1', 'm{a="x",} 1', 'm { a = "x" , b = "y" } 1', 'm{a="}{,"} 1', "m 1"]
+    bad = ["m{bad} 1", 'm{a=x} 1', 'm{a="x" b="y"} 1', 'm{,} 1', 'm{1a="x"} 1', 'm{a="x} 1', "m{a} {b} 1"]
+    df = spark.createDataFrame([(t, "s", "h", RECV) for t in good + bad], "text string, service string, host string, ts long")
+    assert prom_text_to_metrics(df).count() == len(good)
+    assert {r.text for r in rejected(df).collect()} == set(bad)
 
 
 def test_prometheus_rejects_whole_scrape(spark):
