@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 
 from logloom.functions.timeexpr import newer_than
 from logloom.functions.values import escape_json, shortest_float
-from logloom.operators.shape import MAX_ROWS, cut_at_rune
+from logloom.operators.shape import cut_at_rune
 from logloom.operators.windows import top_per_key
 from logloom.schemas import MINUTE_MS
 
-# Shortest interval, sizes of the audit payload and of the message.
+# Shortest interval, and the sizes of the audit payload and of the message unless stated otherwise.
 MIN_INTERVAL_MS = 30_000
 AUDIT_ROWS, MESSAGE_ROWS, MAX_TEXT_BYTES = 20, 5, 200
 MORE = "…"
@@ -39,57 +39,57 @@ def due(rules: DataFrame, state: DataFrame, now: int) -> DataFrame:
             .filter(F.col("last_checked_at").isNull() | (waited >= interval)).drop("last_checked_at"))
 
 
-def _json_row(columns: Sequence[tuple[str, str]]) -> Column:
+def _json_row(columns: Sequence[tuple[str, str]], text_bytes: int) -> Column:
     """A row as a struct for JSON: keys in order, long texts cut."""
-    cells = [cut_at_rune(F.col(f"`{c}`"), MAX_TEXT_BYTES, MORE).alias(c) if t == "string" else F.col(f"`{c}`").alias(c)
+    cells = [cut_at_rune(F.col(f"`{c}`"), text_bytes, MORE).alias(c) if t == "string" else F.col(f"`{c}`").alias(c)
              for c, t in sorted(columns)]
     return F.struct(*cells)
 
 
-def _text_row(columns: Sequence[tuple[str, str]]) -> Column:
+def _text_row(columns: Sequence[tuple[str, str]], text_bytes: int) -> Column:
     """A row as ``col=value`` words, NULLs left out, cut."""
     cells = []
     for c, t in columns:
         v = shortest_float(F.col(f"`{c}`")) if t in ("double", "float") else F.col(f"`{c}`").cast("string")
         cells.append(F.concat(F.lit(f"{c}="), v))
-    return cut_at_rune(F.concat_ws(" ", *cells), MAX_TEXT_BYTES, MORE)
+    return cut_at_rune(F.concat_ws(" ", *cells), text_bytes, MORE)
 
 
-def _payload(top: DataFrame, keys: Sequence[str], columns: Sequence[tuple[str, str]]) -> DataFrame:
-    """Per key, the numbered rows ``rn`` <= 20 as one JSON text and the first five as lines."""
-    rows = top.select(*keys, F.struct("rn", _json_row(columns).alias("j"), _text_row(columns).alias("t")).alias("r"))
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("r")).alias("r"))  # at most 20
+def _payload(top: DataFrame, keys: Sequence[str], columns: Sequence[tuple[str, str]], shown: int, text_bytes: int) -> DataFrame:
+    """Per key, its few numbered rows as one JSON text and the first ``shown`` as lines."""
+    rows = top.select(*keys, F.struct("rn", _json_row(columns, text_bytes).alias("j"), _text_row(columns, text_bytes).alias("t")).alias("r"))
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("r")).alias("r"))  # as many as the audit keeps
     json = F.to_json(F.transform("r", lambda x: x["j"]), {"ignoreNullFields": "false"})
-    lines = F.transform(F.filter("r", lambda x: x["rn"] <= MESSAGE_ROWS), lambda x: x["t"])
+    lines = F.transform(F.filter("r", lambda x: x["rn"] <= shown), lambda x: x["t"])
     return listed.select(*keys, escape_json(json).alias("matched"), lines.alias("lines"))
 
 
-def _message(n: Column, lines: Column) -> Column:
-    more = F.when(n > MESSAGE_ROWS, F.concat(F.lit(f"\n{MORE} and "), (n - MESSAGE_ROWS).cast("string"), F.lit(" more")))
+def _message(n: Column, lines: Column, shown: int) -> Column:
+    more = F.when(n > shown, F.concat(F.lit(f"\n{MORE} and "), (n - shown).cast("string"), F.lit(" more")))
     return F.concat(n.cast("string"), F.lit(" matching row(s)\n"), F.array_join(lines, "\n"), F.coalesce(more, F.lit("")))
 
 
-def _outcome_columns(df: DataFrame) -> DataFrame:
+def _outcome_columns(df: DataFrame, shown: int) -> DataFrame:
     n = F.coalesce("n_rows", F.lit(0)).cast("long")
     return df.select("id", n.alias("n_rows"), F.col("matched"),
-                     F.when(n > 0, _message(n, F.col("lines"))).alias("message"),
+                     F.when(n > 0, _message(n, F.col("lines"), shown)).alias("message"),
                      F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("notify_error"))
 
 
-def outcome(rule_id: int, rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+def outcome(rule_id: int, rows: DataFrame, order: Sequence[Column], audit_rows: int = AUDIT_ROWS,
+            message_rows: int = MESSAGE_ROWS, text_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
     """What one rule's query matched: it fires when there is any row. ``order`` says which rows are shown.
 
-    The rows shown are a top-k and the count stops at the result cap, so nothing large is gathered.
+    The rows shown are a top-k and the count is a sum of partial counts, so nothing large is gathered.
     """
     columns = rows.dtypes
-    shown = rows.orderBy(*order).limit(AUDIT_ROWS).select(F.lit(rule_id).cast("long").alias("id"), "*")
-    top = top_per_key(shown, ["id"], order, AUDIT_ROWS)
-    shown_json = _payload(top, ["id"], columns)
-    n = (rows.limit(MAX_ROWS).agg(F.count("*").alias("n_rows"))
-         .select(F.lit(rule_id).cast("long").alias("id"), "n_rows"))
+    shown = rows.orderBy(*order).limit(audit_rows).select(F.lit(rule_id).cast("long").alias("id"), "*")
+    top = top_per_key(shown, ["id"], order, audit_rows)
+    shown_json = _payload(top, ["id"], columns, message_rows, text_bytes)
+    n = rows.agg(F.count("*").alias("n_rows")).select(F.lit(rule_id).cast("long").alias("id"), "n_rows")
     both = n.unionByName(shown_json, allowMissingColumns=True)
     return _outcome_columns(both.groupBy("id").agg(
-        F.max("n_rows").alias("n_rows"), F.max("matched").alias("matched"), F.first("lines", True).alias("lines")))
+        F.max("n_rows").alias("n_rows"), F.max("matched").alias("matched"), F.first("lines", True).alias("lines")), message_rows)
 
 
 def failed(spark, rule_id: int, error: str) -> DataFrame:
@@ -100,28 +100,39 @@ def failed(spark, rule_id: int, error: str) -> DataFrame:
         F.lit(error).alias("error"), F.lit(None).cast("string").alias("notify_error"))
 
 
-def grouped_outcomes(rules: DataFrame, matches: DataFrame, order: Sequence[Column]) -> DataFrame:
+def grouped_outcomes(rules: DataFrame, matches: DataFrame, order: Sequence[Column], audit_rows: int = AUDIT_ROWS,
+                     message_rows: int = MESSAGE_ROWS, text_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
     """Outcomes of many rules at once; ``matches`` has the rule ``id`` beside each matched row."""
     columns = [x for x in matches.dtypes if x[0] != "id"]
-    top = top_per_key(matches, ["id"], order, AUDIT_ROWS)
-    counts = matches.groupBy("id").agg(F.least(F.count("*"), F.lit(MAX_ROWS)).alias("n_rows"))
+    top = top_per_key(matches, ["id"], order, audit_rows)
+    counts = matches.groupBy("id").agg(F.count("*").alias("n_rows"))
     return _outcome_columns(rules.select("id").join(counts, "id", "left")
-                            .join(_payload(top, ["id"], columns), "id", "left"))
+                            .join(_payload(top, ["id"], columns, message_rows, text_bytes), "id", "left"), message_rows)
 
 
-def threshold_matches(rules: DataFrame, logs: DataFrame, now: int, look_back_ms: int) -> DataFrame:
+def threshold_matches(rules: DataFrame, logs: DataFrame, now: int) -> DataFrame:
     """Threshold rules over one shared aggregate: ``id, service, lines`` of every rule that is exceeded.
 
-    Rules add ``service, min_level, window_ms, threshold``; windows are whole minutes up to
-    ``look_back_ms``. Lines are counted per service, level and minute of age before rules see them.
+    Rules add ``service, min_level, window_ms, threshold``; windows are whole minutes. Lines are counted per
+    service, level and minute of age, as far back as the longest window. A count is then added to each distinct
+    (lowest level, minutes) that rules ask for, which are listed once, and rules meet the sums on
+    (service, level, minutes): no join is on a bare service.
     """
+    minutes = F.ceil(F.col("window_ms") / MINUTE_MS).cast("long")
+    asked = rules.select("id", "service", "min_level", minutes.alias("minutes"), "threshold")
+    # as many as rules differ in level and window, not as there are rules
+    frames = [(r.min_level, r.minutes) for r in asked.select("min_level", "minutes").distinct().collect()]
+    if not frames:
+        return asked.select("id", "service", F.lit(0).cast("long").alias("lines"))
     age = F.call_function("div", F.lit(now) - F.col("timestamp"), F.lit(MINUTE_MS).cast("long"))
-    counted = (newer_than(logs, now - look_back_ms).filter(F.col("timestamp") <= now)
+    counted = (newer_than(logs, now - max(m for _, m in frames) * MINUTE_MS).filter(F.col("timestamp") <= now)
                .groupBy("service", "level", age.alias("age")).agg(F.count("*").alias("n")))
-    inside = ((F.col("level") >= F.col("min_level")) & (F.col("age") * MINUTE_MS < F.col("window_ms")))
-    return (counted.join(rules.select("id", "service", "min_level", "window_ms", "threshold"), "service")
-            .filter(inside).groupBy("id", "service", "threshold").agg(F.sum("n").alias("lines"))
-            .filter(F.col("lines") > F.col("threshold")).drop("threshold"))
+    every = F.array(*[F.struct(F.lit(lowest).alias("min_level"), F.lit(m).cast("long").alias("minutes")) for lowest, m in frames])
+    inside = F.filter(every, lambda f: (F.col("level") >= f["min_level"]) & (F.col("age") < f["minutes"]))
+    sums = (counted.select("service", "n", F.explode(inside).alias("f"))
+            .groupBy("service", F.col("f.min_level").alias("min_level"), F.col("f.minutes").alias("minutes")).agg(F.sum("n").alias("lines")))
+    return (sums.join(asked, ["service", "min_level", "minutes"])
+            .filter(F.col("lines") > F.col("threshold")).select("id", "service", "lines"))
 
 
 def _judged(rules: DataFrame, state: DataFrame, outcomes: DataFrame, now: int) -> DataFrame:

@@ -91,12 +91,6 @@ def is_expression(text: str) -> bool:
     return any(t in OPERATOR_WORDS or any(c in OPERATOR_CHARS for c in t) for t in text.split())
 
 
-def bar_text(text: str) -> str:
-    """Search-bar text as a match expression: plain words become quoted prefixes, operators pass as they are."""
-    text = text.strip()
-    return text if is_expression(text) else " ".join(f'"{t}"*' for t in text.split())
-
-
 def match_spec(text: str) -> And:
     """Plain search-bar text as a match: every word, as a prefix. Operators are written with the classes above."""
     if is_expression(text):

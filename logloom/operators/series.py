@@ -57,23 +57,23 @@ def metric_services(metrics: DataFrame, metric: str, limit: int) -> DataFrame:
             .orderBy("service").limit(limit))
 
 
-def _pivot_services(metrics: DataFrame, metric: str, services: Sequence[str] | None) -> list[str]:
+def _pivot_services(metrics: DataFrame, metric: str, services: Sequence[str] | None, most: int) -> list[str]:
     if services is None:
-        # at most six names reach the driver: they become column names
-        services = [r.service for r in metric_services(metrics, metric, PIVOT_SERVICES).collect()]
+        # the names become column names, so this many at most reach the driver
+        services = [r.service for r in metric_services(metrics, metric, most).collect()]
     if not services:
         raise ValueError(f"no data for metric {metric!r} yet, so there are no services to compare")
-    return list(services)[:PIVOT_SERVICES]
+    return list(services)
 
 
 def verb(metrics: DataFrame, name: str, metric: str, *, filters: Mapping[str, str] | None = None,
          per: str | None = None, last: str | None = None, by_service: bool = False,
          services: Sequence[str] | None = None, window: tuple[int, int] | None = None,
-         as_of: int | None = None) -> DataFrame:
+         as_of: int | None = None, pivot_services: int = PIVOT_SERVICES) -> DataFrame:
     """One of avg, min, max, sum, count, increase, rate, latest.
 
-    ``per`` buckets the result, ``by_service`` gives one row per service, and both together
-    give one column per service (at most six).
+    ``per`` buckets the result, ``by_service`` gives one row per service, and both together give one column
+    for each of ``services``, or, if none are named, for the first ``pivot_services`` by name.
     """
     samples = select_samples(metrics, metric, filters, last, window, as_of)
     if name == "latest":
@@ -83,7 +83,7 @@ def verb(metrics: DataFrame, name: str, metric: str, *, filters: Mapping[str, st
 
     per_ms = duration_ms(per) if per else None
     frame_ms = per_ms or ((window[1] - window[0]) if window else duration_ms(last or DEFAULT_LAST))
-    pivot = _pivot_services(metrics, metric, services) if per and by_service else None
+    pivot = _pivot_services(metrics, metric, services, pivot_services) if per and by_service else None
     if per_ms:
         samples = samples.withColumn("bucket", bucket("timestamp", per_ms))
 

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from logloom.schemas import DAY_MS, HOUR_MS, MINUTE_MS
 
-# Grid limit, result caps, and the widths a chart may pick from.
-MAX_GRID_STEPS = 5000
-MAX_ROWS = 10_000
+# The budgets of a response unless its caller states others, and the widths a chart may pick from.
+RESULT_ROWS = 10_000
 DEFAULT_ROWS = 200
 API_MAX_ROWS = 1000
 MAX_CELL_BYTES = 4096
@@ -32,11 +31,11 @@ def gap_fill(df: DataFrame, *, start_ms: int, end_ms: int, bucket_ms: int, zero:
     """Re-index a bucketed result onto the whole grid.
 
     A bucket without a row becomes 0 when ``zero`` (nothing was counted) and NULL otherwise
-    (unknown); NULLs inside present rows stay. Rows off the grid go. A grid of no steps or of
-    more than 5000 leaves the result as it is.
+    (unknown); NULLs inside present rows stay. Rows off the grid go. A window of no whole
+    bucket leaves the result as it is.
     """
     steps = (end_ms - start_ms) // bucket_ms
-    if steps <= 0 or steps > MAX_GRID_STEPS:
+    if steps <= 0:
         return df
     grid = df.sparkSession.range(steps + 1).select(
         (F.lit(start_ms) + F.col("id") * F.lit(bucket_ms)).cast("long").alias(bucket_col))
@@ -68,16 +67,15 @@ def adaptive_bucket_column(span_ms: Column) -> Column:
     return out.cast("long")
 
 
-def bounded(df: DataFrame, n: int = MAX_ROWS) -> tuple[list, bool]:
-    """At most ``n`` rows and whether there were more; the caps make this safe on the driver."""
-    n = min(n, MAX_ROWS)
+def bounded(df: DataFrame, n: int = RESULT_ROWS) -> tuple[list, bool]:
+    """At most ``n`` rows, which go to the driver, and whether there were more."""
     rows = df.limit(n + 1).collect()
     return rows[:n], len(rows) > n
 
 
-def api_rows(max_rows: int | None) -> int:
-    """Row budget of a programmatic caller: default 200, at most 1000."""
-    return min(max_rows, API_MAX_ROWS) if max_rows and max_rows > 0 else DEFAULT_ROWS
+def api_rows(max_rows: int | None, most: int = API_MAX_ROWS, default: int = DEFAULT_ROWS) -> int:
+    """Row budget of a programmatic caller: what was asked for, up to ``most``; ``default`` if nothing was."""
+    return min(max_rows, most) if max_rows and max_rows > 0 else default
 
 
 def cut_at_rune(text: Column, max_bytes: int, marker: str) -> Column:
@@ -97,9 +95,10 @@ def clamp_cells(df: DataFrame, max_bytes: int = MAX_CELL_BYTES, marker: str = "
                        for c, t in df.dtypes])
 
 
-def api_result(df: DataFrame, max_rows: int | None = None) -> tuple[list[str], list, bool]:
+def api_result(df: DataFrame, max_rows: int | None = None, most: int = API_MAX_ROWS,
+               max_bytes: int = MAX_CELL_BYTES) -> tuple[list[str], list, bool]:
     """Columns, bounded rows and the truncated flag of one programmatic query."""
-    rows, truncated = bounded(clamp_cells(df), api_rows(max_rows))
+    rows, truncated = bounded(clamp_cells(df, max_bytes), api_rows(max_rows, most))
     return df.columns, rows, truncated
 
 

@@ -87,10 +87,7 @@ def both(logs: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def either(logs: DataFrame, matches: DataFrame, pred: Column) -> DataFrame:
-    """Lines satisfying ``pred`` or in ``matches``.
-
-    Lines that satisfy ``pred`` need no join; the others are looked up by a semi join, which
-    a selective search can filter ahead.
-    """
-    holds = F.coalesce(pred, F.lit(False))
-    return logs.filter(holds).unionByName(both(logs.filter(~holds), matches))
+    """Lines satisfying ``pred`` or in ``matches``: one scan, beside which the distinct hits are a flag."""
+    keys = _line_keys(logs, matches)
+    hits = matches.select(*keys).distinct().withColumn("_hit", F.lit(True))
+    return logs.join(hits, keys, "left").filter(pred | F.col("_hit")).select(*logs.columns)

@@ -5,45 +5,53 @@ Each is one partial aggregation; only (name, service)-sized groups are shuffled.
 
 from __future__ import annotations
 
+import datetime as dt
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.timeexpr import newer_than
+from logloom.operators.paging import newest_days
 from logloom.operators.series import suggested_query
 from logloom.schemas import DAY_MS, GAUGE
 
-# List lengths and the label keys that may be asked for.
-CATALOG_ROWS = 100
-API_CATALOG_ROWS = 200
+# Fixed value: the label keys that may be asked for. Lists are complete unless a ``limit`` is given.
 LABEL_KEY = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 
 
-def metrics_catalog(metrics: DataFrame, limit: int = CATALOG_ROWS) -> DataFrame:
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
+
+
+def metrics_catalog(metrics: DataFrame, limit: int | None = None) -> DataFrame:
     """Metrics per service, newest first, with the verb each would open with."""
     rows = (metrics.groupBy("name", "service")
             .agg(F.min("type").alias("t"), F.count("*").alias("points"), F.max("timestamp").alias("last_seen"))
-            .orderBy(F.desc("last_seen"), "name", "service").limit(limit))
+            .orderBy(F.desc("last_seen"), "name", "service"))
+    rows = _first(rows, limit)
     return rows.select(
         "name", F.when(F.col("t") == GAUGE, "gauge").otherwise("counter").alias("type"),
         "service", "points", "last_seen", suggested_query(F.col("name"), F.col("t")).alias("suggested"))
 
 
-def service_metrics(metrics: DataFrame, service: str) -> DataFrame:
+def service_metrics(metrics: DataFrame, service: str, limit: int | None = None) -> DataFrame:
     """What one service reports."""
-    return (metrics.filter(F.col("service") == service).groupBy("name")
+    rows = (metrics.filter(F.col("service") == service).groupBy("name")
             .agg(F.count("*").alias("points"), F.max("timestamp").alias("last_seen"))
-            .orderBy(F.desc("last_seen"), "name").limit(CATALOG_ROWS))
+            .orderBy(F.desc("last_seen"), "name"))
+    return _first(rows, limit)
 
 
-def top_metrics(metrics: DataFrame) -> DataFrame:
+def top_metrics(metrics: DataFrame, limit: int = 20) -> DataFrame:
+    """The metrics with the most samples."""
     return (metrics.groupBy("name").agg(F.count("*").alias("datapoints"))
-            .orderBy(F.desc("datapoints"), "name").limit(20))
+            .orderBy(F.desc("datapoints"), "name").limit(limit))
 
 
-def metric_names(metrics: DataFrame) -> DataFrame:
-    return metrics.select("name").distinct().orderBy("name").limit(500)
+def metric_names(metrics: DataFrame, limit: int | None = None) -> DataFrame:
+    return _first(metrics.select("name").distinct().orderBy("name"), limit)
 
 
 def filter_keys(metrics: DataFrame, metric: str) -> DataFrame:
@@ -60,7 +68,7 @@ def filter_keys(metrics: DataFrame, metric: str) -> DataFrame:
     return fixed.unionAll(labels).orderBy("pos", "key")
 
 
-def filter_values(metrics: DataFrame, metric: str, key: str) -> DataFrame:
+def filter_values(metrics: DataFrame, metric: str, key: str, limit: int | None = None) -> DataFrame:
     """The values that exist for one filter key."""
     rows = metrics.filter(F.col("name") == metric)
     if key in ("service", "host"):
@@ -69,25 +77,32 @@ def filter_values(metrics: DataFrame, metric: str, key: str) -> DataFrame:
         v = F.get_json_object("labels", f"$['{key}']")
     else:
         raise ValueError(f"bad label key {key!r}")
-    return (rows.select(v.alias("v")).filter(F.col("v").isNotNull() & (F.col("v") != ""))
-            .distinct().orderBy("v").limit(50))
+    values = rows.select(v.alias("v")).filter(F.col("v").isNotNull() & (F.col("v") != "")).distinct().orderBy("v")
+    return _first(values, limit)
 
 
-def services_seen(rows: DataFrame, as_of: int, count_name: str = "points") -> DataFrame:
+def services_seen(rows: DataFrame, as_of: int, count_name: str = "points", limit: int | None = None) -> DataFrame:
     """Services heard from in the last seven days, newest first (logs or metrics)."""
-    return (newer_than(rows, as_of - 7 * DAY_MS).groupBy("service")
+    seen = (newer_than(rows, as_of - 7 * DAY_MS).groupBy("service")
             .agg(F.max("timestamp").alias("last_seen"), F.count("*").alias(count_name))
-            .orderBy(F.desc("last_seen"), "service").limit(25))
+            .orderBy(F.desc("last_seen"), "service"))
+    return _first(seen, limit)
 
 
-def ingest_health(metrics: DataFrame, as_of: int) -> DataFrame:
-    """Newest sample time and the number of samples of the last day, in one pass."""
-    return metrics.agg(F.max("timestamp").alias("last_seen"),
-                       F.count_if(F.col("timestamp") > as_of - DAY_MS).alias("points_24h"))
+def ingest_health(metrics: DataFrame, as_of: int, days: Sequence[dt.date] | None = None) -> DataFrame:
+    """Newest sample time and the number of samples of the last day.
+
+    The count reads the last day. With ``days``, the stored days of the table, the newest time is read from the
+    newest of them, and from all history otherwise.
+    """
+    none = F.lit(None).cast("long")
+    count = newer_than(metrics, as_of - DAY_MS).agg(F.count("*").alias("points_24h")).select(none.alias("last_seen"), "points_24h")
+    last = newest_days(metrics, 1, days).agg(F.max("timestamp").alias("last_seen")).select("last_seen", none.alias("points_24h"))
+    return count.unionAll(last).agg(F.max("last_seen").alias("last_seen"), F.max("points_24h").alias("points_24h"))
 
 
-def failing_sources(targets: DataFrame) -> DataFrame:
-    """The five sources that failed most recently."""
+def failing_sources(targets: DataFrame, limit: int = 5) -> DataFrame:
+    """The sources that failed most recently."""
     return (targets.filter(F.col("enabled") & F.col("last_error").isNotNull())
-            .orderBy(F.desc("last_error_at"), "service", "host").limit(5)
+            .orderBy(F.desc("last_error_at"), "service", "host").limit(limit)
             .select("service", "host", "last_error"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.timeexpr import bucket, newer_than
 from logloom.operators.shape import gap_fill, grid_bounds
+from logloom.operators.paging import keyset_page
 from logloom.plans.catalog import services_seen
 from logloom.schemas import DAY_MS, ERROR, HOUR_MS, MINUTE_MS
 
@@ -35,10 +36,11 @@ def volume_bars(points: DataFrame) -> DataFrame:
     return points.withColumn("height_pct", F.round(height, 0))
 
 
-def errors_by_service(logs: DataFrame, as_of: int) -> DataFrame:
+def errors_by_service(logs: DataFrame, as_of: int, limit: int = 10) -> DataFrame:
+    """The services with the most errors of the last day."""
     return (newer_than(logs, as_of - DAY_MS).filter(F.col("level") >= ERROR)
             .groupBy("service").agg(F.count("*").alias("cnt"))
-            .orderBy(F.desc("cnt"), "service").limit(10))
+            .orderBy(F.desc("cnt"), "service").limit(limit))
 
 
 def log_services_seen(logs: DataFrame, as_of: int) -> DataFrame:
@@ -59,6 +61,5 @@ def errors_vs_total(logs: DataFrame, as_of: int) -> DataFrame:
 
 def json_field(logs: DataFrame, field: str, limit: int = 100) -> DataFrame:
     """One field of the newest structured lines, as text."""
-    newest = (logs.filter(F.col("parsed").isNotNull())
-              .orderBy(F.desc("timestamp"), F.desc("id")).limit(limit))
+    newest = keyset_page(logs.filter(F.col("parsed").isNotNull()), size=limit)
     return newest.select("id", "timestamp", F.get_json_object("parsed", f"$.{field}").alias("field"), "message")

@@ -16,7 +16,6 @@ from logloom.schemas import ERROR, HOUR_MS, MINUTE_MS
 # Fixed values of the view.
 DEFAULT_SPAN_MS = HOUR_MS
 MIN_SPAN_MS = MINUTE_MS
-METRIC_ROWS = 3
 
 
 def resolve_window(from_ms: int, to_ms: int, now: int, follow: bool = False) -> tuple[int, int]:
@@ -72,7 +71,7 @@ def logs_pane(logs: DataFrame, flt: LogFilter, window: tuple[int, int], limit: i
 def view(logs: DataFrame, metrics: DataFrame, rows: Sequence[MetricRow], flt: LogFilter,
          window: tuple[int, int]) -> dict[str, DataFrame]:
     """Everything the view shows, each part under the same window."""
-    out = {f"metric_{i}": metric_row(metrics, r, window) for i, r in enumerate(rows[:METRIC_ROWS])}
+    out = {f"metric_{i}": metric_row(metrics, r, window) for i, r in enumerate(rows)}
     out["mini_chart"] = mini_chart(logs, window)
     out["logs"] = logs_pane(logs, flt, window)
     return out

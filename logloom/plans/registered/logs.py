@@ -9,7 +9,8 @@ from logloom.functions.timeexpr import bucket, newer_than
 from logloom.operators import filters, paging, shape, signals, windows
 from logloom.operators.filters import LogFilter
 from logloom.plans import home, incident
-from logloom.schemas import DAY_MS, ERROR, HOUR_MS
+from logloom.schemas import DAY_MS, ERROR, HOUR_MS, LOG_COLUMNS
+from logloom.session import scratch_path, stored_days
 from logloom.sources import testdata as td
 
 AS_OF = td.AS_OF
@@ -33,6 +34,10 @@ def _logs(fn):
     return lambda spark, sf_dir: fn(td.logs(spark, sf_dir).drop("dt"))
 
 
+def _first_time(spark, sf_dir, log_id):
+    return td.logs(spark, sf_dir).filter(F.col("id") == log_id).first()["timestamp"]
+
+
 def _dated(fn):
     """For functions that prune by date: the view keeps ``dt``."""
     return lambda spark, sf_dir: fn(td.logs(spark, sf_dir))
@@ -52,6 +57,29 @@ _add("logs_drill_in",
      f"{LOGS} SELECT {NINE} FROM logs WHERE service = 'svc-3' AND timestamp > {AS_OF - 7 * DAY_MS}"
      " ORDER BY timestamp, id LIMIT 50")
 _add("logs_point_lookup", _logs(lambda t: filters.point_lookup(t, 77)), f"{LOGS} SELECT {NINE} FROM logs WHERE id = 77")
+
+
+def _by_day(spark, sf_dir):
+    """The log view as a stored table, and its days: newest-first reads prune."""
+    path = scratch_path(spark, "logs")
+    td.logs(spark, sf_dir).write.partitionBy("dt").parquet(path)
+    return spark.read.parquet(path), stored_days(spark, path)
+
+
+def _stored_newest(flt, n):
+    def run(spark, sf_dir):
+        table, days = _by_day(spark, sf_dir)
+        return filters.newest(flt.apply(table), n, days).select(*LOG_COLUMNS)
+    return run
+
+
+_add("logs_page_stored", _stored_newest(LogFilter(), 50),
+     f"{LOGS} SELECT {NINE} FROM logs ORDER BY timestamp DESC, id DESC LIMIT 50")
+_add("logs_newest_stored", _stored_newest(LogFilter().with_(service="svc-2").with_(level=4), 400),
+     f"{LOGS} SELECT {NINE} FROM logs WHERE service = 'svc-2' AND level = 4 ORDER BY timestamp DESC, id DESC LIMIT 400")
+_add("logs_lookup_stored",
+     lambda s, d: filters.point_lookup(_by_day(s, d)[0], 77, _first_time(s, d, 77)).select(*LOG_COLUMNS),
+     f"{LOGS} SELECT {NINE} FROM logs WHERE id = 77")
 _add("logs_window_lock",
      _dated(lambda t: LogFilter().within(*INCIDENT).apply(t).groupBy("service", "level").agg(F.count("*").alias("lines"))),
      f"{LOGS} SELECT service, level, COUNT(*) AS lines FROM logs WHERE timestamp BETWEEN {INCIDENT[0]} AND {INCIDENT[1]}"
@@ -113,7 +141,7 @@ _add("logs_errors_by_service", _dated(lambda t: home.errors_by_service(t, AS_OF)
      " GROUP BY service ORDER BY cnt DESC, service LIMIT 10")
 _add("logs_services_seen", _dated(lambda t: home.log_services_seen(t, AS_OF)),
      f"{LOGS} SELECT service, MAX(timestamp) AS last_seen, COUNT(*) AS lines FROM logs"
-     f" WHERE timestamp > {AS_OF - 7 * DAY_MS} GROUP BY service ORDER BY last_seen DESC, service LIMIT 25")
+     f" WHERE timestamp > {AS_OF - 7 * DAY_MS} GROUP BY service ORDER BY last_seen DESC, service")
 _add("logs_errors_per_10m", _dated(lambda t: home.errors_per_bucket(t, AS_OF)),
      f"{LOGS} SELECT timestamp // 600000 * 600000 AS bucket, COUNT(*) AS errors FROM logs WHERE level >= 4"
      f" AND timestamp > {AS_OF - DAY_MS} GROUP BY 1")
@@ -251,10 +279,12 @@ _add("basic_aggregates",
      f"WITH {td.SQL_METRICS} SELECT name, COUNT(*) AS n, ROUND(SUM(value), 2) AS total, ROUND(AVG(value), 8) AS mean,"
      " MIN(value) AS low, MAX(value) AS high FROM metrics GROUP BY name")
 _add("total_aggregate",
-     lambda s, d: newer_than(td.metrics(s, d, only="view_value"), AS_OF).agg(
-         F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"), F.sum("value").alias("plain_sum")),
-     f"WITH {td.SQL_METRICS} SELECT COALESCE(SUM(value), 0.0) AS total, SUM(value) AS plain_sum FROM metrics"
-     f" WHERE name = 'view_value' AND timestamp > {AS_OF}")
+     lambda s, d: td.metrics(s, d, only="view_value").withColumn("high", F.when(F.col("value") > 1e9, F.col("value")))
+     .groupBy("service").agg(F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 4).alias("total"),
+                             F.coalesce(F.sum("high"), F.lit(0.0)).alias("total_high"), F.sum("high").alias("plain_sum")),
+     f"WITH {td.SQL_METRICS} SELECT service, ROUND(COALESCE(SUM(value), 0.0), 4) AS total, COALESCE(SUM(CASE WHEN value > 1e9 THEN"
+     " value END), 0.0) AS total_high, SUM(CASE WHEN value > 1e9 THEN value END) AS plain_sum FROM metrics"
+     " WHERE name = 'view_value' GROUP BY service")
 _add("string_agg_services",
      _logs(lambda t: t.select("level", "service").distinct().groupBy("level")
            .agg(F.array_join(F.array_sort(F.collect_list("service")), ",").alias("services"))),
@@ -312,10 +342,12 @@ _add("adaptive_bucket",
 
 def _bounded(spark, sf_dir):
     t = td.logs(spark, sf_dir).select("id", "timestamp")
-    return t.orderBy("timestamp", "id").limit(shape.api_rows(5000) + 1)
+    columns, rows, truncated = shape.api_result(t.orderBy("timestamp", "id"), 5000)
+    return spark.createDataFrame([(*r, truncated) for r in rows], "id long, timestamp long, truncated boolean")
 
 
-_add("bounded_result", _bounded, f"{LOGS} SELECT id, timestamp FROM logs ORDER BY timestamp, id LIMIT 1001")
+_add("bounded_result", _bounded,
+     f"{LOGS} SELECT id, timestamp, (SELECT COUNT(*) > 1000 FROM logs) AS truncated FROM logs ORDER BY timestamp, id LIMIT 1000")
 _add("cell_truncate",
      lambda s, d: shape.clamp_cells(td.search_corpus(s, d)),
      f"WITH {td.SQL_CORPUS} SELECT id, service, host, CASE WHEN strlen(raw) <= 4096 THEN raw ELSE concat(left(raw,"

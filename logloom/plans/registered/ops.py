@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom.functions.timeexpr import newer_than
-from logloom.operators import retention, rules as R, search as S
+from logloom.operators import retention, rules as R, search as S, sinks
 from logloom.operators.filters import LogFilter
 from logloom.schemas import DAY_MS, ERROR, HOUR_MS, LOGS
 from logloom.session import scratch_path
@@ -76,7 +76,7 @@ def _tick(spark, sf_dir):
     rules, state = _senders(spark, sf_dir)
     logs = td.logs(spark, sf_dir)
     due = R.due(rules, state, AS_OF)
-    matches = R.threshold_matches(due, logs, AS_OF, 4 * HOUR_MS)
+    matches = R.threshold_matches(due, logs, AS_OF)
     outcomes = R.grouped_outcomes(due, matches, [F.desc("lines"), F.col("service")])
     outcomes = outcomes.withColumn("notify_error", F.when(F.col("id") % 3 == 0, "HTTP 500"))
     return rules, state, outcomes
@@ -138,6 +138,14 @@ _add("alert_rule_outcome", _single_outcome,
      " FILTER (WHERE rn <= 20), ']') AS matched FROM m")
 
 
+_add("alert_rule_long",
+     lambda s, d: R.outcome(8, td.logs(s, d).select(F.col("id").alias("line")), [F.desc("line")], audit_rows=3).select(
+         "id", "n_rows", "matched", F.regexp_extract("message", "and ([0-9]+) more", 1).cast("long").alias("more")),
+     f"{LOGS_SQL} SELECT CAST(8 AS BIGINT) AS id, COUNT(*) AS n_rows, concat('[', (SELECT string_agg(concat('{{\"line\":', id, '}}'),"
+     " ',' ORDER BY id DESC) FROM (SELECT id FROM logs ORDER BY id DESC LIMIT 3)), ']') AS matched, COUNT(*) - 5 AS more FROM logs"
+     .replace("{{", "{").replace("}}", "}"))
+
+
 # --- retention --------------------------------------------------------------------------
 
 NOW = AS_OF - 7 * HOUR_MS  # the boundary falls inside a day
@@ -148,7 +156,7 @@ def _expired(spark, sf_dir):
     logs = td.logs(spark, sf_dir)
     stored = logs.repartitionByRange("dt", "service", "timestamp")
     stored.write.partitionBy("dt").parquet(path)
-    S.write_index(S.build_index(spread(logs)), index)
+    S.write_index(S.build_index(spread(logs, 8)), index)
     gone = retention.expire(spark, path, retention.retention_days("10", 30), NOW, index_path=index)
     return spark.read.parquet(path), spark.read.parquet(index), gone
 
@@ -173,9 +181,55 @@ def _consistent(spark, sf_dir):
 
 _add("retention_index_orphans", _consistent,
      f"{LOGS_SQL} SELECT COUNT(*) AS indexed, CAST(0 AS BIGINT) AS orphans FROM logs WHERE timestamp >= {_CUT}")
-_add("retention_metrics",
-     lambda s, d: retention.kept(td.metrics(s, d), _CUT).groupBy("name").agg(F.count("*").alias("n")),
-     f"WITH {td.SQL_METRICS} SELECT name, COUNT(*) AS n FROM metrics WHERE timestamp >= {_CUT} GROUP BY name")
+
+
+def _swept_metrics(spark, sf_dir):
+    path = scratch_path(spark, "metrics")
+    td.metrics(spark, sf_dir).write.partitionBy("dt").parquet(path)
+    gone = retention.expire(spark, path, 10, NOW)
+    return (spark.read.parquet(path).groupBy("name")
+            .agg(F.count("*").alias("n"), F.min("timestamp").alias("oldest"), F.lit(gone).cast("long").alias("deleted")))
+
+
+_add("retention_metrics", _swept_metrics,
+     f"WITH {td.SQL_METRICS} SELECT name, COUNT(*) AS n, MIN(timestamp) AS oldest, (SELECT COUNT(*) FROM metrics WHERE"
+     f" timestamp < {_CUT}) AS deleted FROM metrics WHERE timestamp >= {_CUT} GROUP BY name")
+
+
+def _interrupted(spark, sf_dir):
+    """A sweep whose log half is done and whose index half is not, and then the next sweep."""
+    path, index = scratch_path(spark, "logs"), scratch_path(spark, "index")
+    logs = td.logs(spark, sf_dir)
+    logs.write.partitionBy("dt").parquet(path)
+    S.write_index(S.build_index(spread(logs, 8)), index)
+    first = retention.expire(spark, path, 10, NOW)
+    second = retention.expire(spark, path, 10, NOW, index_path=index)
+    return retention.index_check(spark.read.parquet(index), spark.read.parquet(path)).withColumns(
+        {"first_deleted": F.lit(first).cast("long"), "then_deleted": F.lit(second).cast("long")})
+
+
+_add("retention_interrupted", _interrupted,
+     f"{LOGS_SQL} SELECT COUNT(*) FILTER (WHERE timestamp >= {_CUT}) AS indexed, CAST(0 AS BIGINT) AS orphans,"
+     f" COUNT(*) FILTER (WHERE timestamp < {_CUT}) AS first_deleted, CAST(0 AS BIGINT) AS then_deleted FROM logs")
+
+
+def _swept_firings(spark, sf_dir):
+    """Every error line as a firing, appended as audit rows and swept."""
+    path = scratch_path(spark, "firings")
+    errors = td.logs(spark, sf_dir).filter(F.col("level") >= ERROR)
+    sinks.append_firings(errors.select(F.col("id").alias("alert_id"), F.col("timestamp").alias("fired_at"),
+                                       F.to_json(F.array("message")).alias("matched_rows"),
+                                       (F.col("host") != "host-1").alias("notification_sent")), path)
+    gone = retention.expire(spark, path, 10, NOW, ts="fired_at")
+    return (spark.read.parquet(path).groupBy("notification_sent")
+            .agg(F.count("*").alias("n"), F.min("fired_at").alias("oldest"), F.max("matched_rows").alias("last_rows"),
+                 F.lit(gone).cast("long").alias("deleted")))
+
+
+_add("retention_firings", _swept_firings,
+     f"{LOGS_SQL}, e AS (SELECT * FROM logs WHERE level >= 4) SELECT host <> 'host-1' AS notification_sent, COUNT(*) AS n,"
+     " MIN(timestamp) AS oldest, MAX(concat('[\"', message, '\"]')) AS last_rows, (SELECT COUNT(*) FROM e WHERE"
+     f" timestamp < {_CUT}) AS deleted FROM e WHERE timestamp >= {_CUT} GROUP BY 1")
 
 
 # --- live -------------------------------------------------------------------------------
@@ -227,6 +281,32 @@ _add("stream_tail_or", _tail_or,
      " GROUP BY service, host")
 
 
+def _tail_filter_or(spark, sf_dir):
+    stream = live.tail(_log_stream(spark, sf_dir), LogFilter().with_(service="svc-1"), S.phrase("purchase"), op="or")
+    out = _run(spark, stream, live.append_batches, scratch_path(spark, "tail"))
+    return spark.read.schema(LOGS).parquet(out).groupBy("service", "level").agg(F.count("*").alias("lines"))
+
+
+_add("stream_tail_filter_or", _tail_filter_or,
+     f"{LOGS_SQL} SELECT service, level, COUNT(*) AS lines FROM logs WHERE level = 3 OR service = 'svc-1' GROUP BY service, level")
+_add("stream_tail_all",
+     lambda s, d: s.read.schema(LOGS).parquet(_run(s, live.tail(_log_stream(s, d)), live.append_batches, scratch_path(s, "tail")))
+     .groupBy("level").agg(F.count("*").alias("lines"), F.max("id").alias("last")),
+     f"{LOGS_SQL} SELECT level, COUNT(*) AS lines, MAX(id) AS last FROM logs GROUP BY level")
+
+
+def _restarted(spark, sf_dir):
+    """The stream stored twice, the second time from a new checkpoint: batch numbers repeat, rows and ids must not be lost."""
+    stored = scratch_path(spark, "stored")
+    for _ in range(2):
+        _run(spark, _log_stream(spark, sf_dir).drop("id"), live.store_logs, stored)
+    return spark.read.parquet(stored).groupBy("service").agg(F.count("*").alias("lines"), F.count_distinct("id").alias("ids"))
+
+
+_add("stream_restart", _restarted,
+     f"{LOGS_SQL} SELECT service, 2 * COUNT(*) AS lines, 2 * COUNT(*) AS ids FROM logs GROUP BY service")
+
+
 def _live_agg(spark, sf_dir):
     stream = (_log_stream(spark, sf_dir).groupBy("service")
               .agg(F.count("*").alias("total"), F.count_if(F.col("level") >= ERROR).alias("errors")))
@@ -289,15 +369,11 @@ _START = AS_OF - 30 * DAY_MS
 
 
 def _rule_stream(spark, sf_dir):
-    src, path = scratch_path(spark, "batches"), scratch_path(spark, "rules")
+    src, path, checkpoint = (scratch_path(spark, x) for x in ("batches", "rules", "checkpoint"))
     logs = td.logs(spark, sf_dir).select("id", "timestamp", "level", "service", "host")
-    for i in range(3):  # one file each, in order of arrival
-        part = logs.filter(F.col("timestamp").between(_START + i * _SPAN, _START + (i + 1) * _SPAN - 1))
-        part.write.mode("append").parquet(src)
     rules, _ = _senders(spark, sf_dir)
     rules = rules.select("id", "name", "check_interval_ms", F.lit(15 * DAY_MS).cast("long").alias("cooldown_ms"),
                          F.lit(True).alias("enabled"))
-    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(src)
 
     def clock(df):
         newest = df.agg(F.max("timestamp")).first()[0]
@@ -309,8 +385,11 @@ def _rule_stream(spark, sf_dir):
                 .agg(F.count("*").alias("lines"), F.count_if(F.col("level") >= ERROR).alias("errors"))
                 .filter(F.col("errors") * 5 > F.col("lines")))
 
-    live.run(stream, scratch_path(spark, "checkpoint"),
-             rule_loop.ticks(rules, matches, path, clock)).awaitTermination()
+    for i in range(3):  # each slice arrives, in as many files as it may be, and is one tick
+        part = logs.filter(F.col("timestamp").between(_START + i * _SPAN, _START + (i + 1) * _SPAN - 1))
+        part.write.mode("append").parquet(src)
+        live.run(spark.readStream.schema(logs.schema).parquet(src), checkpoint,
+                 rule_loop.ticks(rules, matches, path, clock)).awaitTermination()
     return rule_loop.firings(spark, path).select("alert_id", "fired_at", "matched_rows", "notification_sent")
 
 

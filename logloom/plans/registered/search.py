@@ -28,7 +28,7 @@ def _add(name, fn, sql=None):
 
 
 def _corpus(spark, sf_dir):
-    return spread(td.search_corpus(spark, sf_dir))
+    return spread(td.search_corpus(spark, sf_dir), 8)
 
 
 def _search(spec):
@@ -125,11 +125,13 @@ _add("fts_like_scan", lambda s, d: S.like_scan(td.search_corpus(s, d), "THERRE")
 
 
 def _vocabulary(spark, sf_dir):
-    """Every term with its lines and occurrences; checked against SQLite's index in the unit tests."""
-    return (S.build_index(_corpus(spark, sf_dir)).groupBy("term")
-            .agg(F.count("*").alias("lines"), F.sum(F.size("positions")).alias("hits")))
+    """What the index holds of each line, whatever its terms stem to: occurrences, and the sum of their positions."""
+    places = F.aggregate("positions", F.lit(0).cast("long"), lambda n, p: n + p)
+    return (S.build_index(_corpus(spark, sf_dir)).groupBy("id")
+            .agg(F.sum(F.size("positions")).alias("hits"), F.sum(places).alias("places")))
 
 
-_add("fts_vocabulary", _vocabulary)
+_add("fts_vocabulary", _vocabulary,
+     f"{WORDS} SELECT id, CAST(len(ws) AS BIGINT) AS hits, CAST(len(ws) * (len(ws) - 1) // 2 AS BIGINT) AS places FROM w WHERE len(ws) > 0")
 
 HEADLINE = ["fts_prefix", "fts_phrase", "fts_or_filter", "fts_vocabulary"]

@@ -120,6 +120,14 @@ _add("ts_rate_pivot", _verb("rate", "error_total", per="6h", last="7d", by_servi
      _growth_sql("error_total", "6h", f"timestamp > {AS_OF} - {7 * DAY_MS}",
                  _pivot_sql("ROUND(SUM(CASE WHEN service = '{s}' THEN inc END) / 21600.0, 8)")))
 
+_add("ts_avg_pivot_named",
+     lambda s, d: _rounded(series.verb(td.metrics(s, d, only="view_value"), "avg", "view_value", per="6h", last="7d", by_service=True,
+                                       services=[*_SVC, *(f"svc-{k}" for k in range(4, 9))], as_of=AS_OF)),
+     f"{WITH} SELECT {_bucket_sql('6h')} AS bucket, "
+     + _pivot_sql("ROUND(AVG(CASE WHEN service = '{s}' THEN value END), 8)") + ", "
+     + ", ".join(f'CAST(NULL AS DOUBLE) AS "svc-{k}"' for k in range(4, 9))
+     + f" FROM metrics WHERE name = 'view_value' AND timestamp > {AS_OF} - {7 * DAY_MS} GROUP BY 1")
+
 # window override and filters
 _add("ts_window_override", _verb("rate", "click_total", window=WINDOW, by_service=True),
      f"{WITH} SELECT service, ROUND(SUM(inc) / {2 * DAY_MS // 1000}.0, 8) AS rate_per_s FROM (SELECT service, host,"
@@ -153,6 +161,21 @@ _add("ts_gapfill_counter", _filled("increase", "error_total", "10m"),
      " service, host, labels, MAX(value) - MIN(value) AS inc FROM metrics WHERE name = 'error_total'"
      f" AND {LAST_DAY} GROUP BY 1, 2, 3, 4) GROUP BY bucket)"
      " SELECT bucket, COALESCE(increase, 0.0) AS increase FROM grid LEFT JOIN r USING (bucket)")
+
+
+def _long_grid(spark, sf_dir):
+    """Two-minute buckets over thirty days: 21,601 of them."""
+    width = duration_ms("2m")
+    start, end = shape.grid_bounds(AS_OF - 30 * DAY_MS, AS_OF, width)
+    df = series.verb(td.metrics(spark, sf_dir, only="view_value"), "count", "view_value", per="2m", last="30d", as_of=AS_OF)
+    return shape.gap_fill(df, start_ms=start, end_ms=end, bucket_ms=width, zero=True)
+
+
+_add("ts_gapfill_long", _long_grid,
+     f"{WITH}, grid AS (SELECT CAST(g AS BIGINT) AS bucket FROM generate_series({(AS_OF - 30 * DAY_MS) // 120_000 * 120_000},"
+     f" {AS_OF // 120_000 * 120_000}, 120000) t(g)), r AS (SELECT {_bucket_sql('2m')} AS bucket, COUNT(value) AS samples FROM metrics"
+     f" WHERE name = 'view_value' AND timestamp > {AS_OF} - {30 * DAY_MS} GROUP BY 1)"
+     " SELECT bucket, COALESCE(samples, 0) AS samples FROM grid LEFT JOIN r USING (bucket)")
 _add("ts_gapfill_gauge", _filled("avg", "error_value", "10m"),
      f"{WITH}, {_grid_sql('10m')}, r AS (SELECT {_bucket_sql('10m')} AS bucket, ROUND(AVG(value), 8) AS avg_value"
      f" FROM metrics WHERE name = 'error_value' AND {LAST_DAY} GROUP BY 1)"
@@ -189,13 +212,13 @@ _add("metrics_catalog", _m(lambda m: catalog.metrics_catalog(m)),
      " CASE WHEN type = 0 THEN concat('increase(', name, ') per 1h last 24h')"
      " ELSE concat('avg(', name, ') per 10m last 24h') END AS suggested FROM (SELECT name, MIN(type) AS type, service,"
      " COUNT(*) AS points, MAX(timestamp) AS last_seen FROM metrics GROUP BY name, service)"
-     " ORDER BY last_seen DESC, name, service LIMIT 100")
+     " ORDER BY last_seen DESC, name, service")
 _add("service_metrics", _m(lambda m: catalog.service_metrics(m, "svc-1")),
      f"{WITH} SELECT name, COUNT(*) AS points, MAX(timestamp) AS last_seen FROM metrics WHERE service = 'svc-1'"
-     " GROUP BY name ORDER BY last_seen DESC, name LIMIT 100")
+     " GROUP BY name ORDER BY last_seen DESC, name")
 _add("top_metrics", _m(catalog.top_metrics),
      f"{WITH} SELECT name, COUNT(*) AS datapoints FROM metrics GROUP BY name ORDER BY datapoints DESC, name LIMIT 20")
-_add("metric_names", _m(catalog.metric_names), f"{WITH} SELECT DISTINCT name FROM metrics ORDER BY name LIMIT 500")
+_add("metric_names", _m(catalog.metric_names), f"{WITH} SELECT DISTINCT name FROM metrics ORDER BY name")
 _add("metric_services_list", _m(lambda m: series.metric_services(m, "error_total", 7)),
      f"{WITH} SELECT DISTINCT service FROM metrics WHERE name = 'error_total' ORDER BY service LIMIT 7")
 _add("label_keys", _m(lambda m: catalog.filter_keys(m, "error_value")),
@@ -204,12 +227,12 @@ _add("label_keys", _m(lambda m: catalog.filter_keys(m, "error_value")),
      " WHERE name = 'error_value' AND labels IS NOT NULL)")
 _add("label_values", _m(lambda m: catalog.filter_values(m, "error_value", "k")),
      f"{WITH} SELECT DISTINCT json_extract_string(labels, '$.k') AS v FROM metrics WHERE name = 'error_value'"
-     " AND json_extract_string(labels, '$.k') IS NOT NULL ORDER BY v LIMIT 50")
+     " AND json_extract_string(labels, '$.k') IS NOT NULL ORDER BY v")
 _add("label_values_host", _m(lambda m: catalog.filter_values(m, "error_value", "host")),
-     f"{WITH} SELECT DISTINCT host AS v FROM metrics WHERE name = 'error_value' ORDER BY v LIMIT 50")
+     f"{WITH} SELECT DISTINCT host AS v FROM metrics WHERE name = 'error_value' ORDER BY v")
 _add("metric_services_seen", _m(lambda m: catalog.services_seen(m, as_of=AS_OF)),
      f"{WITH} SELECT service, MAX(timestamp) AS last_seen, COUNT(*) AS points FROM metrics"
-     f" WHERE timestamp > {AS_OF} - {7 * DAY_MS} GROUP BY service ORDER BY last_seen DESC, service LIMIT 25")
+     f" WHERE timestamp > {AS_OF} - {7 * DAY_MS} GROUP BY service ORDER BY last_seen DESC, service")
 
 
 def _targets(spark, sf_dir):
