@@ -21,15 +21,19 @@ _PAIR, _SKIP = np.uint64(0x51ED270B7F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 @dataclass(frozen=True)
 class Settings:
-    """``most_rows`` bounds the labelled sample that is learned from: about so many rows, chosen by a hash of their ids."""
+    """``most_rows`` bounds the labelled sample that is learned from: about so many rows, chosen by a hash of their ids.
+
+    ``positive`` is what an error on a toxic row weighs, as toxic rows are few.
+    """
 
     bits: int = 20
     most_rows: int = 24_000
     epochs: int = 4
     alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 8.0
+    l1: float = 12.0
     l2: float = 0.1
+    positive: float = 4.0
 
 
 def features(block: X.Block, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +65,7 @@ class Ftrl:
 
     def learn(self, at: np.ndarray, label: int) -> None:
         w = self.weights(at)
-        g = _sigmoid(w.sum()) - label
+        g = (_sigmoid(w.sum()) - label) * (self.s.positive if label else 1.0)
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.s.alpha * w
         self.n[at] = n + g * g
