@@ -376,7 +376,7 @@ def test_toxicity(spark):
         labels.append((k, int(bad), 1))
     own = spark.createDataFrame(labels + [(5, None, 0), (None, 1, 0)], "doc_id long, toxic int, text int")
     docs = table(spark, rows + [(1000 + k, t) for k, (_, t) in enumerate(ODD)], clash=True)
-    model = toxicity.fit(docs, own.filter("doc_id < 450"), toxicity.Settings(l1=2.0))
+    model = toxicity.fit(docs, own.filter("doc_id < 450"))
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     held = [(got[k], bad) for k, bad, _ in labels if k >= 450]
     good = [a > b for a, x in held for b, y in held if x and not y]
@@ -477,9 +477,10 @@ def test_near_duplicates(spark):
 def test_near_duplicates_of_one_id(spark):
     rng = random.Random(10)
     a, b = prose(rng, 50), prose(rng, 50)
-    rows = [(1, a), (5, a), (5, b), (9, b), (2, prose(rng, 50))]
+    c = prose(rng, 50)
+    rows = [(1, a), (5, a), (5, b), (9, b), (2, prose(rng, 50)), (5, c), (3, c), (5, "own text")]
     got = near_dedup.near_duplicates(table(spark, rows)).collect()
-    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (5, 1), (5, 1), (9, 1)]
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 1), (5, 1), (5, 1), (5, 1), (5, 1), (9, 1)]
 
 
 def test_near_duplicates_empty(spark):
