@@ -121,9 +121,9 @@ def _listed(source: DataFrame, length: int, gram: int) -> DataFrame:
                 row = np.searchsorted(block.offsets, start, "right") - 1
                 raw = block.data.tobytes()
                 digest = [hashlib.blake2b(raw[a:a + k + length - 1], digest_size=16).digest() for a, k in zip(start.tolist(), n.tolist())]
-                rows = batch.slice(block.lo, block.hi - block.lo).take(pa.array(row))
+                row_at = pa.array(row + block.lo)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(start - block.offsets[row] + shift, pa.int64()), pa.array(n, pa.int32()),
+                    [batch.column(0).take(row_at), batch.column(1).take(row_at), pa.array(start - block.offsets[row] + shift, pa.int64()), pa.array(n, pa.int32()),
                      pa.array(value.view(np.int64)), pa.array(digest, pa.binary())], ["own", "copies", "start", "n", "value", "digest"])
 
     return source.select("own", "copies", "body").mapInArrow(
