@@ -252,21 +252,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                           .agg(F.max("equal").alias("equal")), "pairs")
 
     # texts of one id that differ belong together by definition
-    own = (sets.join(classes.select("whole", "node"), "whole").groupBy("id")
-           .agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b"))
+    placed = sets.join(classes.select("whole", "node"), "whole").select("id", "node")
+    several = placed.groupBy("id").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
+    own = placed.join(several, "id", "left_semi").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct()
     best = F.max(F.struct("equal", "a", "b")).alias("best")
     first = (pairs.select("equal", "a", "b", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(best)
              .select("best.a", "best.b").distinct())
-    links = storage.table(confirmed(first, nodes, texts, percent).union(own.select(F.col("id").alias("a"), "b")).union(own.select("id", "a")), "links")
+    links = storage.table(confirmed(first, nodes, texts, percent).union(own), "links")
     labels = components(links)
-    side = labels.withColumnsRenamed({"node": "at", "label": "side"})
-    apart = (pairs.join(side.withColumnsRenamed({"at": "at_a", "side": "side_a"}), F.col("a") == F.col("at_a"), "left")
-             .join(side.withColumnsRenamed({"at": "at_b", "side": "side_b"}), F.col("b") == F.col("at_b"), "left")
-             .filter(F.coalesce("side_a", "a") != F.coalesce("side_b", "b")).select("a", "b"))
+
+    def sided(pairs: DataFrame) -> DataFrame:
+        """The components of both ends; a document without links is its own."""
+        a = labels.withColumnsRenamed({"node": "at_a", "label": "side_a"})
+        b = labels.withColumnsRenamed({"node": "at_b", "label": "side_b"})
+        return (pairs.join(a, F.col("a") == F.col("at_a"), "left").join(b, F.col("b") == F.col("at_b"), "left")
+                .select("a", "b", F.coalesce("side_a", "a").alias("side_a"), F.coalesce("side_b", "b").alias("side_b")))
+
+    apart = sided(pairs).filter("side_a != side_b").select("a", "b")
     rest = storage.table(apart.join(first, ["a", "b"], "left_anti"), "pairs")
-    labels = components(links.union(storage.table(confirmed(rest, nodes, texts, percent), "links")))
-    low = storage.table(classes.join(labels, "node", "left")
-                        .select("whole", F.coalesce("label", "node").alias("component")), "components")
+    bridges = sided(storage.table(confirmed(rest, nodes, texts, percent), "links"))
+    joined = components(bridges.select(F.col("side_a").alias("a"), F.col("side_b").alias("b")))
+    joined = joined.withColumnsRenamed({"node": "side", "label": "whole_side"})
+    low = classes.join(labels, "node", "left").withColumn("side", F.coalesce("label", "node")).join(joined, "side", "left")
+    low = storage.table(low.select("whole", F.coalesce("whole_side", "side").alias("component")), "components")
     return (sigs.join(low, "whole", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                     F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
