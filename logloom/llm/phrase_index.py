@@ -174,11 +174,11 @@ def search(index: DataFrame, phrases: Sequence[Sequence[str]], within: int | Non
 
     def run(rows: pa.Table) -> pa.Table:
         s = Segment.of(rows)
-        if within is None:
+        if within is None or not phrases:
             which, at = s.starts(phrases)
         else:
             hits = [(np.full(len(x), k), x) for k, p in enumerate(phrases) for x in [s.near(p, within)]]
-            which, at = (np.concatenate(x) if hits else np.zeros(0, np.int64) for x in zip(*hits))
+            which, at = (np.concatenate(x) for x in zip(*hits))
         doc = s.doc[at]
         order = np.lexsort((which, at))
         which, at, doc = which[order], at[order], doc[order]
