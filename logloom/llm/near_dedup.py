@@ -11,6 +11,9 @@
 4. Pairs that agree on far too few bins are dropped (at the threshold so few have a probability below 1e-6).
    The best pair of each document is confirmed on the full sets, made anew from the texts; then, of the other
    pairs, those whose documents are not yet connected. Linked documents form components.
+5. Where members of a bucket still lie in several components, every pair of members in different components is
+   compared by bins. Those alike form clusters, in which every pair in different components is judged on the full
+   sets. Both run piece by piece inside tasks, which give out only as many links as there are members.
 """
 
 from __future__ import annotations
@@ -41,6 +44,9 @@ LEAST_EQUAL = 70
 #: Where the orders of a bucket's members begin, in bins after the band.
 ORDERS = (ROWS, 8 * ROWS)
 
+#: Rows of a bucket and shingles of a cluster in one part; every two parts are compared in a task of their own.
+PART_ROWS, PART_SHINGLES = 2048, 1 << 19
+
 
 def shingle_sets(block: X.Block, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of every document of a block; a shorter text is one shingle."""
@@ -221,6 +227,153 @@ def _placed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, fields + "".join(f", {n} bigint" for n in names))
 
 
+def _pieces(rows: DataFrame, group: str) -> DataFrame:
+    """Each row of a group of ``parts`` parts once for every part that its own one meets; sorted by (group, i, j)."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", "node_body"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))))
+    rows = rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other", "parts")
+    return rows.repartition(n, group, "i", "j").sortWithinPartitions(group, "i", "j", "part", "side")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int = 3) -> Iterator[pa.RecordBatch]:
+    """The rows of one group at a time: those, sorted, that agree in the first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    for x in batches:
+        if not len(x):
+            continue
+        names = [x.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        cuts = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in names], axis=0)) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(x)]):
+            if held and (a or any(held[-1].column(k)[0] != x.column(k)[0] for k in range(keys))):
+                yield _one(held)
+                held = []
+            held.append(x.slice(a, b - a))
+    if held:
+        yield _one(held)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def _equal(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Equal bins of each of some rows with each of others."""
+    if len(one) * len(others) <= 4096:
+        return (one[:, None] == others[None]).sum(2)
+    out = np.zeros((len(one), len(others)), np.uint8)
+    for a, b in zip(np.ascontiguousarray(one.T), np.ascontiguousarray(others.T)):
+        out += a[:, None] == b
+    return out
+
+
+def _join(label: np.ndarray, row: int, hits: np.ndarray) -> np.ndarray:
+    """Gives the labels of ``hits`` the label of ``row``; one hit of each other label."""
+    others, at = np.unique(label[hits], return_index=True)
+    at = hits[at[others != label[row]]]
+    for old in label[at]:
+        label[label == old] = label[row]
+    return at
+
+
+def _spans(part: np.ndarray) -> Iterator[tuple[int, int]]:
+    """For each row that is compared, itself and where those begin that it meets: the rows after it, or the other part."""
+    first = int(np.searchsorted(part, part[0], "right"))
+    if first < len(part):
+        yield from ((k, first) for k in range(first))
+    else:
+        yield from ((k, k + 1) for k in range(len(part) - 1))
+
+
+def _clustered(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, a, b): the members of buckets that may be like one of another component, with their own component twice;
+    and, without a node, components that have such members, as many as connect them."""
+    kind = rows.schema["node"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _groups(batches):
+            if x.column(1)[0] != x.column(2)[0] and x.column(3)[0] == x.column(3)[len(x) - 1]:
+                continue  # two parts, of which one is empty
+            side = np.unique(x.column(5).to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            if not side.any():
+                continue
+            n, bins, label, alike = x.column(6).to_numpy(), _matrix(x.column(7)), side.copy(), np.zeros(len(x), bool)
+            spans, left, right = list(_spans(x.column(3).to_numpy())), [], []
+            for k in range(0, len(spans), 256):
+                lo = spans[k][1]
+                equal = _equal(bins[spans[k][0]:spans[min(k + 256, len(spans)) - 1][0] + 1], bins[lo:])
+                for (row, begin), e in zip(spans[k:k + 256], equal):
+                    mine, e = n[row], e[begin - lo:]
+                    other = n[begin:]
+                    hits = np.flatnonzero((e >= LEAST_EQUAL * percent // PERCENT) & (side[begin:] != side[row])
+                                          & (100 * np.minimum(mine, other) >= percent * np.maximum(mine, other)))
+                    if len(hits):
+                        alike[row] = alike[hits + begin] = True
+                        at = _join(label, row, hits + begin)
+                        left += [row] * len(at)
+                        right += at.tolist()
+            found = np.flatnonzero(alike)
+            node = x.column(4).take(pa.array([*found, *[None] * len(left)], pa.int64()))
+            yield pa.RecordBatch.from_arrays([node, *(x.column(5).take(pa.array([*found, *k], pa.int64())) for k in (left, right))],
+                                             ["node", "a", "b"])
+
+    names = ["key", "i", "j", "part", "node", "side", "n", "bins"]
+    return _pieces(rows, "key").select(*names).mapInArrow(run, f"node {kind}, a {kind}, b {kind}")
+
+
+def _bridges(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components that have a pair of members of one cluster similar enough, as many as connect them."""
+    kind = rows.schema["node"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _groups(batches):
+            side = x.column(4)
+            label = np.unique(side.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            part = x.column(3).to_numpy()
+            if not label.any() or x.column(1)[0] != x.column(2)[0] and part[0] == part[-1]:
+                continue
+            sets = [s for block in X.blocks(x.column(5)) for s in shingle_sets(block)]
+            sizes = np.array([len(s) for s in sets])
+            doc = np.repeat(np.arange(len(sets)), sizes)
+            _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            common = times[code] > 1
+            doc, code = doc[common], code[common]
+            first = np.searchsorted(doc, np.arange(len(sets) + 1))
+            held, left, right = np.zeros(len(times), bool), [], []
+            for row, begin in _spans(part):
+                if (label[begin:] == label[row]).all():
+                    continue
+                own = code[first[row]:first[row + 1]]
+                held[own] = True
+                both = np.bincount(doc[first[begin]:][held[code[first[begin]:]]] - begin, minlength=len(sets) - begin)
+                held[own] = False
+                hits = np.flatnonzero(100 * both >= percent * (sizes[row] + sizes[begin:] - both))
+                if len(hits):
+                    at = _join(label, row, hits + begin)
+                    left += [row] * len(at)
+                    right += at.tolist()
+            yield pa.RecordBatch.from_arrays([side.take(pa.array(left, pa.int64())), side.take(pa.array(right, pa.int64()))], ["a", "b"])
+
+    return _pieces(rows, "cluster").select("cluster", "i", "j", "part", "side", "text").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _remaining(ranked: DataFrame, sides: DataFrame, chosen: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of components (``sides`` of the nodes) between members of a bucket, judged pair by pair."""
+    # both members of a bucket of two have met
+    rows = storage.table(ranked.filter("members > 2").select("key", "node", "node_body", "n", "bins").join(sides, "node"), "rows")
+    several = (rows.groupBy("key").agg(F.min("side").alias("least"), F.max("side").alias("most"), F.count("*").alias("rows"))
+               .filter("least != most").select("key", F.ceil(F.col("rows") / PART_ROWS).alias("parts")))
+    alike = storage.table(_clustered(rows.join(several, "key"), percent).distinct(), "links")
+    clusters = components(alike.filter("node is null").select("a", "b")).select(F.col("node").alias("side"), F.col("label").alias("cluster"))
+    clusters = alike.filter("node is not null").select("node", F.col("a").alias("side")).join(clusters, "side")
+    own = chosen.select("node", "node_body", "n").distinct().join(clusters, "node")
+    own = storage.table(own, "clusters")
+    parts = own.groupBy("cluster").agg(F.ceil(F.sum("n") / PART_SHINGLES).alias("parts"))
+    whole = (texts.join(own.select("node", "node_body"), (texts["id"] == F.col("node")) & (texts["body"] == F.col("node_body")))
+             .groupBy("node", "node_body").agg(F.first("text").alias("text")))
+    return _bridges(own.join(parts, "cluster").join(storage.table(whole, "texts"), ["node", "node_body"]), percent)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -238,12 +391,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = classes.select("node", "node_body").distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text"))
 
-    entries = chosen.select("node", "n", F.posexplode("keys").alias("band", "key"))
+    entries = chosen.select("node", "node_body", "n", F.posexplode("keys").alias("band", "key"))
     counts = entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     shared = storage.table(entries.join(counts, "key"), "buckets")
     hubs = shared.groupBy("node").agg(F.sum(F.log2("members")).alias("weight"))
     hubs = hubs.join(chosen.groupBy("node").agg(F.max("bins").alias("bins")), "node")
-    ranked = storage.table(_placed(shared.select("node", "n", "key", "band").join(hubs, "node")), "ranked")
+    ranked = storage.table(_placed(shared.select("node", "node_body", "n", "key", "band", "members").join(hubs, "node")), "ranked")
 
     found = _starred(ranked, percent)
     for k in range(len(ORDERS)):
@@ -273,7 +426,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bridges = sided(storage.table(confirmed(rest, nodes, texts, percent), "links"))
     joined = components(bridges.select(F.col("side_a").alias("a"), F.col("side_b").alias("b")))
     joined = joined.withColumnsRenamed({"node": "side", "label": "whole_side"})
-    low = classes.join(labels, "node", "left").withColumn("side", F.coalesce("label", "node")).join(joined, "side", "left")
+    sides = nodes.select("node").distinct().join(labels, "node", "left").withColumn("side", F.coalesce("label", "node"))
+    sides = storage.table(sides.join(joined, "side", "left").select("node", F.coalesce("whole_side", "side").alias("side")), "sides")
+    last = components(storage.table(_remaining(ranked, sides, chosen, texts, percent).distinct(), "links"))
+    last = last.withColumnsRenamed({"node": "at", "label": "whole_side"})
+    low = classes.join(sides, "node").join(last, F.col("side") == F.col("at"), "left")
     low = storage.table(low.select("whole", F.coalesce("whole_side", "side").alias("component")), "components")
     return (sigs.join(low, "whole", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),

@@ -474,6 +474,42 @@ def test_near_duplicates(spark):
     assert ids.count(None) == 2 and kept.columns == table(spark, rows, clash=True).columns
 
 
+def templates(rng, members):
+    """Texts that share a template, at 0.697 with one another, of which every two share two more edits and so are at 0.75."""
+    base, rows = prose(rng, 200, 10 ** 6).split(), []
+    for k in range(members):
+        own = list(base)
+        for j, at in enumerate([20, 198, 2, 50, 80, 110, 140, 170]):
+            own[at] = f"o{k // 2 if j < 2 else members + k}x{at}"
+        rows.append((k, " ".join(own)))
+    return rows
+
+
+def by_counts(rows, percent=near_dedup.PERCENT):
+    """(id, component) of texts of one size, by all pairs."""
+    sets = [next(near_dedup.shingle_sets(b)) for _, t in rows for b in X.blocks(pa.array([t]))]
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    common = np.bincount(code) > 1
+    hot = np.zeros((len(sets), common.sum()), np.float32)
+    hot[np.repeat(np.arange(len(sets)), [len(s) for s in sets])[common[code]], (np.cumsum(common) - 1)[code[common[code]]]] = 1
+    n, label = np.array([len(s) for s in sets]), np.array([i for i, _ in rows])
+    both = hot @ hot.T
+    linked = 100 * both >= percent * (n[:, None] + n - both)
+    while True:
+        low = np.minimum(label, np.where(linked, label, label.max()).min(1))
+        if (low == label).all():
+            return sorted(zip((i for i, _ in rows), label.tolist()))
+        label = low
+
+
+def test_near_duplicates_of_a_template(spark, monkeypatch):
+    rows = templates(random.Random(12), 1500)
+    monkeypatch.setattr(near_dedup, "PART_ROWS", 400, raising=False)
+    monkeypatch.setattr(near_dedup, "PART_SHINGLES", 1 << 16, raising=False)
+    got = near_dedup.near_duplicates(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == by_counts(rows)
+
+
 def test_near_duplicates_of_one_id(spark):
     rng = random.Random(10)
     a, b = prose(rng, 50), prose(rng, 50)
