@@ -395,8 +395,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     shared = storage.table(entries.join(counts, "key"), "buckets")
     hubs = shared.groupBy("node").agg(F.sum(F.log2("members")).alias("weight"))
-    hubs = hubs.join(chosen.groupBy("node").agg(F.max("bins").alias("bins")), "node")
-    ranked = storage.table(_placed(shared.select("node", "node_body", "n", "key", "band", "members").join(hubs, "node")), "ranked")
+    hubs = hubs.join(chosen.groupBy("node", "node_body").agg(F.first("bins").alias("bins")), "node")
+    ranked = storage.table(_placed(shared.select("node", "node_body", "n", "key", "band", "members").join(hubs, ["node", "node_body"])), "ranked")
 
     found = _starred(ranked, percent)
     for k in range(len(ORDERS)):

@@ -519,6 +519,16 @@ def test_near_duplicates_of_one_id(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 1), (5, 1), (5, 1), (5, 1), (5, 1), (9, 1)]
 
 
+def test_near_duplicates_of_second_texts(spark):
+    rng, rows, want = random.Random(13), [], []
+    for k in range(0, 60, 2):
+        first, second = prose(rng, 60, 5000), prose(rng, 60, 5000)
+        rows += [(k, first), (k, second), (k + 1, second + " more")]
+        want += [(k, k), (k, k), (k + 1, k)]
+    got = near_dedup.near_duplicates(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted(want)
+
+
 def test_near_duplicates_empty(spark):
     assert near_dedup.near_duplicates(table(spark, [])).count() == 0
     assert [r.component_id for r in near_dedup.near_duplicates(table(spark, [(3, None)])).collect()] == [3]
