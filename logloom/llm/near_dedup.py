@@ -8,7 +8,8 @@
    buckets. Members of a large bucket need not be like its centre, so each is also paired with the next one in
    the order of the further bins, in which those that agree on most come to stand side by side. Both are as many
    pairs as members, however large the bucket, and buckets are cut by ranges, not held.
-4. Pairs that agree on far too few bins are dropped (at the threshold so few have a probability below 1e-6).
+4. Pairs that agree on far too few bins are dropped (at the threshold so few are about five deviations off, if
+   bins were independent), unless one of the sets is very small.
    The best pair of each document is confirmed on the full sets, made anew from the texts; then, of the other
    pairs, those whose documents are not yet connected. Linked documents form components.
 5. Where members of a bucket still lie in several components, every pair of members in different components is
@@ -39,7 +40,8 @@ BANDS, ROWS = 42, 3
 BINS = BANDS * ROWS
 
 #: Equal bins that a pair must have: of 126, a pair at 0.75 has 94.5 on average, with a deviation of 4.9.
-LEAST_EQUAL = 70
+#: Two shingles in one bin of a very small set shift many bins at once, so sets under FEW shingles need none.
+LEAST_EQUAL, FEW = 70, 20
 
 #: Where the orders of a bucket's members begin, in bins after the band.
 ORDERS = (ROWS, 8 * ROWS)
@@ -171,10 +173,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _alike(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
-    """Equal bins of each pair; 0 where sizes or bins rule the similarity out."""
+    """Equal bins of each pair, 1 at least; 0 where sizes or bins rule the similarity out."""
     equal = (a == b).sum(1)
     possible = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-    return np.where(possible & (equal >= LEAST_EQUAL * percent // PERCENT), equal, 0)
+    enough = (equal >= LEAST_EQUAL * percent // PERCENT) | (np.minimum(n_a, n_b) < FEW)
+    return np.where(possible & enough, np.maximum(equal, 1), 0)
 
 
 def _starred(rows: DataFrame, percent: int) -> DataFrame:
@@ -305,7 +308,7 @@ def _clustered(rows: DataFrame, percent: int) -> DataFrame:
                 for (row, begin), e in zip(spans[k:k + 256], equal):
                     mine, e = n[row], e[begin - lo:]
                     other = n[begin:]
-                    hits = np.flatnonzero((e >= LEAST_EQUAL * percent // PERCENT) & (side[begin:] != side[row])
+                    hits = np.flatnonzero(((e >= LEAST_EQUAL * percent // PERCENT) | (np.minimum(mine, other) < FEW)) & (side[begin:] != side[row])
                                           & (100 * np.minimum(mine, other) >= percent * np.maximum(mine, other)))
                     if len(hits):
                         alike[row] = alike[hits + begin] = True

@@ -529,6 +529,13 @@ def test_near_duplicates_of_second_texts(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == sorted(want)
 
 
+def test_few_shingles_need_no_equal_bins():
+    a, b = np.zeros((3, near_dedup.BINS), np.uint8), np.ones((3, near_dedup.BINS), np.uint8)
+    a[:, :60] = 1
+    equal = near_dedup._alike(a, b, np.array([3, 3, 200]), np.array([4, 5, 200]), 75)
+    assert (equal > 0).tolist() == [True, False, False]
+
+
 def test_near_duplicates_empty(spark):
     assert near_dedup.near_duplicates(table(spark, [])).count() == 0
     assert [r.component_id for r in near_dedup.near_duplicates(table(spark, [(3, None)])).collect()] == [3]
