@@ -205,6 +205,14 @@ def covered(runs):
     return len({k for r in runs for k in range(r["first"], r["end"])})
 
 
+def test_decontaminated_without_ids(spark):
+    passage = " ".join(f"p{k}" for k in range(12))
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    rows = [(None, f"before {passage} after"), (None, "clean"), (None, None), (1, passage), (2, "clean")]
+    kept = phrase_index.decontaminated(table(spark, rows), items).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(rows[1:3] + rows[4:], key=repr)
+
+
 def test_contamination_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert phrase_index.contamination(table(spark, []), none).count() == 0
