@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import exact_dedup, language, mixing, near_dedup, packing, phrase_index, secrets, suffix_dedup, toxicity, warc
+from logloom.llm import (alignment, exact_dedup, hard_negatives, hidden_markov, language, mixing, near_dedup, packing, phrase_index,
+                         secrets, suffix_dedup, toxicity, warc)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -149,3 +150,38 @@ def without_repeats(spark, sf_dir):
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_lm_scoring")
+def language_model(spark, sf_dir):
+    rest = language.remainder(F.col("doc_id"), 7)
+    out = hidden_markov.score(_read(spark, sf_dir, "documents"), rest != 2)
+    return out.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                      "base_score", "score")
+
+
+@query("op12_token_alignment")
+def token_alignment(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    out = alignment.align(docs, alignment.learn(docs))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                      F.col("groups").alias("groups_sha256"))
+
+
+@query("op13_hard_negatives", """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT DISTINCT a.id AS anchor_id, b.id, a.label = b.label AS same,
+             CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score
+      FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM s WHERE same) WHERE place <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score,
+             CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""")
+def mined_negatives(spark, sf_dir):
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_read(spark, sf_dir, "embeddings"), anchor=F.col("id") % 100 == 0, label=noisy)

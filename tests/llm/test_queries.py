@@ -23,7 +23,7 @@ def docs():
 
 
 def test_every_operator_has_a_query():
-    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES} == {str(k) for k in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES} == {str(k) for k in range(1, 14)}
     assert queries.ORACLE.keys() <= queries.QUERIES.keys()
 
 
@@ -66,6 +66,29 @@ def test_learned_queries(spark, docs):
     assert len(scores) == len(docs) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in scores)
 
 
+def test_scoring_query(spark, docs):
+    """Base scores and counts against plain ones; the model gives held-out texts more than single tokens do."""
+    got = queries.QUERIES["op11_lm_scoring"](spark, SF).collect()
+    base = {b[0]: b[1:] for b in brute.single_tokens(docs)}
+    for r in got:
+        held, n, known, total, score = base[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
+        assert r.base_score == pytest.approx(score, rel=1e-9)
+    assert len(got) == len(docs) and sum(r.score - r.base_score for r in got if r.held_out) > 0
+
+
+def test_alignment_query(spark, docs):
+    got = queries.QUERIES["op12_token_alignment"](spark, SF).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.alignment(docs, "/opt/tokenizers"))
+
+
+def test_hard_negatives_query(spark):
+    got = queries.QUERIES["op13_hard_negatives"](spark, SF).collect()
+    rows = [(i, v, None if l is None else (l + 1) % 10 if i % 7 == 0 else l) for i, v, l in rows_of("embeddings", "vec_id, embedding, label")]
+    expected = brute.negatives(rows, 100)
+    assert sorted(map(tuple, got)) == expected and expected
+
+
 def test_pipeline(spark, docs):
     """Every stage against a plain version over what the stage before it kept."""
     table = spark.read.parquet(f"{SF}/documents.parquet")
