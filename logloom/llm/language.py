@@ -164,13 +164,16 @@ def _over(column: pa.Array, profiles: Profiles) -> tuple[np.ndarray, np.ndarray]
 
 
 def accepted(docs: DataFrame, profiles: Profiles, least: float, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text has a language with a score of ``least`` or more."""
+    """The rows, with all their columns, whose text has a language with a score of ``least`` or more.
+
+    Null texts, texts without a letter and, without any learned language, all texts go; rows are judged one by one,
+    so repeated rows stay or go together. Only the text leaves the JVM, and one flag comes back.
+    """
     model = docs.sparkSession.sparkContext.broadcast(profiles)
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            best, score = _over(batch.column(at), model.value)
-            yield batch.filter(pa.array((best >= 0) & (score >= least)))
+    @F.arrow_udf("boolean")
+    def fits(texts: pa.Array) -> pa.Array:
+        best, score = _over(texts, model.value)
+        return pa.array((best >= 0) & (score >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(fits(F.col(text_col)))

@@ -94,7 +94,11 @@ def mix(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", **how) -> DataFr
 
 
 def mixture(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself: every row as often as it is taken, with the columns of ``docs``."""
+    """The mix itself: every row as often as it is taken, with the columns of ``docs``.
+
+    Rows without words are taken as often as their source's rate says and add nothing to its target; a null source
+    is a source, one without words is left out. Rows with one id draw alike, those without an id share one draw.
+    """
     _, per, count = rates(docs, id_col=id_col, source_col=source_col, **how)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("source"))
     taken = storage.join_few(whole, per, "source", count).withColumn("n", copies(F.col(f"row.`{id_col}`"), seed))

@@ -444,13 +444,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows, with all their columns, of one document of each component. Of rows that repeat an id one stays,
     by its text; rows with a null id all stay."""
-    kept = near_duplicates(docs, id_col, text_col, percent).filter("kept").groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__rows"))
-    kept = storage.table(kept.filter("__id is not null"), "kept")
-    one = docs.join(kept.filter("__rows = 1"), F.col(id_col) == F.col("__id"), "left_semi")
-    out = one.union(docs.filter(F.col(id_col).isNull()))
-    again = kept.filter("__rows > 1")
-    if again.isEmpty():
-        return out
-    first = Window.partitionBy(F.col(id_col)).orderBy(F.col(text_col).asc_nulls_last(), F.monotonically_increasing_id())
-    several = docs.join(again, F.col(id_col) == F.col("__id"), "left_semi")
-    return out.union(several.withColumn("__place", F.row_number().over(first)).filter("__place = 1").drop("__place"))
+    kept = (near_duplicates(docs, id_col, text_col, percent).filter("kept").select(F.col(id_col).alias("at")).filter("at is not null")
+            .groupBy("at").agg(F.count("*").alias("rows")))
+    kept = storage.table(kept, "kept")
+    # rows travel as one column, so that none of theirs meets another of its name
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    one = whole.join(kept.filter("rows = 1"), F.col("id") == F.col("at"), "left_semi")
+    out = one.union(whole.filter("id is null"))
+    again = kept.filter("rows > 1")
+    if not again.isEmpty():
+        first = Window.partitionBy("id").orderBy(F.col("text").asc_nulls_last(), F.monotonically_increasing_id())
+        several = whole.join(again, F.col("id") == F.col("at"), "left_semi").withColumn("place", F.row_number().over(first))
+        out = out.union(several.filter("place = 1").drop("place"))
+    return out.select("row.*")

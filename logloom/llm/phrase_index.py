@@ -278,14 +278,18 @@ def covered(runs: Column) -> Column:
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows, with all their columns, of documents that hold no item window. Rows that repeat an id share its fate;
     a row with a null id is judged by its own text."""
-    bad = contamination(docs, items, window, id_col, **how).filter(F.size("runs") > 0)
-    bad = bad.select(F.col(id_col).alias("__bad")).filter("__bad is not null").distinct()
-    nameless = docs.filter(F.col(id_col).isNull())
-    if nameless.isEmpty():
-        return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
     text_col = how.get("text_col", "text")
-    own = nameless.select(F.sha2(F.col(text_col), 256).alias(id_col), text_col).filter(F.col(text_col).isNotNull()).distinct()
-    found = contamination(own, items, window, id_col, **how).filter(F.size("runs") > 0).select(F.col(id_col).alias("__bad"))
-    named = docs.filter(F.col(id_col).isNotNull())
-    return (named.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
-            .union(nameless.join(found, F.sha2(F.col(text_col), 256) == F.col("__bad"), "left_anti")))
+    # rows travel as one column, so that none of theirs meets another of its name
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"),
+                        F.sha2(F.when(F.col(id_col).isNull(), F.col(text_col)), 256).alias("own"))
+
+    def found(rows: DataFrame) -> DataFrame:
+        return contamination(rows, items, window, id_col, **how).filter(F.size("runs") > 0).select(F.col(id_col).alias("bad")).distinct()
+
+    named = whole.filter("id is not null").join(found(docs).filter("bad is not null"), F.col("id") == F.col("bad"), "left_anti")
+    nameless = whole.filter("id is null")
+    if nameless.isEmpty():
+        return named.select("row.*")
+    texts = docs.filter(F.col(id_col).isNull() & F.col(text_col).isNotNull())
+    texts = texts.select(F.sha2(F.col(text_col), 256).alias(id_col), text_col).distinct()
+    return named.union(nameless.join(found(texts), F.col("own") == F.col("bad"), "left_anti")).select("row.*")

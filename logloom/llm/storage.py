@@ -14,8 +14,20 @@ from logloom.session import delete_path, scratch_path
 _noted: list[list[str]] = [[]]
 
 
+#: Bytes of the rows that go to a Python worker at a time, whatever the length of their texts.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what goes to Python at a time by bytes, unless the session does: rows alone say little of long texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once below ``spark.checkpoint.dir`` and read back: a lost executor costs a read, not the work."""
+    small_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     keep(path)
     df.write.parquet(path)

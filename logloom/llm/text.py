@@ -59,6 +59,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES, docs: int = 1 << 30) -> I
         hi = min(hi, lo + docs)
         yield Block(lo, hi, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
         lo = hi
+    pa.default_memory_pool().release_unused()  # workers live on, and so would what they held
 
 
 @dataclass

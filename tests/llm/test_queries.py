@@ -136,6 +136,25 @@ def test_pipeline_run(spark):
     assert out.count() > 0 and "ids" in out.columns
 
 
+def test_stages_take_odd_rows(spark):
+    """Null, empty and repeated rows, and columns with the names that stages use themselves, through every stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __id long, row string, id string, bad long, at string, rows long"
+    prose = " ".join(f"word{k}" for k in range(30))
+    own = [(1, prose, "xx", "s"), (1, prose, "xx", "s"), (2, prose, None, None), (3, None, "xx", "s"), (4, "", "xx", "s"), (None, "zzz " + prose, "xx", "t"),
+           (None, None, None, None), (5, "123 !", "xx", "s"), (6, "other words here " * 9, "xx", "t")]
+    docs = spark.createDataFrame([(*r, 1, 2, "r", "i", 3, "a", 4) for r in own], schema)
+    for rows in (docs, docs.limit(0)):
+        table = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            table = spark.createDataFrame(stage(spark, table, SF).toArrow().to_pylist(), schema)
+            assert table.columns == docs.columns
+            kept = [(r.doc_id, r.text) for r in table.collect()]
+            assert None not in {t for _, t in kept} and (not kept) == (rows is not docs)
+            if name == "near_duplicates" and kept:
+                assert sorted(kept, key=repr) == sorted([(1, prose), (6, "other words here " * 9), (None, "zzz " + prose)], key=repr)
+        assert (corpus_pipeline.STAGES[-1][1](spark, table, SF).count() > 0) == (rows is docs)
+
+
 def test_profiles_do_not_use_other_columns(spark):
     one = spark.createDataFrame([(1, "abc def", "xx", "s", 7)], "doc_id long, text string, lang string, source string, n_chars long")
     assert language.fit(one).languages == ("xx",)
