@@ -27,6 +27,7 @@ def _stage(fn: Callable) -> Callable:
     @wraps(fn)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         storage.release(spark, _left)
+        storage.small_batches(spark)
         with storage.noted(_left):
             return fn(spark, docs, sf_dir)
     return run
@@ -34,32 +35,46 @@ def _stage(fn: Callable) -> Callable:
 
 @_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learned from the labelled ones among them."""
+    """Documents in one of the languages learned from the labelled ones among them.
+
+    Texts that are null or without a letter go, whatever else a row holds; null ids and languages teach nothing.
+    """
     profiles = language.fit(docs.filter(language.remainder(F.col("doc_id"), 3) != 1))
     return language.accepted(docs, profiles, LEAST_SCORE)
 
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    Texts without words resemble nothing and stay; of rows that repeat an id and text one stays, rows without an id
+    are judged by their own text.
+    """
     return near_dedup.without_near_duplicates(docs)
 
 
 @_stage
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no ten words in a row of a benchmark item."""
+    """Documents that hold no ten words in a row of a benchmark item, nor a shorter item as a whole.
+
+    Null and empty texts hold nothing and stay, and an empty benchmark takes nothing out; repeated rows share their lot.
+    """
     return phrase_index.decontaminated(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
 
 
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's rate asks for."""
+    """Every document as often as its source's rate asks for.
+
+    Documents without words count nothing towards a target and are repeated like others of their source; a null
+    source is a source. Repeated rows draw alike, rows without an id share one draw.
+    """
     return mixing.mixture(docs)
 
 
 @_stage
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of token ids."""
+    """Rows of token ids. A null or empty text is one end token; a document longer than a row is cut; no row, no output."""
     return packing.packed(docs)
 
 
