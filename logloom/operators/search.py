@@ -91,10 +91,11 @@ def is_expression(text: str) -> bool:
     return any(t in OPERATOR_WORDS or any(c in OPERATOR_CHARS for c in t) for t in text.split())
 
 
-def match_spec(text: str) -> And:
-    """Plain search-bar text as a match: every word, as a prefix. Operators are written with the classes above."""
+def match_spec(text: str):
+    """Search-bar text as a match: with operators as they say, else every word, as a prefix."""
     if is_expression(text):
-        raise ValueError("build operator searches from phrase, near, all_of, any_of and Not")
+        from logloom.operators import search_text  # reads into the classes of this module
+        return search_text.read(text)
     specs = tuple(p for p in (phrase(t, prefix=True) for t in text.split()) if p.terms)
     if not specs:
         raise ValueError("nothing to search for")
@@ -211,7 +212,7 @@ def search(index: DataFrame, spec) -> DataFrame:
     atoms = _atoms(spec)
     hits = _candidates(index, atoms)
     keys = _keys(index)
-    if len(atoms) == 1 and not atoms[0][1] and not _needs_positions(spec):
+    if isinstance(spec, Phrase) and len(atoms) == 1 and not atoms[0][1] and not _needs_positions(spec):
         return hits.select(*keys)  # one exact term has one row per line
     positions = _needs_positions(spec)
     none = F.array().cast("array<int>")
@@ -259,24 +260,26 @@ def corpus_size(logs: DataFrame, text: str = "raw") -> tuple[int, float]:
 
 
 def bm25(index: DataFrame, phrases: Sequence[Phrase], lines: int, mean_words: float) -> DataFrame:
-    """``id, rank`` of lines holding every one-word phrase; lower ranks are better."""
-    if any(len(p.terms) != 1 for p in phrases):
-        raise ValueError("ranking takes one-word phrases")
-    atoms = [(p.terms[0], p.prefix) for p in phrases]
-    hits = _candidates(index, atoms)
-    counts = [F.sum(F.when(_term_is(a, F.col("term")), F.size("positions"))).alias(f"_f{i}")
-              for i, a in enumerate(atoms)]
-    # what matches any word; the weight of a word counts all lines that hold it
-    per_line = hits.groupBy("id").agg(F.max("words").alias("words"), *counts)
-    held = hits.groupBy("id").agg(*counts).agg(*[F.count(f"_f{i}").alias(f"d{i}") for i in range(len(atoms))]).first()
+    """``id, rank`` of lines holding every phrase; lower ranks are better. A phrase counts as often as it occurs."""
+    phrases = [p for p in phrases if p.terms]
+    if not phrases:
+        raise ValueError("nothing to rank by")
+    atoms = _atoms(And(tuple(phrases)))
+    none = F.array().cast("array<int>")
+    at = {a: F.coalesce(F.flatten(F.collect_list(F.when(_term_is(a, F.col("term")), F.col("positions")))), none) for a in atoms}
+    # what matches any word; a line's positions of the words asked for meet in one row
+    per_line = _candidates(index, atoms).groupBy("id").agg(F.max("words").alias("words"), *[at[a].alias(f"_{i}") for i, a in enumerate(atoms)])
+    held_at = {a: F.col(f"_{i}") for i, a in enumerate(atoms)}
+    counted = per_line.select("id", "words", *[F.size(_starts(p, held_at)).alias(f"_f{i}") for i, p in enumerate(phrases)])
+    # the weight of a phrase counts all lines that hold it
+    held = counted.agg(*[F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"d{i}") for i in range(len(phrases))]).first()
     score = F.lit(0.0)
-    for i in range(len(atoms)):
-        idf = _idf(lines, held[f"d{i}"])
+    for i in range(len(phrases)):
         f = F.col(f"_f{i}").cast("double")
-        score = score + F.lit(idf) * f * (BM25_K1 + 1) / (
+        score = score + F.lit(_idf(lines, held[f"d{i}"])) * f * (BM25_K1 + 1) / (
             f + BM25_K1 * (1 - BM25_B + BM25_B * F.col("words") / F.lit(mean_words or 1.0)))
-    both = reduce(lambda a, b: a & b, [F.col(f"_f{i}").isNotNull() for i in range(len(atoms))])
-    return per_line.filter(both).select("id", (-score).alias("rank"))
+    both = reduce(lambda a, b: a & b, [F.col(f"_f{i}") > 0 for i in range(len(phrases))])
+    return counted.filter(both).select("id", (-score).alias("rank"))
 
 
 def _idf(lines: int, held: int) -> float:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logloom.operators import excerpts as X
 from logloom.operators import search as S
 from logloom.session import scratch_path
 from logloom.sources import testdata as td
@@ -134,4 +135,75 @@ def _vocabulary(spark, sf_dir):
 _add("fts_vocabulary", _vocabulary,
      f"{WORDS} SELECT id, CAST(len(ws) AS BIGINT) AS hits, CAST(len(ws) * (len(ws) - 1) // 2 AS BIGINT) AS places FROM w WHERE len(ws) > 0")
 
+
+# --- operators written as text, and what was found shown in the line ------------------------------
+
+def _text(search: str):
+    return lambda spark, sf_dir: S.search(S.build_index(_corpus(spark, sf_dir)), S.match_spec(search))
+
+
+_OF_THE = f"list_contains(list_transform(range(1, len(ws)), lambda i: {_at('i', OF)} AND {_at('i + 1', THE)}), true)"
+for _name, _search_text, _sql in [
+        ("and", "of AND ther*", f"{_has(OF)} AND {_has('ther.*')}"),
+        ("beside", "of ther* reti*", f"{_has(OF)} AND {_has('ther.*')} AND {_has('reti.*')}"),
+        ("or", "rewhed OR reti *", f"{_has(REWH)} OR {_has('reti.*')}"),
+        ("not", "of NOT from NOT with", f"{_has(OF)} AND NOT {_has(FROM)} AND NOT {_has(WITH_)}"),
+        ("phrase", '"of the" OR "no such words"', _OF_THE),
+        ("sum", "of + th *", f"list_contains(list_transform(range(1, len(ws)), lambda i: {_at('i', OF)} AND {_at('i + 1', 'th.*')}), true)"),
+        ("first", "^the", _at("1", THE)),
+        ("brackets", "(of OR from) AND (ther* OR reti*)", f"({_has(OF)} OR {_has(FROM)}) AND ({_has('ther.*')} OR {_has('reti.*')})"),
+        ("order", "from OR of AND ther* NOT with", f"{_has(FROM)} OR ({_has(OF)} AND {_has('ther.*')} AND NOT {_has(WITH_)})")]:
+    _add(f"fts_text_{_name}", _text(_search_text), f"{WORDS} SELECT id FROM w WHERE {_sql}")
+_add("fts_text_near", _text("NEAR(with from, 3)"),
+     f"{WORDS}, p AS (SELECT id, unnest(ws) AS x, unnest(range(len(ws))) AS i FROM w)"
+     " SELECT DISTINCT a.id FROM p a JOIN p b ON a.id = b.id AND abs(a.i - b.i) <= 4 WHERE a.x = 'with' AND b.x = 'from'")
+
+
+def _ranked_phrase(spark, sf_dir):
+    docs = _corpus(spark, sf_dir)
+    n, mean = S.corpus_size(docs)
+    return S.bm25(S.build_index(docs), [S.phrase("of the")], n, mean).select("id", F.round("rank", 6).alias("rank"))
+
+
+_add("fts_rank_phrase", _ranked_phrase,
+     f"{WORDS}, c AS (SELECT id, len(ws) AS n, CAST(len(list_filter(range(1, len(ws)), lambda i: {_at('i', OF)} AND {_at('i + 1', THE)}))"
+     " AS DOUBLE) AS f FROM w), t AS (SELECT COUNT(*) AS docs, AVG(n) AS mean, COUNT(*) FILTER (WHERE f > 0) AS held FROM c)"
+     f" SELECT id, ROUND(-(greatest(ln((docs - held + 0.5) / (held + 0.5)), 1e-6) * {_F}), 6) AS rank FROM c, t WHERE f > 0")
+
+
+def _shown(spec, how):
+    def run(spark, sf_dir):
+        docs = _corpus(spark, sf_dir)
+        return how(S.combine(docs, S.search(S.build_index(docs), spec)), spec)
+    return run
+
+
+_PIECES = (f"{WORDS}, o AS (SELECT *, regexp_extract_all(raw, '[\\p{{L}}\\p{{N}}]+') AS rw,"
+           " regexp_split_to_array(raw, '[\\p{L}\\p{N}]+') AS g FROM w)").replace("\\\\", "\\")
+
+
+def _between(first: str, last: str, hit: str) -> str:
+    return (f"list_aggregate(list_transform(range({first}, {last} + 1), lambda i: CASE WHEN i > {first} THEN g[i] ELSE '' END"
+            f" || CASE WHEN {hit} THEN '[' || rw[i] || ']' ELSE rw[i] END), 'string_agg', '')")
+
+
+_add("fts_highlight_stem",
+     _shown(S.phrase("rewhing"), lambda df, spec: X.highlight(df, spec, "[", "]").select("id", F.md5("marked").alias("marked"))),
+     f"{_PIECES} SELECT id, md5(g[1] || {_between('1', 'len(rw)', _at('i', REWH))} || g[len(rw) + 1]) AS marked FROM o WHERE {_has(REWH)}")
+_PLACES = "list_filter(range(1, len(ws) + 1), lambda i: {})"
+_add("fts_snippet",
+     _shown(S.all_of(S.phrase("from"), S.phrase("ther", prefix=True)),
+            lambda df, spec: X.snippet(df, spec, "[", "]", 8).select("id", "snippet")),
+     f"{_PIECES}, h AS (SELECT *, {_PLACES.format(_at('i', FROM))} AS a, {_PLACES.format(_at('i', 'ther.*'))} AS b"
+     f" FROM o WHERE {_has(FROM)} AND {_has('ther.*')}),"
+     " c AS (SELECT *, unnest(list_concat(a, b)) AS s FROM h),"
+     " k AS (SELECT *, list_filter(a, lambda x: x >= s AND x < s + 8) AS ia, list_filter(b, lambda x: x >= s AND x < s + 8) AS ib FROM c),"
+     " v AS (SELECT *, greatest(s, coalesce(list_min(ia), 0), coalesce(list_min(ib), 0)) - s + 1 AS width,"
+     " CASE WHEN len(ia) > 0 AND len(ib) > 0 THEN 0 ELSE 1 END AS lacks FROM k),"
+     " f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY lacks, width, s) AS place FROM v),"
+     " p AS (SELECT *, greatest(1, least(s - (8 - width) // 2, len(ws) - 7)) AS lo FROM f WHERE place = 1),"
+     " q AS (SELECT *, least(lo + 7, len(ws)) AS hi FROM p)"
+     f" SELECT id, CASE WHEN lo > 1 THEN '…' ELSE g[1] END || {_between('lo', 'hi', _at('i', FROM) + ' OR ' + _at('i', 'ther.*'))}"
+     " || CASE WHEN hi < len(ws) THEN '…' ELSE g[len(ws) + 1] END AS snippet FROM q")
+
 HEADLINE = ["fts_prefix", "fts_phrase", "fts_or_filter", "fts_vocabulary"]
