@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.timeexpr import utc_date
 from logloom.schemas import DAY_MS
-from logloom.session import delete_path, folders, read_note, write_note
+from logloom.session import delete_path, folders, move, read_note, write_note
 
 # Days kept unless a valid setting says otherwise.
 DEFAULT_DAYS = {"logs": 30, "metrics": 90, "firings": 90}
@@ -70,13 +70,14 @@ def replace_day(spark: SparkSession, path: str, day: dt.date, change: Callable[[
         return 0
     rows = spark.read.option("basePath", path).parquet(*files)
     left = change(rows)
-    before, after = rows.count(), left.count()
-    if before == after and not always:
-        return 0
     aside = f"{path}/_aside-{uuid.uuid4().hex}"
     by = [c for c in ("dt", "batch") if c in left.columns]
-    if after:
-        left.withColumn("dt", F.lit(day)).write.partitionBy(*by).parquet(aside)
+    # made once; what was written says how many are left
+    left.withColumn("dt", F.lit(day)).write.partitionBy(*by).parquet(aside)
+    before, after = rows.count(), spark.read.schema(left.schema).parquet(aside).count()
+    if before == after and not always:
+        delete_path(spark, aside)
+        return 0
     write_note(spark, f"{path}/{SWAP}", {"old": files, "aside": aside})
     _finish(spark, path)
     return before - after
@@ -101,7 +102,11 @@ def _files(spark: SparkSession, path: str) -> list[str]:
 
 
 def _finish(spark: SparkSession, path: str) -> None:
-    """Carries out the noted exchange of files, if there is one; doing it again changes nothing."""
+    """Carries out the noted exchange of files, if there is one; doing it again changes nothing.
+
+    New files come before old ones go: who reads the table meanwhile may see rows of the day twice, never too few.
+    Nothing is deleted unless every new file has been seen in its place.
+    """
     note = read_note(spark, f"{path}/{SWAP}")
     if not note:
         return
@@ -110,7 +115,7 @@ def _finish(spark: SparkSession, path: str) -> None:
     for file in _files(spark, note["aside"]):
         target = jvm_path(f"{path}/{file.rpartition(note['aside'].rpartition('/')[2] + '/')[2]}")
         fs.mkdirs(target.getParent())
-        fs.rename(jvm_path(file), target)
+        move(fs, jvm_path(file), target)
     for file in note["old"]:
         fs.delete(jvm_path(file), False)
     delete_path(spark, note["aside"])

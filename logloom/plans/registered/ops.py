@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom.functions.timeexpr import newer_than
-from logloom.operators import retention, rules as R, search as S, sinks
+from logloom.operators import index_segments, retention, rules as R, search as S, sinks
 from logloom.operators.filters import LogFilter
 from logloom.schemas import DAY_MS, ERROR, HOUR_MS, LOGS
 from logloom.session import scratch_path
 from logloom.sources import testdata as td
 from logloom.sources.files import spread
 from logloom.sources.lines import parse_payloads
-from logloom.streaming import live, rule_loop
+from logloom.streaming import live, rule_loop, rule_timers
 
 AS_OF = td.AS_OF
 LOGS_SQL = f"WITH {td.SQL_LOGS}"
@@ -156,7 +156,7 @@ def _expired(spark, sf_dir):
     logs = td.logs(spark, sf_dir)
     stored = logs.repartitionByRange("dt", "service", "timestamp")
     stored.write.partitionBy("dt").parquet(path)
-    S.write_index(S.build_index(spread(logs, 8)), index)
+    S.write_index(S.build_index(spread(logs)), index)
     gone = retention.expire(spark, path, retention.retention_days("10", 30), NOW, index_path=index)
     return spark.read.parquet(path), spark.read.parquet(index), gone
 
@@ -201,7 +201,7 @@ def _interrupted(spark, sf_dir):
     path, index = scratch_path(spark, "logs"), scratch_path(spark, "index")
     logs = td.logs(spark, sf_dir)
     logs.write.partitionBy("dt").parquet(path)
-    S.write_index(S.build_index(spread(logs, 8)), index)
+    S.write_index(S.build_index(spread(logs)), index)
     first = retention.expire(spark, path, 10, NOW)
     second = retention.expire(spark, path, 10, NOW, index_path=index)
     return retention.index_check(spark.read.parquet(index), spark.read.parquet(path)).withColumns(
@@ -403,4 +403,57 @@ _add("stream_rule_firings", _rule_stream,
      " '}]') AS matched_rows, true AS notification_sent FROM h WHERE (k = 0 AND id IN (SELECT id FROM f0)) OR"
      " (k = 1 AND id IN (SELECT id FROM f1)) OR (k = 2 AND id IN (SELECT id FROM f2))".replace("{{", "{"))
 
+
+# Rules as keyed state: two per service, judged every twelve hours, quiet for four days after a firing.
+_CHECK, _QUIET, _LATE = 12 * HOUR_MS, 4 * DAY_MS, HOUR_MS
+
+
+def _timed_rules(spark, sf_dir):
+    rule_timers.use_rocksdb(spark)
+    src, out, checkpoint = (scratch_path(spark, x) for x in ("timed", "fired", "checkpoint"))
+    logs = td.logs(spark, sf_dir).select("id", "timestamp", "level", "service")
+    rules = logs.select("service").distinct().select(
+        "service", F.explode(F.array(F.lit(3), F.lit(4))).alias("min_level")).select(
+        (F.substring("service", 5, 1).cast("long") * 10 + F.col("min_level")).alias("id"), "service", "min_level",
+        F.lit(_CHECK).alias("check_interval_ms"), F.lit(_QUIET).alias("cooldown_ms"), (F.col("min_level") - 3).alias("threshold"),
+        F.lit(True).alias("enabled"))
+    for i in range(3):
+        part = logs.filter(F.col("timestamp").between(_START + i * _SPAN, _START + (i + 1) * _SPAN - 1))
+        part.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(logs.schema).parquet(src)
+        live.run(rule_timers.firings(stream, rules, f"{_LATE} milliseconds"), checkpoint, live.append_batches(out)).awaitTermination()
+    return spark.read.parquet(out).select("alert_id", "fired_at", "lines")
+
+
+_add("stream_rule_timers", _timed_rules,
+     f"WITH RECURSIVE {td.SQL_LOGS}, r AS (SELECT DISTINCT service, min_level, CAST(substr(service, 5, 1) AS BIGINT) * 10 + min_level AS id"
+     f" FROM logs, (VALUES (3), (4)) v(min_level)), s AS (SELECT r.id, min_level - 3 AS threshold, (timestamp // {_CHECK} + 1) * {_CHECK} AS due,"
+     " COUNT(*) AS lines FROM logs JOIN r ON logs.service = r.service AND level >= min_level GROUP BY ALL),"
+     f" h AS (SELECT id, due, lines FROM s WHERE lines > threshold AND due <= (SELECT MAX(timestamp) - {_LATE} FROM logs)),"
+     " f AS (SELECT id, MIN(due) AS due FROM h GROUP BY id UNION ALL SELECT f.id, MIN(h.due) FROM f JOIN h ON h.id = f.id"
+     f" AND h.due >= f.due + {_QUIET} GROUP BY f.id)"
+     " SELECT CAST(id AS BIGINT) AS alert_id, due AS fired_at, lines FROM f JOIN h USING (id, due)")
+
+
+def _followed_index(spark, sf_dir):
+    """Lines stored in five batches, an index that follows them, and lines swept twice meanwhile."""
+    src, path, checkpoint = (scratch_path(spark, x) for x in ("lines", "segments", "checkpoint"))
+    lines = td.search_corpus(spark, sf_dir)
+    n = lines.count()
+    for i in range(5):
+        lines.filter(F.expr(f"id * 5 div {n}") == i).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(lines.schema).parquet(src)
+        live.run(stream, checkpoint, index_segments.follow(path, "lines")).awaitTermination()
+        if i == 2:
+            index_segments.remove(spark.read.parquet(src).filter("service = 'src4'"), path)
+    index_segments.remove(spark.read.parquet(src).filter("host = 'fr'"), path)
+    return S.search(index_segments.opened(spark, path), S.match_spec("of AND ther*"))
+
+
+_add("fts_streamed_index", _followed_index,
+     f"WITH {td.SQL_CORPUS}, w AS (SELECT id, service, host, regexp_extract_all(strip_accents(lower(raw)), '[\\p{{L}}\\p{{N}}]+') AS ws FROM corpus)"
+     .replace("\\\\", "\\") +
+     " SELECT id FROM w WHERE list_contains(ws, 'of') AND len(list_filter(ws, lambda x: x LIKE 'ther%')) > 0 AND coalesce(host, '') <> 'fr'"
+     " AND NOT (coalesce(service, '') = 'src4' AND id * 5 // (SELECT COUNT(*) FROM corpus) <= 2)")
+
 HEADLINE = ["alert_eval_step", "retention_keep", "stream_tail_filtered", "stream_window"]

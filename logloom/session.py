@@ -89,17 +89,34 @@ def read_note(spark: SparkSession, path: str) -> dict | None:
         stream.close()
 
 
+def move(fs, source, target) -> None:
+    """Renames a file to a name that is free. Some file systems say no by their answer only, so that is checked."""
+    if fs.exists(target):
+        raise FileExistsError(f"{target.toString()} is there already")
+    if not fs.rename(source, target) or not fs.exists(target) or fs.exists(source):
+        raise OSError(f"{source.toString()} was not renamed to {target.toString()}")
+
+
 def write_note(spark: SparkSession, path: str, note: dict) -> None:
-    """Replaces the note of a folder: written aside, renamed, and only then is the old one deleted."""
+    """Replaces the note of a folder: written aside, renamed, and only then is the old one deleted.
+
+    A note that was read names its number; if another writer has added one since, this raises and changes nothing.
+    """
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     root, fs = _folder(spark, path)
     before = read_note(spark, path)
+    if "_at" in note and note["_at"] != (before["_at"] if before else None):
+        raise FileExistsError(f"another writer has changed the note in {path}")
     number = before["_at"] + 1 if before else 0
     aside = jvm_path(root, f".{uuid.uuid4().hex}")
     stream = fs.create(aside, True)
     stream.write(bytearray(json.dumps({k: v for k, v in note.items() if k != "_at"}).encode()))
     stream.close()
-    fs.rename(aside, jvm_path(root, f"note-{number}"))
+    try:
+        move(fs, aside, jvm_path(root, f"note-{number}"))
+    except OSError:
+        fs.delete(aside, False)
+        raise
     if before:
         fs.delete(jvm_path(root, f"note-{number - 1}"), False)
 

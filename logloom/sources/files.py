@@ -28,12 +28,14 @@ def _dated(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("dt", T.DateType())])
 
 
-def spread(df: DataFrame, partitions: int) -> DataFrame:
-    """Deals rows out over a stated number of partitions, for few files whose rows are heavy to parse.
+def spread(df: DataFrame, each: int = 1 << 20, below: int = 1 << 30) -> DataFrame:
+    """Deals the rows of a small table, which lies in few files, out over partitions of about ``each`` bytes.
 
-    The number is the caller's and not the cluster's, so that ids, which follow partitions, are the same anywhere.
+    For rows that are heavy to parse. The number follows from the table's size and not from the cluster, so that ids,
+    which follow partitions, are the same anywhere. A table of ``below`` bytes or more has files enough.
     """
-    return df.repartition(partitions)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size >= below else df.repartition(max(1, -(-size // each)))
 
 
 def read_payload_files(spark: SparkSession, path: str, received_at: int | None = None, column: str = "payload") -> DataFrame:
