@@ -80,19 +80,19 @@ def _without(tokens: _Tokens):
 
 
 def _beside(tokens: _Tokens):
+    if tokens.next_is("("):  # brackets stand alone, or between operators
+        tokens.take("(")
+        inner = _any(tokens)
+        tokens.take(")")
+        return inner
     parts = [_one(tokens)]
-    while tokens.next_is("phrase", "word", "^", "("):
+    while tokens.next_is("phrase", "word", "^"):
         parts.append(_one(tokens))
     held = [p for p in parts if not (isinstance(p, S.Phrase) and not p.terms)] or parts[:1]
     return held[0] if len(held) == 1 else S.all_of(*held)
 
 
 def _one(tokens: _Tokens):
-    if tokens.next_is("("):
-        tokens.take("(")
-        inner = _any(tokens)
-        tokens.take(")")
-        return inner
     if tokens.next_is("^"):
         tokens.take("^")
         return _phrase(tokens, True)

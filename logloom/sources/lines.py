@@ -31,8 +31,8 @@ ACCESS_TIME = "dd/MMM/yyyy:HH:mm:ss Z"
 
 
 def _json_objects(text: Column, schema: str) -> Column:
-    """Strictly parsed JSON wrapped in an array, so trailing text makes it NULL or longer than one."""
-    return F.from_json(F.concat(F.lit("["), text, F.lit("]")), schema, STRICT_JSON)
+    """Strictly parsed JSON as the first of two in an array: only if nothing follows it is the array of size two."""
+    return F.from_json(F.concat(F.lit("["), text, F.lit(",null]")), schema, STRICT_JSON)
 
 
 def _last(record: Column, key: str) -> Column:
@@ -71,8 +71,8 @@ def split_payloads(df: DataFrame, service: str = "service", host: str = "host",
     """
     others = [c for c in df.columns if c not in (service, host, payload, received)]
     df = df.withColumn("_text", F.btrim(F.col(payload), F.lit(_SPACE)))
-    df = df.withColumn("_env", F.when(F.col("_text").startswith("["),
-                                      F.get(_json_objects(F.col("_text"), "array<array<map<string,variant>>>"), F.lit(0))))
+    df = df.withColumn("_two", F.when(F.col("_text").startswith("["), _json_objects(F.col("_text"), "array<array<map<string,variant>>>")))
+    df = df.withColumn("_env", F.when(F.size("_two") == 2, F.get("_two", F.lit(0))))
     keyed = F.forall("_env", lambda r: r.isNotNull() & (F.map_contains_key(r, "log") | F.map_contains_key(r, "date")))
     df = df.withColumn("_is_env", F.coalesce((F.size("_env") > 0) & keyed, F.lit(False)))
 
@@ -104,8 +104,8 @@ def split_payloads(df: DataFrame, service: str = "service", host: str = "host",
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Adds ``level, event_ms, message, parsed, raw, format`` to rows with a ``line``; nothing is defaulted yet."""
-    df = lines.withColumn("_obj", F.when(F.col("line").startswith("{"), _json_objects(F.col("line"), _LINE)))
-    df = df.withColumn("format", F.when(F.col("line").isNull(), "record").when(F.size("_obj") == 1, "json")
+    df = lines.withColumn("_obj", F.when(F.col("line").startswith("{") & F.col("line").endswith("}"), _json_objects(F.col("line"), _LINE)))
+    df = df.withColumn("format", F.when(F.col("line").isNull(), "record").when(F.size("_obj") == 2, "json")
                        .when(F.col("line").rlike(ACCESS_LINE), "access").otherwise("plain"))
     is_json, is_access = F.col("format") == "json", F.col("format") == "access"
 

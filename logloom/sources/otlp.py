@@ -67,23 +67,27 @@ def _tally_points(points: Column, name: Column, always_sum: bool) -> Column:
     return F.flatten(F.transform(F.filter(points, _recorded), two))
 
 
-def _whole(payload: str) -> Column:
-    """Whether a payload is one JSON object from its first character to its last."""
+def _read(df: DataFrame, payload: str) -> DataFrame:
+    """Adds ``_two``: the payload, and a null that only stands beside it if the payload is one JSON object and nothing more."""
     text = F.btrim(F.col(payload), F.lit(" \t\r\n"))
-    # as the only element of an array, nothing may follow it
-    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.coalesce(text.startswith("{") & alone.isNotNull() & F.try_variant_get(alone, "$[1]", "variant").isNull(), F.lit(False))
+    alone = F.concat(F.lit("["), text, F.lit(",null]"))
+    return df.withColumn("_two", F.when(text.startswith("{") & text.endswith("}"), F.from_json(alone, f"array<{PAYLOAD}>")))
+
+
+def _whole() -> Column:
+    return F.coalesce((F.size("_two") == 2) & F.get("_two", F.lit(0)).isNotNull(), F.lit(False))
 
 
 def rejected(df: DataFrame, payload: str = "payload") -> DataFrame:
     """The payload rows that can't be read; null ones too."""
-    return df.filter(~_whole(payload))
+    return _read(df, payload).filter(~_whole()).drop("_two")
 
 
 def otlp_json_to_metrics(df: DataFrame, payload: str = "payload", received: str = "received_at",
                          keep: tuple[str, ...] = ()) -> DataFrame:
     """Payload rows to samples (no ``id`` yet). A payload that ``rejected`` lists yields none."""
-    got = df.filter(_whole(payload)).withColumn("_p", F.from_json(payload, PAYLOAD))
+    # a payload of another form has a null or no array, of which nothing is left
+    got = _read(df, payload).withColumn("_p", F.when(F.size("_two") == 2, F.get("_two", F.lit(0))))
     res = got.select(F.col(received).cast("long").alias("_recv"), *keep,
                      F.explode("_p.resourceMetrics").alias("_r"))
     # a scope may state no metrics; flattening must not see it

@@ -1,5 +1,7 @@
 """Viewer, filters, paging, ordered functions and result limits."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,49 +11,69 @@ from logloom.operators.filters import LogFilter
 from logloom.plans import home, incident
 from logloom.session import stored_days
 
-T0 = 1_690_000_000_000
+T0 = 1_754_006_399_500
+
+
+def made(n=150, seed=5):
+    """Lines of three senders at uneven steps, several at one instant, ids dealt out of order."""
+    rng = random.Random(seed)
+    ids = rng.sample(range(1, 10 * n), n)
+    at, rows = T0, []
+    for i in ids:
+        at += rng.choice([0, 0, 170, 2400])
+        rows.append((i, at, at + 9, rng.randrange(6), rng.choice(["api", "db", "ui"]), rng.choice(["x1", "x2"]), rng.choice([None, f"said {i}"]), None,
+                     f"line of {i}"))
+    return rows
+
+
+ROWS = made()
+NEWEST = [i for _, i in sorted(((r[1], r[0]) for r in ROWS), reverse=True)]
 
 
 @pytest.fixture(scope="module")
 def logs(spark):
-    rows = [(i + 1, T0 + i * 1000, T0, 2 if i % 2 == 0 else 4, "billing" if i % 2 == 0 else "ledger", "rack-7",
-             None if i % 5 == 0 else f"m{i}", None, f"raw {i}") for i in range(120)]
-    return spark.createDataFrame(rows, "id long, timestamp long, ingested_at long, level int, service string, host string,"
+    return spark.createDataFrame(ROWS, "id long, timestamp long, ingested_at long, level int, service string, host string,"
                                        " message string, parsed string, raw string")
 
 
-def test_quick_filter_retargets(logs):
-    f = LogFilter().with_(service="billing").with_(service="ledger").with_(level="4").with_(level=4)
-    assert f.equal == (("service", "ledger"), ("level", 4))
-    assert f.apply(logs).count() == 60
-    with pytest.raises(ValueError):
-        LogFilter().with_(message="x")
-    with pytest.raises(ValueError):
-        LogFilter().with_(level="high")
+def ids(df):
+    return sorted(r.id for r in df.select("id").collect())
 
 
-def test_free_predicate_is_kept_beside_quick_filter(logs):
-    f = LogFilter().where((F.col("service") == "ledger") | (F.col("id") == 1)).with_(service="billing")
-    assert [r.id for r in f.apply(logs).collect()] == [1]
+def those(keep):
+    return sorted(r[0] for r in ROWS if keep(*r))
 
 
-def test_drill_in(logs):
-    got = filters.drill_in(logs, LogFilter().within(T0, T0 + 10_000), "service", "ledger").collect()
-    assert [r.id for r in got] == [2, 4, 6, 8, 10]
+def test_filters_narrow_as_stated(logs):
+    """A later value of a column replaces the earlier one; free predicates, windows and drill-ins are added."""
+    f = LogFilter().with_(service="api").with_(host="x1").with_(service="db").with_(level="5")
+    assert ids(f.apply(logs)) == those(lambda i, t, g, lv, s, h, *_: (lv, s, h) == (5, "db", "x1"))
+    free = LogFilter().where((F.col("level") > 3) | F.col("message").isNull()).with_(host="x2")
+    assert ids(free.apply(logs)) == those(lambda i, t, g, lv, s, h, m, *_: (lv > 3 or m is None) and h == "x2")
+    middle = ROWS[70][1]
+    inside = filters.drill_in(logs, LogFilter().within(T0 + 1, middle), "host", "x1")
+    assert ids(inside) == those(lambda i, t, g, lv, s, h, *_: T0 < t <= middle and h == "x1")
+    for wrong in ({"raw": "x"}, {"level": "loud"}):
+        with pytest.raises(ValueError):
+            LogFilter().with_(**wrong)
 
 
-def test_pages_cover_history_once(logs):
+@pytest.mark.parametrize("size", [1, 7, 50, 149, 150, 151])
+def test_pages_walk_history_once(logs, size):
     seen, before = [], None
-    while True:
-        page = paging.keyset_page(logs, before).collect()
-        if not page:
-            break
+    while len(seen) < 2 * size or size < 50:
+        page = paging.keyset_page(logs, before, size).collect()
         seen += [r.id for r in page]
+        if len(page) < size or len(seen) >= 3 * size and size < 50:
+            break
         before = (page[-1].timestamp, page[-1].id)
-    assert seen == list(range(120, 0, -1))
-    with pytest.raises(ValueError):
-        paging.keyset_page(logs, size=0)
-    assert len(paging.keyset_page(logs, size=10_001).collect()) == 120
+    assert seen == NEWEST[:len(seen)] and len(seen) >= min(2 * size, 150)
+
+
+def test_page_sizes(logs):
+    for wrong in (0, -3):
+        with pytest.raises(ValueError):
+            paging.keyset_page(logs, size=wrong)
 
 
 def test_newest_days_prune(spark, tmp_path):
@@ -73,9 +95,11 @@ def test_newest_days_prune(spark, tmp_path):
 
 
 def test_viewer_rows(logs):
+    """The newest lines, oldest first; a line without a message shows itself."""
     got = paging.viewer_rows(paging.keyset_page(logs)).collect()
-    assert [r.id for r in got] == list(range(71, 121)) and got[0].message == "m70" or got[0].message == "raw 70"
-    assert [r.id for r in paging.recent(logs, 7).collect()] == list(range(114, 121))
+    said = {r[0]: r[6] or r[8] for r in ROWS}
+    assert [r.id for r in got] == NEWEST[:50][::-1] and [r.message for r in got] == [said[i] for i in NEWEST[:50][::-1]]
+    assert ids(paging.recent(logs, 7)) == sorted(r[0] for r in ROWS)[-7:]
 
 
 def test_ties_break_by_id(spark):
@@ -84,10 +108,10 @@ def test_ties_break_by_id(spark):
 
 
 def test_bounded(logs):
-    rows, cut = shape.bounded(logs.select("id"), 100)
-    assert len(rows) == 100 and cut
-    assert shape.bounded(logs.select("id"), 120)[1] is False
-    assert [shape.api_rows(n) for n in (None, 0, -1, 50, 5000)] == [200, 200, 200, 50, 1000]
+    for limit, expected in ((1, True), (149, True), (150, False), (4000, False)):
+        rows, cut = shape.bounded(logs.select("id"), limit)
+        assert (len(rows), cut) == (min(limit, 150), expected)
+    assert [shape.api_rows(n) for n in (None, 0, -7, 1, 999, 1000, 1001)] == [200, 200, 200, 1, 999, 1000, 1000]
 
 
 def test_cut_at_rune(spark):
@@ -132,16 +156,19 @@ def test_top_per_key(spark):
     assert got.groupBy("key").count().filter("count <> 3").count() == 0
 
 
-def test_latest_and_silent(spark, logs):
+def test_latest_and_silent(logs):
     got = {r.service: r.id for r in signals.latest_rows(logs.select("service", "id", "raw")).collect()}
-    assert got == {"billing": 119, "ledger": 120}
-    assert [r.service for r in signals.silent(logs, logs.filter("level = 2")).collect()] == ["ledger"]
+    assert got == {s: max(r[0] for r in ROWS if r[4] == s) for s in ("api", "db", "ui")}
+    quiet = logs.filter("service <> 'db' or level is null")
+    assert [r.service for r in signals.silent(logs, quiet).collect()] == ["db"]
 
 
 def test_volume_and_bars(logs):
-    got = home.volume_bars(home.volume(logs, T0 + 120_000)).collect()
-    assert len(got) == 13 and got[0].total == 120 and sum(r.lines for r in got) == 120
-    assert {r.height_pct for r in got if r.lines == 0} == {0.0}
+    end = ROWS[-1][1] + 1
+    got = home.volume_bars(home.volume(logs, end)).collect()
+    inside = [r for r in ROWS if r[1] > end - 3_600_000]
+    assert got[0].total == len(inside) == sum(r.lines for r in got)
+    assert all((r.height_pct == 0.0) == (r.lines == 0) and 0 <= r.height_pct <= 100 for r in got)
 
 
 def test_window_rules():
@@ -153,11 +180,12 @@ def test_window_rules():
 
 
 def test_incident_view(spark, logs):
-    metrics = spark.createDataFrame([(1, T0 + 5000, "g", 1, 2.0, "a", "h", None)],
-                                    "id long, timestamp long, name string, type int, value double, service string,"
-                                    " host string, labels string")
-    window = (T0, T0 + 120_000)
-    got = incident.view(logs, metrics, [incident.MetricRow("avg", "g", per="1m")], LogFilter().with_(level=4), window)
-    assert [r.avg_value for r in got["metric_0"].collect()] == [2.0, None, None]
-    assert got["logs"].count() == 60
-    assert sum(r.errors for r in got["mini_chart"].collect()) == 60
+    minute, start = 60_000, ROWS[0][1] // 60_000 * 60_000
+    points = [(start + 61_000, 1.5), (start + 70_000, 4.5), (start + 119_999, 0.0)]
+    metrics = spark.createDataFrame([(k, t, "depth", 1, v, "db", "x1", None) for k, (t, v) in enumerate(points)],
+                                    "id long, timestamp long, name string, type int, value double, service string, host string, labels string")
+    got = incident.view(logs, metrics, [incident.MetricRow("avg", "depth", per="1m")], LogFilter().with_(service="ui"), (start, start + 3 * minute))
+    assert [r.avg_value for r in got["metric_0"].collect()] == [None, 2.0, None, None]
+    inside = [r for r in ROWS if start <= r[1] <= start + 3 * minute]
+    assert got["logs"].count() == sum(r[4] == "ui" for r in inside)
+    assert sum(r.errors for r in got["mini_chart"].collect()) == sum(r[3] >= 4 for r in inside)

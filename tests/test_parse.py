@@ -1,88 +1,132 @@
-"""Log lines, envelopes, times and levels."""
+"""Log lines, envelopes, times and levels: lines put together from parts, and what the rules make of the parts."""
 
 import json
+import random
+from itertools import product
 
-import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions import values as V
+from logloom.sources import lines as L
 from logloom.sources.lines import parse_lines, parse_payloads
 
-RECV = 1700000000000
-
-# One line per rule, and the borders between rules: level, event time (None: that of receipt), message.
-LINES = [
-    ('{"severity":"CRITICAL","date":"2023-11-14T22:00:00Z","message":"disk full"}', 5, 1699999200000, "disk full"),
-    ('{"lvl":"debug","ts":1699990000.25,"message":"cache miss"}', 1, 1699990000250, "cache miss"),
-    ('{"level":"Warning","timestamp":1699990000777,"msg":"slow"}', 3, 1699990000777, "slow"),
-    ('{"level":4,"msg":"numeric level"}', 4, None, "numeric level"),
-    ('{"level":50,"msg":"in tens"}', 4, None, "in tens"),
-    ('{"level":"chatty","msg":"unknown level"}', None, None, "unknown level"),
-    ('{"lvl":"FATAL","level":"?","@timestamp":"2023-11-14 22:00:00,25","msg":"","message":"second"}', 5, 1699999200250, "second"),
-    ('{"severity":3.9,"ts":"1699990000","date":1699990000,"msg":5}', 3, 1699990000000, None),
-    ('{"msg":"a","msg":"b"}', None, None, "b"),
-    ('2001:db8::7 - rosa [14/Nov/2023:22:00:01 +0100] "PUT /cart/9?x=1 HTTP/1.1" 201 64 "-" "probe/2"',
-     2, 1699995601000, "PUT /cart/9?x=1 201"),
-    ('172.16.3.4 - - [14/Nov/2023:22:00:01 +0000] "HEAD /old HTTP/1.0" 410 -', 3, 1699999201000, "HEAD /old 410"),
-    ('172.16.3.4 - - [14/Nov/2023:22:00:01 +0000] "DELETE /cart HTTP/1.1" 503 0', 4, 1699999201000, "DELETE /cart 503"),
-    ('172.16.3.4 - - [some day] "-" 304 0', 2, None, "-  304"),
-    ("2023-11-14T22:00:00Z FATAL cannot start", 5, 1699999200000, "2023-11-14T22:00:00Z FATAL cannot start"),
-    ("2023-11-14 22:00:00 debug 7 rows", 1, 1699999200000, "2023-11-14 22:00:00 debug 7 rows"),
-    ("2023-11-14T22:00:00.5+02:00 informal", None, 1699992000500, "2023-11-14T22:00:00.5+02:00 informal"),
-    ("just words", None, None, "just words"),
-    ("1700000000 Warning: no_error here", 3, None, "1700000000 Warning: no_error here"),
-    ('{"a":1} trailing', None, None, '{"a":1} trailing'),
-    ("{'level':'error'}", 4, None, "{'level':'error'}"),
-]
-
-
-def test_single_lines(spark):
-    df = spark.createDataFrame([(i, x[0]) for i, x in enumerate(LINES)], "n int, line string")
-    rows = parse_lines(df.withColumn("record", F.lit(None).cast("string"))).orderBy("n").collect()
-    for row, (line, level, ts, message) in zip(rows, LINES):
-        assert (row.level, row.event_ms, row.message, row.raw) == (level, ts, message, line), line
-
-
-def test_access_fields(spark):
-    df = spark.createDataFrame([(x[0],) for x in LINES[9:12]], "line string")
-    rows = parse_lines(df.withColumn("record", F.lit(None).cast("string"))).collect()
-    assert [json.loads(r.parsed) for r in rows] == [
-        {"ip": "2001:db8::7", "method": "PUT", "path": "/cart/9?x=1", "status": 201, "proto": "HTTP/1.1", "user": "rosa", "bytes": 64,
-         "user_agent": "probe/2"},
-        {"ip": "172.16.3.4", "method": "HEAD", "path": "/old", "status": 410, "proto": "HTTP/1.0"},
-        {"ip": "172.16.3.4", "method": "DELETE", "path": "/cart", "status": 503, "proto": "HTTP/1.1", "bytes": 0}]
+RECV = 1_754_000_000_000
+
+
+def parsed(spark, lines):
+    df = spark.createDataFrame(list(enumerate(lines)), "n int, line string").withColumn("record", F.lit(None).cast("string"))
+    return parse_lines(df).orderBy("n").collect()
+
+
+#: What a candidate key may hold, and what it then says; None where the next key is asked.
+LEVEL_VALUES = [(w, n) for w, n in V.LEVEL_WORDS.items()] + [(w.title(), n) for w, n in V.LEVEL_WORDS.items()] + [
+    (0, 0), (5, 5), (2.9, 2), (10, 0), (60, 5), (6, None), (70, None), (15, None), (-1, None), ("", None), ("loud", None), ("3", None),
+    (True, None), (None, None), ([1], None), ({"a": 1}, None)]
+TIME_VALUES = [(1754, 1_754_000), (99_999_999_999, 99_999_999_999_000), (1754000000123, 1754000000123), (1754000000123456, 1754000000123),
+               (1754000000123456789, 1754000000123), (12.5, 12_500), ("2025-08-01T00:00:00Z", 1754006400000),
+               ("2025-08-01T02:00:00.25+02:00", 1754006400250), ("2025-08-01 0:00:01", 1754006401000), ("2025-08-01T00:00:00,5", 1754006400500),
+               ("2025-08-01", None), ("1754000000", None), (0, None), (-7, None), ("soon", None), (False, None), (None, None)]
+MESSAGE_VALUES = [("text", "text"), (" ", " "), ("\u00e9\n", "\u00e9\n"), ("", None), (5, None), (None, None), (["x"], None)]
+
+
+def test_json_lines_ask_their_keys_in_order(spark):
+    """Random objects: each candidate key is missing or holds some value; the first value that says something counts."""
+    rng = random.Random(11)
+    lines, expected = [], []
+    for _ in range(400):
+        fields, want = [], []
+        for keys, options in ((L.LEVEL_KEYS, LEVEL_VALUES), (L.TIME_KEYS, TIME_VALUES), (L.MESSAGE_KEYS, MESSAGE_VALUES)):
+            own = {k: rng.choice(options) for k in keys if rng.random() < 0.5}
+            fields += [(k, v) for k, (v, _) in own.items()]
+            want.append(next((own[k][1] for k in keys if k in own and own[k][1] is not None), None))
+        rng.shuffle(fields)
+        lines.append(json.dumps(dict([*fields, ("other", rng.random())])))
+        expected.append(tuple(want))
+    for row, line, want in zip(parsed(spark, lines), lines, expected):
+        assert (row.format, row.level, row.event_ms, row.message, row.parsed, row.raw) == ("json", *want, line, line), line
+
+
+def test_what_is_no_json_line(spark):
+    body = '{"msg":"m"}'
+    for row in parsed(spark, [body + "x", body + body, body[:-1], "[" + body + "]", '{"msg":NaN}', "{msg:1}", body + ",", body + "]", body + ",null", body + ",null]"]):
+        assert row.format == "plain" and row.message == row.raw
+
+
+def test_access_lines_from_their_parts(spark):
+    """All combinations of a client, a user, a time, a request, a status, a size and a tail."""
+    times = {"01/Aug/2025:00:00:00 +0000": 1754006400000, "31/Jul/2025:19:30:00 -0430": 1754006400000, "never": None}
+    requests = {"GET / HTTP/3": ("GET", "/", "HTTP/3"), "PATCH /a/b?c=%20": ("PATCH", "/a/b?c=%20", None), "junk": ("junk", "", None), "": ("", "", None)}
+    parts = list(product(["fe80::1", "host.example"], ["-", "u1"], times, requests, [100, 399, 400, 499, 500, 999], ["-", "0", "77"],
+                         ["", ' "-" "agent x"', ' "http://r/" "-"']))
+    random.Random(3).shuffle(parts)
+    parts = parts[:500]
+    lines = [f'{ip} ident {user} [{at}] "{req}" {status} {size}{tail}' for ip, user, at, req, status, size, tail in parts]
+    for row, (ip, user, at, req, status, size, tail) in zip(parsed(spark, lines), parts):
+        method, path, proto = requests[req]
+        assert row.format == "access" and row.event_ms == times[at] and row.message == f"{method} {path} {status}"
+        assert row.level == (4 if status >= 500 else 3 if status >= 400 else 2)
+        want = {"ip": ip, "method": method, "path": path, "status": status, "proto": proto, "user": None if user == "-" else user,
+                "bytes": None if size == "-" else int(size), "user_agent": "agent x" if "agent" in tail else None,
+                "referer": "http://r/" if "http" in tail else None}
+        assert json.loads(row.parsed) == {k: v for k, v in want.items() if v is not None}
+
+
+def test_plain_lines(spark):
+    """A leading time in any form, then words; a level is a word of its own, in any case."""
+    times = {"": None, "2025-08-01T00:00:00Z ": 1754006400000, "2025-08-01 00:00:00.125 ": 1754006400125, "08/01/2025 ": None}
+    bodies = {"terror in_error": None, "an Error!": 4, "(WARN)": 3, "all quiet": None}
+    combos = list(product(times, bodies))
+    for row, (at, body) in zip(parsed(spark, [a + b for a, b in combos]), combos):
+        assert (row.format, row.event_ms, row.level, row.message, row.parsed) == ("plain", times[at], bodies[body], at + body, None), row.raw
 
 
 def payloads(spark, *texts):
-    return spark.createDataFrame([("svc", "hst", t, RECV) for t in texts],
-                                 "service string, host string, payload string, received_at long")
-
-
-def test_lines_of_a_payload(spark):
-    got = parse_payloads(payloads(spark, '\r\n{"lvl":"debug","msg":"start"}\r\n \t\n\nERROR stop\r\n')).collect()
-    assert [(r.message, r.level, r.timestamp, r.service, r.host) for r in got] == [
-        ("start", 1, RECV, "svc", "hst"), ("ERROR stop", 4, RECV, "svc", "hst")]
-    assert parse_payloads(payloads(spark, "\n\n \t", "")).count() == 0
-
-
-def test_envelope(spark):
-    text = json.dumps([
-        {"date": 1699990000.75, "log": '{"lvl":"fatal","msg":"gone"}\n', "container_name": "/mailer"},
-        {"date": 1699990003, "log": "only a WARN text"},
-        {"date": 1699990004, "unit": "cron", "a<b": True},
-        {"log": '{"ts":1699990009,"msg":"own time"}', "date": 5}])
-    got = parse_payloads(payloads(spark, text)).collect()
-    assert [(r.service, r.level, r.timestamp, r.message) for r in got] == [
-        ("mailer", 5, 1699990000750, "gone"), ("svc", 3, 1699990003000, "only a WARN text"),
-        ("svc", 2, 1699990004000, None), ("svc", 2, 1699990009000, "own time")]
-    assert got[2].raw == got[2].parsed and json.loads(got[2].raw) == {"date": 1699990004, "unit": "cron", "a<b": True}
-    assert "\\u003c" in got[2].raw
-
-
-@pytest.mark.parametrize("text", ["[true, \"x\"]", '[{"log":"a"},null]', '[{"msg":"no key"}]', "[]", '[{"log":"a"}] x'])
-def test_not_an_envelope(spark, text):
-    got = parse_payloads(payloads(spark, text)).collect()
-    assert [(r.raw, r.message) for r in got] == [(text, text)]
+    return spark.createDataFrame([("svc", "hst", t, RECV) for t in texts], "service string, host string, payload string, received_at long")
+
+
+def test_payloads_are_their_lines(spark):
+    """Whatever ends and surrounds lines, each that is not blank is a row, with the fall-backs of the payload."""
+    rng = random.Random(7)
+    for _ in range(5):
+        kept = [f"w{rng.randrange(99)}" for _ in range(rng.randrange(4))]
+        blank = [rng.choice(["", "  ", "\t", "\u00a0", "\u2003 "]) for _ in range(4)]
+        mixed = kept + blank
+        rng.shuffle(mixed)
+        text = "".join(rng.choice(["", " ", "\t"]) + x + rng.choice(["\n", "\r\n", " \n"]) for x in mixed)
+        got = parse_payloads(payloads(spark, text)).collect()
+        assert sorted((r.message, r.level, r.timestamp, r.service, r.host) for r in got) == sorted((k, 2, RECV, "svc", "hst") for k in kept)
+
+
+def test_envelopes_from_their_parts(spark):
+    """Records with and without a line, a time of their own, a time of the envelope and a container."""
+    records, expected = [], []
+    for line_time, envelope_time, container, has_line in product([None, 1753990000], [None, 1753980000.5], [None, "/box", "box"], [True, False]):
+        if not has_line and not envelope_time:
+            continue  # not a record of an envelope
+        record, k = {}, len(records)
+        if has_line:
+            record["log"] = json.dumps({"msg": f"r{k}", **({"ts": line_time} if line_time else {})}) + "\n"
+        else:
+            record["k"] = f"<{k}>"
+        if envelope_time:
+            record["date"] = envelope_time
+        if container:
+            record["container_name"] = container
+        at = line_time * 1000 if has_line and line_time else int(envelope_time * 1000) if envelope_time else RECV
+        records.append(record)
+        expected.append((f"r{k}" if has_line else None, at, "box" if container else "svc"))
+    got = parse_payloads(payloads(spark, json.dumps(records))).collect()
+    assert sorted(((r.message, r.timestamp, r.service) for r in got), key=repr) == sorted(expected, key=repr)
+    for r in got:
+        if r.message is None:
+            assert r.raw == r.parsed and json.loads(r.raw) in records and "\\u003c" in r.raw
+
+
+def test_what_is_no_envelope(spark):
+    record = '{"log":"x"}'
+    texts = ["[7]", "[null]", f"[{record},{{}}", f"[{record}]]", "[]", f"[{record},\"y\"]"]
+    for text in texts:
+        assert [r.raw for r in parse_payloads(payloads(spark, text)).collect()] == [text], text
 
 
 def test_clamp(spark):

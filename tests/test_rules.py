@@ -1,11 +1,13 @@
 """Alert rules over time."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators import rules as R
+from logloom.streaming import live, rule_timers
 
 HOUR = 3_600_000
 NOW = 1_755_000_000_000
@@ -117,3 +119,45 @@ def test_loop_retries_a_failed_delivery(spark, tmp_path, rules):
     fired = sorted((r.fired_at, r.notification_sent) for r in rule_loop.firings(spark, path).collect())
     assert fired == [(NOW, False), (NOW + 60_000, True)]
     assert sent[0] == (1, f"1 matching row(s)\nline={NOW}")
+
+
+def judged(lines, rules, end):
+    """Firings of rules over all lines: spans in order, each against the one that fired last."""
+    out = set()
+    for r in rules:
+        spans, last = {}, None
+        for t, service, level in lines:
+            if service == r["service"] and level >= r["min_level"]:
+                due = (t // r["check_interval_ms"] + 1) * r["check_interval_ms"]
+                spans[due] = spans.get(due, 0) + 1
+        for due, n in sorted(spans.items()):
+            if due <= end and n > r["threshold"] and (last is None or due - last >= r["cooldown_ms"]):
+                out.add((r["id"], due, n))
+                last = due
+    return out
+
+
+def test_rule_timers(spark, tmp_path):
+    """Lines in any order within the lateness and in several batches; a removed rule's state goes when its cooldown is over."""
+    rule_timers.use_rocksdb(spark)
+    minute, rng = 60_000, random.Random(12)
+    rules = [{"id": 1, "service": "a", "min_level": 3, "check_interval_ms": minute, "cooldown_ms": 5 * minute, "threshold": 1, "enabled": True},
+             {"id": 2, "service": "a", "min_level": 0, "check_interval_ms": 2 * minute, "cooldown_ms": 0, "threshold": 4, "enabled": True},
+             {"id": 3, "service": "b", "min_level": 0, "check_interval_ms": minute, "cooldown_ms": 9 * minute, "threshold": 0, "enabled": True},
+             {"id": 4, "service": "b", "min_level": 0, "check_interval_ms": minute, "cooldown_ms": 0, "threshold": 0, "enabled": False}]
+    lines = sorted((rng.randrange(40 * minute), rng.choice("aab"), rng.randrange(6)) for _ in range(300))
+    lines = [x for x in lines if x[1] == "a" or x[0] < 10 * minute]  # nothing of the other service after a quarter
+    src, out, checkpoint = (str(tmp_path / x) for x in ("src", "out", "checkpoint"))
+    table = spark.createDataFrame(rules)
+    for k in range(4):
+        part = [x for x in lines if k * 10 * minute <= x[0] < (k + 1) * 10 * minute]
+        rng.shuffle(part)
+        rows = [(t, s, n) for t, s, n in part] + [(None, "a", 5), ((k + 1) * 10 * minute - 1, None, 5)]
+        spark.createDataFrame(rows, "timestamp long, service string, level int").write.mode("append").parquet(src)
+        stream = spark.readStream.schema("timestamp long, service string, level int").parquet(src)
+        live.run(rule_timers.firings(stream, table, f"{minute} milliseconds"), checkpoint, live.append_batches(out)).awaitTermination()
+    newest = max(t for t, s, n in lines)
+    got = {(r.alert_id, r.fired_at, r.lines) for r in spark.read.parquet(out).collect()}
+    assert got == judged(lines, [r for r in rules if r["enabled"]], newest - minute) and {1, 2, 3} == {g[0] for g in got}
+    state = spark.read.format("statestore").option("stateVarName", "fired").load(checkpoint)
+    assert {r.key.id for r in state.collect()} <= {1, 2}

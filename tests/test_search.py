@@ -1,5 +1,6 @@
 """Search against SQLite's own full-text index, which the reference semantics come from."""
 
+import random
 import sqlite3
 
 import duckdb
@@ -7,6 +8,7 @@ import pytest
 import regex
 
 from logloom.functions import words as W
+from logloom.operators import excerpts, index_segments, search_text
 from logloom.operators import search as S
 from logloom.sources import testdata as td
 from pyspark.sql import functions as F
@@ -86,20 +88,99 @@ def test_rank(spark, index, fts):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
-def test_combine(spark):
-    rows = [(k, f"shard {k} rebalanced in {k} ms", "store") for k in range(12)]
-    rows += [(50 + k, f"DiskQuotaExceeded on volume {k}", "disk") for k in range(4)]
-    rows.append((90, "two retries scheduled", "queue"))
-    logs = spark.createDataFrame(rows, "id long, raw string, service string")
-    idx = S.build_index(logs)
-    hits = S.search(idx, S.match_spec("diskquotaexceeded"))
-    assert S.combine(logs, hits).count() == 4
-    assert S.combine(logs, hits, F.col("service") == "store", "or").count() == 16
-    assert S.combine(logs, hits, F.col("service") == "store").count() == 0
-    assert S.combine(logs, hits.union(hits), F.col("service") == "disk", "or").count() == 4
-    assert [r.id for r in S.search(idx, S.phrase("schedule")).collect()] == [90]
+def test_combine(spark, index, fts):
+    """A search with a filter on the row, as SQLite's hits and the rows themselves give it."""
+    docs = td.search_corpus(spark, SF)
+    host = {r.id: r.host for r in docs.select("id", "host").collect()}
+    hits = {r[0] for r in fts.execute("SELECT rowid FROM t WHERE t MATCH 'reti* NOT from'")}
+    found = S.search(index, S.match_spec("reti* NOT from"))
+    chosen = {i for i, h in host.items() if h == "de"}
+    for ids, op, want in ((found, "and", hits & chosen), (found, "or", hits | chosen), (found.union(found), "or", hits | chosen)):
+        got = [r.id for r in S.combine(docs, ids, F.col("host") == "de", op).select("id").collect()]
+        assert sorted(got) == sorted(want)
+    assert {r.id for r in S.combine(docs, found).collect()} == hits
+
+
+TEXTS = ["of the", "the AND with", "the of NOT from", "the NOT from NOT with", "the OR les of", '"of the"', "of + the", '"of th"*', "err* the",
+         "NEAR(the with)", 'NEAR("of the" with, 3)', "NEAR(the)", "NEAR the", "^the", "^ the *", "(the OR les) AND of", '"" the', 'the AND ""',
+         'NEAR(the "" with)', '"say ""the""" OR of', "the OR of AND with", "reti* OR NEAR(of th* from, 4)", '"--" OR les', "(((the of)))", "THE and or"]
+WRONG = ["the AND", "AND the", "(the", "the)", '"the', "the ** of", "NEAR(the, x)", "NEAR(the with", "the, of", "a-b AND c", "^", "()", "the NOT", "+ the", "((the) of)", "the (of)"]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_texts_with_operators(spark, index, fts, text):
+    """Hits, marks and the same text in SQLite."""
+    want = dict(fts.execute("SELECT rowid, highlight(t, 0, '[', ']') FROM t WHERE t MATCH ?", (text,)))
+    spec = search_text.read(text)
+    found = S.search(index, spec)
+    assert {r.id for r in found.collect()} == want.keys()
+    shown = excerpts.highlight(td.search_corpus(spark, SF).join(found, "id", "left_semi"), spec, "[", "]")
+    assert {r.id: r.marked for r in shown.collect()} == want
+
+
+@pytest.mark.parametrize("text", WRONG)
+def test_texts_that_cannot_be_read(fts, text):
     with pytest.raises(ValueError):
-        S.match_spec("a OR b")
+        search_text.read(text)
+    with pytest.raises(sqlite3.OperationalError):
+        fts.execute("SELECT rowid FROM t WHERE t MATCH ?", (text,)).fetchall()
+
+
+@pytest.mark.parametrize("text,specs", [('"of the"', ["of the"]), ('"of the" AND from', ["of the", "from"]), ("the reti", ["the", "reti"])])
+def test_rank_of_phrases(spark, index, fts, text, specs):
+    want = dict(fts.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ?", (text,)))
+    n, mean = S.corpus_size(td.search_corpus(spark, SF))
+    got = {r.id: r.rank for r in S.bm25(index, [S.phrase(x) for x in specs], n, mean).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def plain_snippet(text, groups, size):
+    """The run of words that shows most, by trying every run that begins with an occurrence."""
+    spans = list(regex.finditer(W.WORD, text))
+    hits = [[k for k, m in enumerate(spans) if W.term(m[0]) in g] for g in groups]
+    best = min(((-sum(any(s <= x < s + size for x in h) for h in hits),
+                 max([s, *[min(x for x in h if s <= x < s + size) for h in hits if any(s <= x < s + size for x in h)]]) - s + 1, s)
+                for h in hits for s in h), default=(0, 0, 0))
+    first = max(0, min(best[2] - (size - best[1]) // 2 if best[1] else 0, len(spans) - size))
+    last = min(first + size, len(spans)) - 1
+    out, at = ("…" if first else text[:spans[0].start()] if spans else text), None
+    for k in range(first, last + 1):
+        word = spans[k][0]
+        out += (text[at:spans[k].start()] if at is not None else "") + (f"[{word}]" if any(k in h for h in hits) else word)
+        at = spans[k].end()
+    return out + ("…" if last < len(spans) - 1 else text[at:] if spans else "")
+
+
+def test_snippets(spark, corpus):
+    rows = [*corpus[:60], (900, ""), (901, "!!"), (902, "the"), (903, "  of, the - end. ")]
+    lines = spark.createDataFrame(rows, "id long, raw string")
+    spec = S.any_of(S.phrase("the"), S.phrase("with"), S.phrase("from"))
+    got = {r.id: r.snippet for r in excerpts.snippet(lines, spec, "[", "]", 6).collect()}
+    assert got == {i: plain_snippet(t, [{"the"}, {"with"}, {"from"}], 6) for i, t in rows}
+    none = excerpts.snippet(spark.createDataFrame([(1, None)], "id long, raw string"), spec, "[", "]").collect()
+    assert none[0].snippet is None
+
+
+def test_index_follows_its_lines(spark, tmp_path):
+    """Many small batches, removals in between, a line that comes back: always the hits of a full build, from few segments."""
+    rng, path, held = random.Random(9), str(tmp_path / "index"), {}
+    spec = S.all_of(S.phrase("alpha"), S.phrase("bet", prefix=True))
+    for batch in range(18):
+        new = {batch * 10 + k: " ".join(rng.choice(["alpha", "beta", "betting", "gamma"]) for _ in range(3)) for k in range(10)}
+        if batch == 11:
+            new[5] = "alpha beta again"
+        index_segments.add(spark.createDataFrame(list(new.items()), "id long, raw string"), path, "run", batch)
+        held |= new
+        if batch in (3, 10, 12):
+            gone = rng.sample(sorted(held), 12) + ([5] if batch == 10 else [])
+            index_segments.remove(spark.createDataFrame([(i,) for i in gone], "id long"), path)
+            held = {i: t for i, t in held.items() if i not in gone}
+        if batch in (2, 12, 17):
+            index_segments.add(spark.createDataFrame([(7777, "alpha beta")], "id long, raw string"), path, "run", batch)  # comes again
+            got = [r.id for r in S.search(index_segments.opened(spark, path), spec).collect()]
+            assert sorted(got) == sorted(i for i, t in held.items() if "alpha" in t and "bet" in t)
+    assert index_segments.segments(spark, path) < index_segments.FAN
+    assert S.search(index_segments.opened(spark, str(tmp_path / "none")), spec).count() == 0
 
 
 def test_empty_and_null_lines(spark):

@@ -8,6 +8,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from logloom import session
 from logloom.functions.timeexpr import event_date
 from logloom.operators import retention, search as S, sinks
 from logloom.operators.filters import LogFilter
@@ -259,3 +260,57 @@ def test_event_date(spark):
     df = spark.createDataFrame([(0,), (-1,), (DAY - 1,), (DAY,)], "t long")
     assert [r[0] for r in df.coalesce(1).select(event_date("t")).collect()] == [
         dt.date(1970, 1, 1), dt.date(1969, 12, 31), dt.date(1970, 1, 1), dt.date(1970, 1, 2)]
+
+
+def test_a_refused_rename_deletes_nothing(spark, tmp_path, monkeypatch):
+    """A file system that says no, or a name that is taken: the day's old rows stay, and the next call ends the exchange."""
+    path = str(tmp_path / "t")
+    rows = spark.range(20).select("id", F.lit("2025-08-01").cast("date").alias("dt"))
+    rows.write.partitionBy("dt").parquet(path)
+    day = dt.date(2025, 8, 1)
+
+    def half(df):
+        return df.filter("id >= 10")
+
+    def refuse(fs, source, target):
+        raise OSError("no")
+
+    with monkeypatch.context() as m:
+        m.setattr(retention, "move", refuse)
+        with pytest.raises(OSError):
+            retention.replace_day(spark, path, day, half)
+    assert spark.read.parquet(path).count() == 20
+    retention._finish(spark, path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(10, 20))
+    # a name that is taken is not overwritten
+    source, target = tmp_path / "a", tmp_path / "b"
+    source.write_text("new")
+    target.write_text("old")
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = jvm_path(str(source)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    with pytest.raises(FileExistsError):
+        session.move(fs, jvm_path(str(source)), jvm_path(str(target)))
+    assert source.read_text() == "new" and target.read_text() == "old"
+
+    class SaysNo:
+        """As object stores do: the answer is all that tells."""
+        exists = staticmethod(lambda path: path is source)
+        rename = staticmethod(lambda a, b: False)
+
+    class Name:
+        toString = staticmethod(str)
+
+    source, target = Name(), Name()
+    with pytest.raises(OSError, match="was not renamed"):
+        session.move(SaysNo, source, target)
+
+
+def test_two_writers_of_a_note(spark, tmp_path):
+    """Who read the note before another wrote it gets an error, so no two get the same ids."""
+    path = str(tmp_path / "table")
+    assert sinks.allocate(spark, path, 10) == 0
+    seen = session.read_note(spark, f"{path}/{sinks.LEDGER}")
+    assert sinks.allocate(spark, path, 5) == 10
+    with pytest.raises(FileExistsError):
+        session.write_note(spark, f"{path}/{sinks.LEDGER}", seen | {"next": 99})
+    assert sinks.allocate(spark, path, 1) == 15
