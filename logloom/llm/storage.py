@@ -30,7 +30,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     small_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     keep(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
