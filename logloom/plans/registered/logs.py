@@ -322,6 +322,19 @@ _add("window_lag",
                                        "timestamp").select("service", "id", "previous", "delta")),
      f"{LOGS} SELECT service, id, LAG(timestamp) OVER w AS previous, timestamp - LAG(timestamp) OVER w AS delta"
      " FROM logs WINDOW w AS (PARTITION BY service ORDER BY timestamp, id)")
+_FRAME = "(PARTITION BY service ORDER BY timestamp RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW)"
+_add("window_sliding",
+     _logs(lambda t: windows.sliding(t.select("service", "timestamp", "id", "level"), ["service"], "timestamp", 6 * HOUR_MS, "level")
+           .select("service", "id", F.col("frame_rows").alias("lines"), F.col("frame_sum").alias("levels"),
+                   F.col("frame_min").alias("lowest"), F.col("frame_max").alias("highest"))),
+     f"{LOGS} SELECT service, id, COUNT(*) OVER w AS lines, CAST(SUM(level) OVER w AS BIGINT) AS levels, MIN(level) OVER w AS lowest,"
+     f" MAX(level) OVER w AS highest FROM logs WINDOW w AS {_FRAME}")
+_add("window_last_rows",
+     _logs(lambda t: windows.sliding_rows(t.select("service", "timestamp", "id", "level"), ["service"], ["timestamp", "id"], 50, "level")
+           .select("service", "id", F.col("frame_rows").alias("lines"), F.col("frame_sum").alias("levels"),
+                   F.col("frame_max").alias("highest"))),
+     f"{LOGS} SELECT service, id, COUNT(*) OVER w AS lines, CAST(SUM(level) OVER w AS BIGINT) AS levels, MAX(level) OVER w AS highest"
+     " FROM logs WINDOW w AS (PARTITION BY service ORDER BY timestamp, id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)")
 _add("window_top_per_service",
      _logs(lambda t: windows.top_per_key(t.filter(F.col("level") >= ERROR).select("service", "id", "timestamp"),
                                          ["service"], [F.desc("timestamp"), F.desc("id")], 5)),

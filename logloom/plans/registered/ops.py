@@ -12,7 +12,7 @@ from logloom.session import scratch_path
 from logloom.sources import testdata as td
 from logloom.sources.files import spread
 from logloom.sources.lines import parse_payloads
-from logloom.streaming import live, rule_loop, rule_timers
+from logloom.streaming import late_rows, live, rule_loop, rule_timers
 
 AS_OF = td.AS_OF
 LOGS_SQL = f"WITH {td.SQL_LOGS}"
@@ -331,6 +331,35 @@ _add("stream_window", _windowed,
      f" (SELECT MAX(timestamp) - {2 * HOUR_MS} FROM logs)")
 
 
+# Four batches, each with rows of the whole month: but for the first, nearly all rows are late.
+_LATE_KEYS = ["service", "level"]
+
+
+def _late_aggs():
+    return [F.count_distinct("host").alias("hosts"), F.max("id").alias("last")]
+
+
+def _late_path(spark, sf_dir):
+    src, path, checkpoint = (scratch_path(spark, x) for x in ("arrivals", "late_buckets", "checkpoint"))
+    logs = td.logs(spark, sf_dir).select("id", "timestamp", "level", "service", "host")
+    for i in range(4):
+        logs.filter(F.pmod(F.xxhash64("id"), F.lit(4)) == i).write.mode("append").parquet(src)
+        live.run(spark.readStream.schema(logs.schema).parquet(src), checkpoint,
+                 late_rows.follow(path, 6 * HOUR_MS, _LATE_KEYS, _late_aggs(), 2 * HOUR_MS)).awaitTermination()
+    return path
+
+
+def _late_window(spark, sf_dir):
+    path = _late_path(spark, sf_dir)
+    return late_rows.cells(spark, path, _LATE_KEYS).unionByName(
+        late_rows.open_cells(spark, path, 6 * HOUR_MS, _LATE_KEYS, _late_aggs(), 2 * HOUR_MS))
+
+
+_add("stream_window_late", _late_window,
+     f"{LOGS_SQL} SELECT timestamp // {6 * HOUR_MS} * {6 * HOUR_MS} AS bucket, service, level, COUNT(*) AS n_rows,"
+     " COUNT(DISTINCT host) AS hosts, MAX(id) AS last FROM logs GROUP BY 1, 2, 3")
+
+
 def _ring(spark, sf_dir):
     out = _run(spark, _log_stream(spark, sf_dir), live.ring, scratch_path(spark, "ring"))
     return live.latest(spark, out).orderBy("id")

@@ -12,6 +12,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Fixed value: the name of the folder in which Spark keeps the rows without a partition value.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
 def build_session(app: str = "logloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the jobs rely on; cluster sizing stays with the submitter."""
     b = (SparkSession.builder.appName(app)
@@ -71,8 +75,8 @@ def folders(spark: SparkSession, path: str, column: str) -> dict[str, str]:
 
 
 def stored_days(spark: SparkSession, path: str) -> list[dt.date]:
-    """The days of a table stored by ``dt``, newest first."""
-    return sorted((dt.date.fromisoformat(d) for d in folders(spark, path, "dt")), reverse=True)
+    """The days of a table stored by ``dt``, newest first; rows without a date belong to none."""
+    return sorted((dt.date.fromisoformat(d) for d in folders(spark, path, "dt") if d != NO_VALUE), reverse=True)
 
 
 def read_note(spark: SparkSession, path: str) -> dict | None:

@@ -60,7 +60,8 @@ def tail(stream: DataFrame, flt: LogFilter | None = None, spec=None, pred: Colum
 def tumbling(stream: DataFrame, width: str, keys: Sequence[str], aggs: Sequence[Column],
              lateness: str, received: str | None = None) -> DataFrame:
     """Event-time buckets of a stream. Times are clamped before the watermark, so one absurd
-    time can't push it ahead; rows later than ``lateness`` are left to the stored table."""
+    time can't push it ahead; rows later than ``lateness`` are left to the stored table
+    (``late_rows`` repairs buckets with them)."""
     ts = F.col("timestamp") if received is None else clamp_time(F.col("timestamp"), F.col(received))
     timed = stream.withColumn("_ts", F.timestamp_millis(ts)).withWatermark("_ts", lateness)
     out = timed.groupBy(F.window("_ts", width).alias("_w"), *keys).agg(*aggs)
@@ -79,7 +80,8 @@ def run_of(df: DataFrame) -> str:
     return df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
 
 
-def _replace_batch(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
+def replace_batch(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
+    """Writes a micro-batch over what it has written before, if it ran before; other batches stay."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partitions).parquet(path))
 
@@ -94,7 +96,7 @@ def _store(path: str, columns: Sequence[str], run: str | None) -> Callable[[Data
         own = run or run_of(df)
         with with_ids(df, path, own, batch_id) as rows:
             rows = rows.select(*columns, event_date("timestamp").alias("dt"), F.lit(batch_name(df, batch_id, own)).alias("batch"))
-            _replace_batch(rows, path, ["dt", "batch"])
+            replace_batch(rows, path, ["dt", "batch"])
     return each
 
 
@@ -110,7 +112,7 @@ def store_metrics(path: str, run: str | None = None) -> Callable[[DataFrame, int
 def append_batches(path: str, run: str | None = None) -> Callable[[DataFrame, int], None]:
     """Batch sink of any append stream, one partition per batch."""
     def each(df: DataFrame, batch_id: int) -> None:
-        _replace_batch(df.withColumn("batch", F.lit(batch_name(df, batch_id, run))), path, ["batch"])
+        replace_batch(df.withColumn("batch", F.lit(batch_name(df, batch_id, run))), path, ["batch"])
     return each
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.timeexpr import event_date
 from logloom.operators import rules as R
-from logloom.streaming.live import _publish, _replace_batch, batch_name, latest
+from logloom.streaming.live import _publish, batch_name, latest, replace_batch
 
 
 def state(spark: SparkSession, path: str, other_than: str | None = None) -> DataFrame:
@@ -44,7 +44,7 @@ def ticks(rules: DataFrame, matches: Callable[[DataFrame, int], DataFrame], path
             judged = outcomes.drop("notify_error").join(answers, "id", "left")
         after, fired = R.step(rules, before, judged, now)
         dated = fired.withColumn("dt", event_date("fired_at")).withColumn("batch", F.lit(name))
-        _replace_batch(dated, f"{path}/firings", ["dt", "batch"])
+        replace_batch(dated, f"{path}/firings", ["dt", "batch"])
         _publish(after, f"{path}/state", name)
         outcomes.unpersist()
     return each

@@ -149,6 +149,54 @@ def test_running_and_lag_under_skew(spark):
         by_key[r.key] = (n, total, r.v)
 
 
+@pytest.mark.parametrize("span", [1, 90, 5000])
+def test_sliding_under_skew(spark, span):
+    """Frames shorter than the gaps, of some rows, and of a whole key; null keys, orders and values; one hot instant."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = (hot_rows(spark).withColumn("key", F.when(F.col("key") != "k3", F.col("key")))
+              .withColumn("t", F.when(F.col("id") % 97 != 0, F.col("t") - 300)))
+        got = windows.sliding(df, ["key"], "t", span, "v").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(r.id for r in got) == list(range(3000))
+    by_key = {}
+    for r in got:
+        by_key.setdefault(r.key, []).append((r.t, r.v))
+    for r in got[::7]:
+        if r.t is None:
+            assert (r.frame_rows, r.frame_sum, r.frame_min, r.frame_max) == (None, None, None, None)
+            continue
+        frame = [v for t, v in by_key[r.key] if t is not None and r.t - span <= t <= r.t]
+        there = [v for v in frame if v is not None]
+        want = (len(frame), sum(there), min(there), max(there)) if there else (len(frame), None, None, None)
+        assert (r.frame_rows, r.frame_sum, r.frame_min, r.frame_max) == want, r
+
+
+def test_sliding_cuts_a_hot_bin(spark):
+    """One bin that holds nearly all rows lies in several chunks, and the last rows of each key are counted across them."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = windows.sliding_rows(hot_rows(spark), ["key"], ["t", "id"], 1500, "v").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for key in {r.key for r in got}:
+        rows = sorted((r for r in got if r.key == key), key=lambda r: r.row_number)
+        for i, r in enumerate(rows):
+            assert r.frame_rows == min(i + 1, 1500)
+            if i % 50 == 49:
+                there = [x.v for x in rows[max(0, i - 1499):i + 1] if x.v is not None]
+                assert (r.frame_sum, r.frame_min, r.frame_max) == (sum(there), min(there), max(there))
+
+
+def test_sliding_of_nothing(spark):
+    none = spark.createDataFrame([], "key string, t long, v long, extra string")
+    out = windows.sliding(none, ["key"], "t", 10, "v")
+    assert out.columns == ["key", "t", "v", "extra", "frame_rows", "frame_sum", "frame_min", "frame_max"] and out.count() == 0
+    with pytest.raises(ValueError):
+        windows.sliding(none, ["key"], "t", 0, "v")
+
+
 def test_top_per_key(spark):
     got = windows.top_per_key(hot_rows(spark), ["key"], [F.desc("t"), F.desc("id")], 3)
     plan = got._jdf.queryExecution().executedPlan().toString()
