@@ -21,7 +21,7 @@ from logloom.llm import storage
 from logloom.llm import text as X
 
 #: Text of one segment; a longer document is a segment of its own.
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 5 << 20
 
 #: Phrases (with the item they belong to) sent to the executors at once, which bounds every broadcast.
 PHRASES = 50_000
@@ -44,34 +44,39 @@ def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
 
 
+def _rows_of(segment: int, block: X.Block, ids: pa.Array) -> list[pa.RecordBatch]:
+    """The rows of one segment; the arrays they are made of are gone before the next one is begun."""
+    names = ["segment", "term", "count", "postings", "ids", "sizes"]
+    w = X.words(block, X.ALNUM)
+    order = np.argsort(w.hash, kind="stable")
+    ranked = w.hash[order]
+    new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(order) else order
+    steps = np.diff(order, prepend=0)
+    steps[new] = order[new]
+    first, bounds = order[new], np.append(new, len(order))
+    del order, ranked
+    own = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+    rows = [pa.RecordBatch.from_arrays(
+        [pa.array([segment], pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+         own, pa.array([np.diff(w.first)], pa.list_(pa.int32()))], names)]
+    if len(new):
+        rows.append(pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(new), segment), pa.int64()), _strings(X.ALNUM[block.data], w.start[first], w.end[first]),
+             pa.array(np.diff(bounds), pa.int64()), X.binary_rows(steps.astype(np.uint32), bounds),
+             pa.nulls(len(new), own.type), pa.nulls(len(new), pa.list_(pa.int32()))], names))
+    return rows
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The written index. Rows with a term: segment, term, count, postings (word positions in the segment, as steps).
 
     Each segment also has one row without a term: the ids of its documents and their numbers of words, in order.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["segment", "term", "count", "postings", "ids", "sizes"]
         segment = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids = batch.column(0)
             for block in X.blocks(batch.column(1), SEGMENT_BYTES):
-                w = X.words(block, X.ALNUM)
-                order = np.argsort(w.hash, kind="stable")
-                ranked = w.hash[order]
-                new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(order) else order
-                steps = np.diff(order, prepend=0)
-                steps[new] = order[new]
-                first = order[new]
-                own = pa.ListArray.from_arrays(pa.array([0, block.hi - block.lo], pa.int32()), ids.slice(block.lo, block.hi - block.lo))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([segment], pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
-                     own, pa.array([np.diff(w.first)], pa.list_(pa.int32()))], names)
-                if len(new):
-                    bounds = np.append(new, len(order))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(new), segment), pa.int64()), _strings(X.ALNUM[block.data], w.start[first], w.end[first]),
-                         pa.array(np.diff(bounds), pa.int64()), X.binary_rows(steps.astype(np.uint32), bounds),
-                         pa.nulls(len(new), own.type), pa.nulls(len(new), pa.list_(pa.int32()))], names)
+                yield from _rows_of(segment, block, batch.column(0).slice(block.lo, block.hi - block.lo))
                 segment += 1
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

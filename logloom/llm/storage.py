@@ -15,7 +15,7 @@ _noted: list[list[str]] = [[]]
 
 
 #: Bytes of the rows that go to a Python worker at a time, whatever the length of their texts.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "8m"
 
 
 def small_batches(spark: SparkSession) -> None:

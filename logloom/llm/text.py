@@ -6,6 +6,7 @@ whatever the batch holds; a document larger than a block is a block of its own.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,6 +43,17 @@ class Block:
     offsets: np.ndarray
 
 
+#: Returns free memory of the C library to the system; only some libraries have it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def hand_back() -> None:
+    """Gives free memory back to the system: Python workers live on, and so would what they held."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES, docs: int = 1 << 30) -> Iterator[Block]:
     """The texts of one Arrow column (null is empty), without copying them; at most ``docs`` in a block."""
     if column.null_count:
@@ -59,7 +71,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES, docs: int = 1 << 30) -> I
         hi = min(hi, lo + docs)
         yield Block(lo, hi, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
         lo = hi
-    pa.default_memory_pool().release_unused()  # workers live on, and so would what they held
+    hand_back()
 
 
 @dataclass
@@ -106,6 +118,7 @@ def words(block: Block, table: np.ndarray) -> Words:
     start = np.flatnonzero(after & (edge | ~before))
     end = np.flatnonzero(before & (edge | ~after))
     first = np.searchsorted(start, block.offsets)
+    del solid, edge, before, after
     return Words(start, end, _hash(data, start, end), first)
 
 
