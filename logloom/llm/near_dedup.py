@@ -25,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm import storage
@@ -49,6 +49,9 @@ ORDERS = (ROWS, 8 * ROWS)
 #: Rows of a bucket and shingles of a cluster in one part; every two parts are compared in a task of their own.
 PART_ROWS, PART_SHINGLES = 2048, 1 << 19
 
+#: Bits of the broadcast bitmap before a join with texts: 64 MB at most.
+FILTER_BITS = 1 << 29
+
 
 def shingle_sets(block: X.Block, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of every document of a block; a shorter text is one shingle."""
@@ -137,11 +140,36 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, body bigint, whole binary, n bigint, keys array<bigint>, bins binary")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of node ids whose sets are similar enough, judged on the whole texts.
+def texts_of(texts: DataFrame, wanted: DataFrame, most_bits: int = FILTER_BITS) -> DataFrame:
+    """node, node_body, text of the rows of ``texts`` (id, body, text) that ``wanted`` (node, node_body) names.
+
+    A broadcast bitmap of hashes first lets most other texts stay where they are, so that the join shuffles few texts
+    that no one wants. It has 16 bits a wanted row, ``most_bits`` at most; with more wanted rows than that has bits
+    it would let all pass and is left out. Which rows come out depends on the join alone.
+    """
+    wanted = storage.table(wanted, "wanted")
+    page = 8 * 4096  # bits of one row of a bitmap
+    n = wanted.count()
+    if 0 < n <= most_bits:
+        bits = page * (min(16 * n, most_bits) // page + 1)
+
+        def at(*names: str) -> Column:
+            return F.pmod(F.xxhash64(*names), F.lit(bits))
+
+        pages = wanted.select(at("node", "node_body").alias("at")).groupBy(F.expr(f"at div {page}").alias("page"))
+        pages = pages.agg(F.expr(f"bitmap_construct_agg(at % {page})").alias("bitmap"))
+        texts = (texts.withColumn("at", at("id", "body")).join(F.broadcast(pages), F.expr(f"at div {page} = page"))
+                 .filter(F.expr(f"(conv(hex(substring(bitmap, cast(at % {page} div 8 as int) + 1, 1)), 16, 10)"
+                                " & shiftleft(1, cast(at % 8 as int))) != 0")))
+    return (texts.join(wanted, (texts["id"] == wanted["node"]) & (texts["body"] == wanted["node_body"]))
+            .select("node", "node_body", "text"))
+
+
+def confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of node ids whose sets are similar enough, judged on the whole texts ``held`` of the nodes.
 
-    Texts meet their pairs by two joins; a node with very many pairs is split by the adaptive skew join. Rows
-    arrive sorted by ``a``, whose set is made once for all of its pairs in a task.
+    Texts meet their pairs by two joins; a node with very many pairs is split by the adaptive skew join, and its pairs
+    are read past its text, not held. Rows arrive sorted by ``a``, whose set is made once for all of its pairs in a task.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, np.zeros(0, np.uint64)
@@ -160,11 +188,8 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    mine = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    held = storage.table(texts.join(mine, (texts["id"] == mine["node"]) & (texts["body"] == mine["node_body"]))
-                         .select("node", "node_body", "text"), "texts")
     second = pairs.join(held.withColumnRenamed("text", "text_b").drop("node_body"), F.col("b") == F.col("node")).drop("node")
-    joined = held.withColumnRenamed("text", "text_a").join(second, F.col("node") == F.col("a"))
+    joined = second.join(held.withColumnRenamed("text", "text_a"), F.col("node") == F.col("a"))
     return joined.select("a", "b", "text_a", "text_b", "node_body").mapInArrow(run, f"a {kind}, b {kind}")
 
 
@@ -372,8 +397,7 @@ def _remaining(ranked: DataFrame, sides: DataFrame, chosen: DataFrame, texts: Da
     own = chosen.select("node", "node_body", "n").distinct().join(clusters, "node")
     own = storage.table(own, "clusters")
     parts = own.groupBy("cluster").agg(F.ceil(F.sum("n") / PART_SHINGLES).alias("parts"))
-    whole = (texts.join(own.select("node", "node_body"), (texts["id"] == F.col("node")) & (texts["body"] == F.col("node_body")))
-             .groupBy("node", "node_body").agg(F.first("text").alias("text")))
+    whole = texts_of(texts, own.select("node", "node_body")).groupBy("node", "node_body").agg(F.first("text").alias("text"))
     return _bridges(own.join(parts, "cluster").join(storage.table(whole, "texts"), ["node", "node_body"]), percent)
 
 
@@ -414,7 +438,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = F.max(F.struct("equal", "a", "b")).alias("best")
     first = (pairs.select("equal", "a", "b", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(best)
              .select("best.a", "best.b").distinct())
-    links = storage.table(confirmed(first, nodes, texts, percent).union(own), "links")
+    # every node of a pair has a best pair, so these texts serve the other pairs too
+    ends = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = storage.table(texts_of(texts, nodes.join(ends, "node", "left_semi")), "texts")
+    links = storage.table(confirmed(first, held, percent).union(own), "links")
     labels = components(links)
 
     def sided(pairs: DataFrame) -> DataFrame:
@@ -426,7 +453,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     apart = sided(pairs).filter("side_a != side_b").select("a", "b")
     rest = storage.table(apart.join(first, ["a", "b"], "left_anti"), "pairs")
-    bridges = sided(storage.table(confirmed(rest, nodes, texts, percent), "links"))
+    bridges = sided(storage.table(confirmed(rest, held, percent), "links"))
     joined = components(bridges.select(F.col("side_a").alias("a"), F.col("side_b").alias("b")))
     joined = joined.withColumnsRenamed({"node": "side", "label": "whole_side"})
     sides = nodes.select("node").distinct().join(labels, "node", "left").withColumn("side", F.coalesce("label", "node"))

@@ -560,3 +560,14 @@ def test_densification():
         a, b = pool[:90], pool[10:]
         hits.append((near_dedup.sketch(a) == near_dedup.sketch(b)).mean())
     assert abs(np.mean(hits) - 0.8) < 0.02
+
+
+def test_texts_of_wanted_rows_do_not_depend_on_the_bitmap(spark):
+    from logloom.llm.near_dedup import texts_of
+    rows = [(k, 7 * k, f"text {k}") for k in range(400)] + [(3, 21, "text 3"), (None, 5, "no id"), (4, 99, "another body")]
+    texts = spark.createDataFrame(rows, "id bigint, body bigint, text string")
+    for wanted in ([], [(3, 21)], [(k, 7 * k) for k in range(0, 400, 3)]):
+        asked = spark.createDataFrame(wanted, "node bigint, node_body bigint")
+        expected = sorted(r for r in rows if r[:2] in wanted)
+        for bits in (0, 200, 1 << 29):  # left out, nearly full, sparse
+            assert sorted(map(tuple, texts_of(texts, asked, bits).collect())) == expected
