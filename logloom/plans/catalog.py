@@ -28,9 +28,13 @@ def _first(rows: DataFrame, limit: int | None) -> DataFrame:
 def metrics_catalog(metrics: DataFrame, limit: int | None = None) -> DataFrame:
     """Metrics per service, newest first, with the verb each would open with."""
     rows = (metrics.groupBy("name", "service")
-            .agg(F.min("type").alias("t"), F.count("*").alias("points"), F.max("timestamp").alias("last_seen"))
-            .orderBy(F.desc("last_seen"), "name", "service"))
-    rows = _first(rows, limit)
+            .agg(F.min("type").alias("t"), F.count("*").alias("points"), F.max("timestamp").alias("last_seen")))
+    return opened(rows, limit)
+
+
+def opened(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rows of (name, service, t, points, last_seen), newest first, with the verb each would open with."""
+    rows = _first(rows.orderBy(F.desc("last_seen"), "name", "service"), limit)
     return rows.select(
         "name", F.when(F.col("t") == GAUGE, "gauge").otherwise("counter").alias("type"),
         "service", "points", "last_seen", suggested_query(F.col("name"), F.col("t")).alias("suggested"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from logloom.functions.timeexpr import newer_than
 from logloom.operators import index_segments, retention, rules as R, search as S, sinks
 from logloom.operators.filters import LogFilter
+from logloom.plans import summaries
 from logloom.schemas import DAY_MS, ERROR, HOUR_MS, LOGS
 from logloom.session import scratch_path
 from logloom.sources import testdata as td
@@ -196,6 +197,32 @@ _add("retention_metrics", _swept_metrics,
      f" timestamp < {_CUT}) AS deleted FROM metrics WHERE timestamp >= {_CUT} GROUP BY name")
 
 
+def _summaries(spark, sf_dir):
+    """Summaries that followed three appends and a sweep."""
+    metrics, path, held = td.metrics(spark, sf_dir), scratch_path(spark, "metrics"), scratch_path(spark, "summaries")
+    for k in range(3):
+        metrics.filter(F.pmod(F.xxhash64("timestamp", "name"), F.lit(3)) == k).write.mode("append").partitionBy("dt").parquet(path)
+        summaries.follow(spark, path, held)
+    retention.expire(spark, path, 10, NOW)
+    summaries.follow(spark, path, held)
+    return held
+
+
+_SWEPT_METRICS = f"WITH {td.SQL_METRICS}, kept AS (SELECT * FROM metrics WHERE timestamp >= {_CUT})"
+
+_add("catalog_incremental", lambda spark, sf_dir: summaries.metrics_catalog(spark, _summaries(spark, sf_dir)),
+     f"{_SWEPT_METRICS} SELECT name, CASE WHEN least = 1 THEN 'gauge' ELSE 'counter' END AS type, service, points, last_seen,"
+     " CASE WHEN least = 0 THEN concat('increase(', name, ') per 1h last 24h') ELSE concat('avg(', name, ') per 10m last 24h')"
+     " END AS suggested FROM (SELECT name, service, MIN(type) AS least, COUNT(*) AS points, MAX(timestamp) AS last_seen"
+     " FROM kept GROUP BY name, service)")
+_add("label_keys_incremental", lambda spark, sf_dir: summaries.filter_keys(spark, _summaries(spark, sf_dir), "error_value"),
+     f"{_SWEPT_METRICS} SELECT 'service' AS key, 0 AS pos UNION ALL SELECT 'host', 1 UNION ALL SELECT key, 2 FROM"
+     " (SELECT DISTINCT unnest(json_keys(labels)) AS key FROM kept WHERE name = 'error_value' AND labels IS NOT NULL)")
+_add("label_values_incremental", lambda spark, sf_dir: summaries.filter_values(spark, _summaries(spark, sf_dir), "error_value", "k"),
+     f"{_SWEPT_METRICS} SELECT DISTINCT json_extract_string(labels, '$.k') AS v FROM kept WHERE name = 'error_value'"
+     " AND json_extract_string(labels, '$.k') <> ''")
+
+
 def _interrupted(spark, sf_dir):
     """A sweep whose log half is done and whose index half is not, and then the next sweep."""
     path, index = scratch_path(spark, "logs"), scratch_path(spark, "index")
