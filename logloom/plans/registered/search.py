@@ -97,7 +97,8 @@ _add("fts_stored_index", _stored, f"{WORDS} SELECT id FROM w WHERE {_has(OF)} AN
 def _ranked(spark, sf_dir):
     docs = _corpus(spark, sf_dir)
     n, mean = S.corpus_size(docs)
-    ranked = S.bm25(S.build_index(docs), [S.phrase("from"), S.phrase("ther", prefix=True)], n, mean)
+    asked = [S.phrase("from"), S.phrase("ther", prefix=True)]
+    ranked = S.bm25(S.build_index(docs, asked=S.all_of(*asked)), asked, n, mean)
     return ranked.select("id", F.round("rank", 6).alias("rank"))
 
 
@@ -162,7 +163,8 @@ _add("fts_text_near", _text("NEAR(with from, 3)"),
 def _ranked_phrase(spark, sf_dir):
     docs = _corpus(spark, sf_dir)
     n, mean = S.corpus_size(docs)
-    return S.bm25(S.build_index(docs), [S.phrase("of the")], n, mean).select("id", F.round("rank", 6).alias("rank"))
+    asked = S.phrase("of the")
+    return S.bm25(S.build_index(docs, asked=asked), [asked], n, mean).select("id", F.round("rank", 6).alias("rank"))
 
 
 _add("fts_rank_phrase", _ranked_phrase,
@@ -174,7 +176,7 @@ _add("fts_rank_phrase", _ranked_phrase,
 def _shown(spec, how):
     def run(spark, sf_dir):
         docs = _corpus(spark, sf_dir)
-        return how(S.combine(docs, S.search(S.build_index(docs), spec)), spec)
+        return how(S.combine(docs, S.search(S.build_index(docs, asked=spec), spec)), spec)
     return run
 
 

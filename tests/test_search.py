@@ -191,3 +191,25 @@ def test_empty_and_null_lines(spark):
 
 def test_word_pattern():
     assert regex.findall(W.WORD, "a-b_c é́x 12.5") == ["a", "b", "c", "é́x", "12", "5"]
+
+
+def test_index_for_one_search(spark, index):
+    """An index made for a search has the whole index's entries of its words, whatever their case, marks and endings."""
+    odd = [(900, "OF The Kelvins, kelvin; Öfing öf ofed"), (901, None), (902, ""), (903, "x")]
+    lines = td.search_corpus(spark, SF).select("id", "raw").union(spark.createDataFrame(odd, "id long, raw string"))
+    whole = {(r.term, r.id, tuple(r.positions), r.words) for r in S.build_index(lines).collect()}
+    for spec in [S.phrase("of the"), S.match_spec("ther* NOT (from OR reti*)"), S.near("kelvins", "of"), S.phrase("kel", prefix=True), S.Phrase(())]:
+        atoms = S._atoms(spec)
+        got = [(r.term, r.id, tuple(r.positions), r.words) for r in S.build_index(lines, asked=spec).collect()]
+        want = {e for e in whole if any(e[0].startswith(t) if prefix else e[0] == t for t, prefix in atoms)}
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_rank_reads_the_index_once(spark):
+    """The weights need a first pass over the entries; the ranks come from its result."""
+    read = spark.sparkContext.accumulator(0)
+    lines = spark.createDataFrame([(i, "of the" + " end" * i) for i in range(9)], "id long, raw string").coalesce(1)
+    entries = S.build_index(lines)
+    counted = entries.rdd.map(lambda r: read.add(1) or r).toDF(entries.schema)
+    assert S.bm25(counted, [S.phrase("of the")], 9, 4.0).count() == 9
+    assert read.value == entries.count()
