@@ -68,7 +68,7 @@ def _opened(rows: DataFrame, spec, text: str) -> tuple[DataFrame, list[str]]:
     """Rows with ``_w`` (words), ``_g`` (the text around them) and a column of spans for each phrase."""
     atoms = S._atoms(spec)
     df = rows.withColumn("_w", W.words(F.col(text))).withColumn("_g", F.split(F.col(text), W.WORD, -1))
-    df = df.withColumn("_postings", W.postings("_w"))
+    df = df.withColumn("_postings", W.postings("_w", atoms))
     for i, a in enumerate(atoms):
         df = df.withColumn(f"_{i}", F.flatten(F.transform(F.filter("_postings", S._entry_of(a)), lambda p: p["positions"])))
     at = {a: F.col(f"_{i}") for i, a in enumerate(atoms)}
