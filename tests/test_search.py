@@ -213,3 +213,20 @@ def test_rank_reads_the_index_once(spark):
     counted = entries.rdd.map(lambda r: read.add(1) or r).toDF(entries.schema)
     assert S.bm25(counted, [S.phrase("of the")], 9, 4.0).count() == 9
     assert read.value == entries.count()
+
+
+def test_segments_are_joined_without_a_copy_aside(spark, tmp_path, monkeypatch):
+    """A batch in one partition is dealt out and written aside once; joining stored segments writes nothing aside."""
+    staged, aside = S.staged, []
+
+    def noted(df, name):
+        aside.append(df.rdd.getNumPartitions())
+        return staged(df, name)
+
+    monkeypatch.setattr(S, "staged", noted)
+    path = str(tmp_path / "index")
+    for batch in range(index_segments.FAN):
+        lines = spark.createDataFrame([(batch * 40 + k, f"alpha w{k}") for k in range(40)], "id long, raw string").coalesce(1)
+        index_segments.add(lines, path, "run", batch)
+    assert index_segments.segments(spark, path) == 1 and len(aside) == index_segments.FAN and min(aside) > 1
+    assert S.search(index_segments.opened(spark, path), S.phrase("alpha")).count() == 40 * index_segments.FAN
