@@ -218,10 +218,22 @@ _add("prom_bad_labels",
 
 
 # sinks: written to the shared folder, then read back with the declared schema
+EACH = 4 << 20
+
+
+def _by_id(stored, *keys):
+    """A stored table dealt out by its keys and ids, in parts of about ``EACH`` bytes of it.
+
+    Ids are all different, so that counting them where they are read reduces nothing and holds a whole file's ids at once.
+    """
+    size = int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return stored.repartition(max(1, -(-size // EACH)), *keys, "id")
+
+
 def _stored_logs(spark, sf_dir):
     path = scratch_path(spark, "logs")
     sinks.append_logs(parse_payloads(_payloads(spark, sf_dir, JSON_LINE)), path)
-    return (read_logs(spark, path).groupBy("dt", "service")
+    return (_by_id(read_logs(spark, path), "dt", "service").groupBy("dt", "service")
             .agg(F.count("*").alias("lines"), F.count_distinct("id").alias("ids"), F.max("timestamp").alias("newest"))
             .select(F.col("dt").cast("string").alias("day"), "service", "lines", "ids", "newest"))
 
@@ -234,7 +246,7 @@ _add("sink_logs_append", _stored_logs,
 def _stored_metrics(spark, sf_dir):
     path = scratch_path(spark, "metrics")
     sinks.append_metrics(_prom(spark, sf_dir), path)
-    return (read_metrics(spark, path).groupBy("name", "type")
+    return (_by_id(read_metrics(spark, path), "name", "type").groupBy("name", "type")
             .agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count("labels").alias("labelled"),
                  F.round(F.sum("value"), 2).alias("total")))
 

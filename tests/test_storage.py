@@ -314,3 +314,15 @@ def test_two_writers_of_a_note(spark, tmp_path):
     with pytest.raises(FileExistsError):
         session.write_note(spark, f"{path}/{sinks.LEDGER}", seen | {"next": 99})
     assert sinks.allocate(spark, path, 1) == 15
+
+
+def test_ids_are_counted_in_parts(spark, tmp_path, monkeypatch):
+    """Parts follow the table's size, equal ids of a key meet in one, and every row is there."""
+    from logloom.plans.registered import ingest
+    rows = spark.range(5000).selectExpr("id div 2 as id", "concat('m', id % 3) as name", "1 as type").coalesce(1)
+    rows.write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(ingest, "EACH", 2000)
+    dealt = ingest._by_id(spark.read.parquet(str(tmp_path / "t")), "name", "type")
+    assert dealt.rdd.getNumPartitions() > 4
+    parts = dealt.withColumn("part", F.spark_partition_id()).groupBy("name", "type", "id").agg(F.count_distinct("part").alias("p"), F.count("*").alias("n"))
+    assert parts.filter("p > 1").count() == 0 and parts.agg(F.sum("n")).first()[0] == 5000
