@@ -33,9 +33,8 @@ class Settings:
     heads: int = 4096
     hashed: int = 1024
     near: int = 1 << 20
-    #: Baum-Welch rounds on about ``first_documents`` documents, which tell the states apart, and then on all of them
+    #: rounds of the first pass, each on one more slice of the training texts, and Baum-Welch rounds on all of them after it
     first_rounds: int = 8
-    first_documents: int = 1024
     rounds: int = 2
     #: pseudo-counts: a transition's, and of all classes together in a state, shared as the classes are frequent
     transition: float = 1.0
@@ -260,8 +259,8 @@ def _class_blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield block.data.view(np.uint16).astype(np.int64), block.offsets // 2
 
 
-def _round(encoded: DataFrame, chain: Chain, v: Vocabulary) -> Chain:
-    """One round of Baum-Welch: every partition adds the expected counts of its texts, Spark adds the partitions."""
+def _expected(encoded: DataFrame, chain: Chain, v: Vocabulary) -> np.ndarray:
+    """The expected counts of all given texts: every partition adds those of its texts, Spark adds the partitions."""
     shared = encoded.sparkSession.sparkContext.broadcast(chain)
     states, classes = len(chain.start), v.classes
 
@@ -281,6 +280,11 @@ def _round(encoded: DataFrame, chain: Chain, v: Vocabulary) -> Chain:
     sums = parts.groupBy("k").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(states)]).toArrow()
     total = np.zeros((1 + states + classes, states))
     total[sums.column("k").to_numpy()] = np.stack([sums.column(f"s{s}").to_numpy() for s in range(states)], 1) / _UNIT
+    return total
+
+
+def _chain_of(total: np.ndarray, v: Vocabulary) -> Chain:
+    states = v.settings.states
     start, move, emit = total[0] + 1, total[1:1 + states] + v.settings.transition, total[1 + states:]
     base = (v.class_tokens + 1.0) / (v.class_tokens + 1.0).sum()
     emit = emit + v.settings.emission * base[:, None]
@@ -288,17 +292,22 @@ def _round(encoded: DataFrame, chain: Chain, v: Vocabulary) -> Chain:
 
 
 def train(encoded: DataFrame, v: Vocabulary) -> Chain:
-    """Baum-Welch over all training texts, begun on a bounded sample of them so that the states differ."""
+    """Baum-Welch over all training texts.
+
+    The first pass takes them in ``first_rounds`` equal slices and adds each slice's expected counts to those before it,
+    so that the states differ sooner; every text is counted once. Each of the ``rounds`` after it counts all texts anew.
+    """
     s, chain = v.settings, first_chain(v)
     known = encoded.filter("train")
     if not v.ends:
         return chain
-    few = storage.table(known.filter(F.pmod(F.xxhash64("row", F.lit(s.seed)), F.lit(1 << 30)) < s.first_documents * (1 << 30) // max(v.ends, 1))
-                        .select("classes"), "first")
-    for _ in range(s.first_rounds):
-        chain = _round(few, chain, v)
+    total = 0
+    for k in range(s.first_rounds):
+        part = known.filter(F.pmod(F.xxhash64("row", F.lit(s.seed)), F.lit(s.first_rounds)) == k)
+        total = total + _expected(part, chain, v)
+        chain = _chain_of(total, v)
     for _ in range(s.rounds):
-        chain = _round(known, chain, v)
+        chain = _chain_of(_expected(known, chain, v), v)
     return chain
 
 

@@ -183,3 +183,18 @@ def test_cells_come_by_falling_bound_that_holds():
     for most, least, cell in walk:
         own = (codes[0] == cell[0]) & (codes[1] == cell[1])
         assert least <= (x[own] @ q).min() and (x[own] @ q).max() <= most
+
+
+def test_first_pass_counts_every_text_once(spark, monkeypatch):
+    """The rounds that tell the states apart take all training texts, also beyond a thousand, and then all again."""
+    seen, expected = [], hidden_markov._expected
+
+    def noted(encoded, chain, v):
+        seen.append(encoded.count())
+        return expected(encoded, chain, v)
+
+    monkeypatch.setattr(hidden_markov, "_expected", noted)
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('a', id % 7, ' b') as text")
+    settings = hidden_markov.Settings(states=2, heads=4, hashed=8, near=32, first_rounds=3, rounds=1)
+    assert hidden_markov.score(docs, F.col("doc_id") % 3 != 0, settings=settings).count() == 3000
+    assert sum(seen[:3]) == 2000 and min(seen[:3]) > 500 and seen[3:] == [2000]
