@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm import storage
+from logloom.llm import bitmap, storage
 from logloom.llm import text as X
 from logloom.llm.graph import components
 
@@ -49,8 +49,8 @@ ORDERS = (ROWS, 8 * ROWS)
 #: Rows of a bucket and shingles of a cluster in one part; every two parts are compared in a task of their own.
 PART_ROWS, PART_SHINGLES = 2048, 1 << 19
 
-#: Bits of the broadcast bitmap before a join with texts: 64 MB at most.
-FILTER_BITS = 1 << 29
+#: Bits a key of the bitmap before a join that decides over whole rows: a row that need not be joined is joined once in so many.
+ROW_BITS = 64
 
 
 def shingle_sets(block: X.Block, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -140,27 +140,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, body bigint, whole binary, n bigint, keys array<bigint>, bins binary")
 
 
-def texts_of(texts: DataFrame, wanted: DataFrame, most_bits: int = FILTER_BITS) -> DataFrame:
+def texts_of(texts: DataFrame, wanted: DataFrame, most_bits: int = bitmap.MOST_BITS) -> DataFrame:
     """node, node_body, text of the rows of ``texts`` (id, body, text) that ``wanted`` (node, node_body) names.
 
-    A broadcast bitmap of hashes first lets most other texts stay where they are, so that the join shuffles few texts
-    that no one wants. It has 16 bits a wanted row, ``most_bits`` at most; with more wanted rows than that has bits
-    it would let all pass and is left out. Which rows come out depends on the join alone.
+    A broadcast bitmap first lets most other texts stay where they are, so that the join shuffles few texts that no one wants.
     """
     wanted = storage.table(wanted, "wanted")
-    page = 8 * 4096  # bits of one row of a bitmap
-    n = wanted.count()
-    if 0 < n <= most_bits:
-        bits = page * (min(16 * n, most_bits) // page + 1)
-
-        def at(*names: str) -> Column:
-            return F.pmod(F.xxhash64(*names), F.lit(bits))
-
-        pages = wanted.select(at("node", "node_body").alias("at")).groupBy(F.expr(f"at div {page}").alias("page"))
-        pages = pages.agg(F.expr(f"bitmap_construct_agg(at % {page})").alias("bitmap"))
-        texts = (texts.withColumn("at", at("id", "body")).join(F.broadcast(pages), F.expr(f"at div {page} = page"))
-                 .filter(F.expr(f"(conv(hex(substring(bitmap, cast(at % {page} div 8 as int) + 1, 1)), 16, 10)"
-                                " & shiftleft(1, cast(at % 8 as int))) != 0")))
+    texts = bitmap.likely(texts, ["id", "body"], wanted.select("node", "node_body"), most_bits=most_bits)
     return (texts.join(wanted, (texts["id"] == wanted["node"]) & (texts["body"] == wanted["node_body"]))
             .select("node", "node_body", "text"))
 
@@ -413,16 +399,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = sigs.filter("whole is not null and id is not null")
     classes = storage.table(sets.groupBy("whole").agg(F.min(F.struct("id", "body")).alias("first"), F.count("*").alias("rows")),
                             "classes").select("whole", F.col("first.id").alias("node"), F.col("first.body").alias("node_body"), "rows")
-    # one document of each class goes on; an id may stand for several of its own texts
-    chosen = sets.join(classes.select("whole", "node", "node_body"), "whole").filter("id = node and body = node_body")
+    # one document of each class goes on, most are a class of their own; an id may stand for several of its own texts
+    single, rest = bitmap.split(sets, ["whole"], classes.filter("rows > 1").select("whole"))
+    named = ["id as node", "body as node_body", "n", "keys", "bins"]
+    rest = rest.join(classes.select("whole", "node", "node_body"), "whole").filter("id = node and body = node_body")
+    chosen = single.selectExpr(*named).union(rest.selectExpr(*named))
     nodes = classes.select("node", "node_body").distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text"))
 
     entries = chosen.select("node", "node_body", "n", F.posexplode("keys").alias("band", "key"))
-    counts = entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = storage.table(entries.join(counts, "key"), "buckets")
-    hubs = shared.groupBy("node").agg(F.sum(F.log2("members")).alias("weight"))
-    hubs = hubs.join(chosen.groupBy("node", "node_body").agg(F.first("bins").alias("bins")), "node")
+    counts = storage.table(entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "counts")
+    shared = storage.table(bitmap.likely(entries, ["key"], counts.select("key")).join(counts, "key"), "buckets")
+    hubs = storage.table(shared.groupBy("node").agg(F.sum(F.log2("members")).alias("weight")), "hubs")
+    bins = bitmap.likely(chosen, ["node"], hubs.select("node")).groupBy("node", "node_body").agg(F.first("bins").alias("bins"))
+    hubs = hubs.join(bins, "node")
     ranked = storage.table(_placed(shared.select("node", "node_body", "n", "key", "band", "members").join(hubs, ["node", "node_body"])), "ranked")
 
     found = _starred(ranked, percent)
@@ -471,16 +461,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows, with all their columns, of one document of each component. Of rows that repeat an id one stays,
     by its text; rows with a null id all stay."""
-    kept = (near_duplicates(docs, id_col, text_col, percent).filter("kept").select(F.col(id_col).alias("at")).filter("at is not null")
-            .groupBy("at").agg(F.count("*").alias("rows")))
-    kept = storage.table(kept, "kept")
+    ids = (near_duplicates(docs, id_col, text_col, percent).select(F.col(id_col).alias("at"), "kept").filter("at is not null")
+           .groupBy("at").agg(F.count("*").alias("rows"), F.max("kept").alias("kept")))
+    ids = storage.table(ids, "ids")
     # rows travel as one column, so that none of theirs meets another of its name
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    one = whole.join(kept.filter("rows = 1"), F.col("id") == F.col("at"), "left_semi")
-    out = one.union(whole.filter("id is null"))
-    again = kept.filter("rows > 1")
+    # most rows stay unjoined; of the others, those that may stay are looked up
+    others, one = ids.filter("rows > 1 or not kept").select("at"), ids.filter("rows = 1 and kept").select("at")
+    stay, doubtful = bitmap.split(whole.filter("id is not null"), ["id"], others, ROW_BITS)
+    held = storage.table(bitmap.likely(one, ["at"], others, ROW_BITS), "held")
+    doubtful = bitmap.likely(doubtful, ["id"], held, ROW_BITS)
+    out = stay.union(doubtful.join(held, F.col("id") == F.col("at"), "left_semi")).union(whole.filter("id is null"))
+    again = ids.filter("rows > 1 and kept").select("at")
     if not again.isEmpty():
         first = Window.partitionBy("id").orderBy(F.col("text").asc_nulls_last(), F.monotonically_increasing_id())
-        several = whole.join(again, F.col("id") == F.col("at"), "left_semi").withColumn("place", F.row_number().over(first))
-        out = out.union(several.filter("place = 1").drop("place"))
+        several = bitmap.likely(whole.filter("id is not null"), ["id"], again, ROW_BITS).join(again, F.col("id") == F.col("at"), "left_semi")
+        out = out.union(several.withColumn("place", F.row_number().over(first)).filter("place = 1").drop("place"))
     return out.select("row.*")

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm import storage
+from logloom.llm import bitmap, storage
 from logloom.llm import text as X
 
 #: Text of one segment; a longer document is a segment of its own.
@@ -26,6 +26,9 @@ SEGMENT_BYTES = 5 << 20
 #: Phrases (with the item they belong to) sent to the executors at once, which bounds every broadcast.
 PHRASES = 50_000
 
+#: Bits a key of the bitmap of found documents: a clean document is joined once in so many.
+ROW_BITS = 64
+
 #: What a word is, after A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -288,13 +291,17 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, id_col:
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"),
                         F.sha2(F.when(F.col(id_col).isNull(), F.col(text_col)), 256).alias("own"))
 
-    def found(rows: DataFrame) -> DataFrame:
-        return contamination(rows, items, window, id_col, **how).filter(F.size("runs") > 0).select(F.col(id_col).alias("bad")).distinct()
+    def clean(rows: DataFrame, key: str, judged: DataFrame) -> DataFrame:
+        """The rows that are not found; those a bitmap of the found ones lets pass are not joined, so not shuffled."""
+        bad = contamination(judged, items, window, id_col, **how).filter(F.size("runs") > 0).select(F.col(id_col).alias("bad"))
+        bad = storage.table(bad.filter("bad is not null").distinct(), "found")
+        stay, doubtful = bitmap.split(rows, [key], bad, ROW_BITS)
+        return stay.union(doubtful.join(bad, F.col(key) == F.col("bad"), "left_anti"))
 
-    named = whole.filter("id is not null").join(found(docs).filter("bad is not null"), F.col("id") == F.col("bad"), "left_anti")
+    named = clean(whole.filter("id is not null"), "id", docs)
     nameless = whole.filter("id is null")
     if nameless.isEmpty():
         return named.select("row.*")
     texts = docs.filter(F.col(id_col).isNull() & F.col(text_col).isNotNull())
     texts = texts.select(F.sha2(F.col(text_col), 256).alias(id_col), text_col).distinct()
-    return named.union(nameless.join(found(texts), F.col("own") == F.col("bad"), "left_anti")).select("row.*")
+    return named.union(clean(nameless, "own", texts)).select("row.*")

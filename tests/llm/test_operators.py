@@ -571,3 +571,45 @@ def test_texts_of_wanted_rows_do_not_depend_on_the_bitmap(spark):
         expected = sorted(r for r in rows if r[:2] in wanted)
         for bits in (0, 200, 1 << 29):  # left out, nearly full, sparse
             assert sorted(map(tuple, texts_of(texts, asked, bits).collect())) == expected
+
+
+def test_bitmap_split(spark):
+    from logloom.llm import bitmap
+    rows = [(k, f"t{k}") for k in range(3000)] + [(None, "none"), (5, "again")]
+    table_ = spark.createDataFrame(rows, "id bigint, t string")
+    for keys in ([], [5], list(range(0, 6000, 2))):
+        asked = spark.createDataFrame([(k,) for k in keys], "key bigint")
+        for a_key, bits in ((16, 0), (1, 1 << 29), (64, 1 << 29)):  # left out, nearly full, sparse
+            without, maybe = (sorted(map(tuple, x.collect()), key=repr) for x in bitmap.split(table_, ["id"], asked, a_key, bits))
+            assert sorted(without + maybe, key=repr) == sorted(rows, key=repr)
+            assert not {r[0] for r in without} & set(keys)
+            if a_key == 64:
+                assert sum(r[0] not in keys for r in maybe) < 200
+
+
+def moved(plan, column):
+    """Rows that shuffles of an executed plan wrote with a column."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return moved(plan.executedPlan(), column)
+    if kind.endswith("QueryStageExec"):
+        return moved(plan.plan(), column)
+    names = [plan.output().apply(k).name() for k in range(plan.output().size())]
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" and column in names else 0
+    return own + sum(moved(plan.children().apply(k), column) for k in range(plan.children().size()))
+
+
+def test_rows_that_stay_are_not_shuffled(spark):
+    rng = random.Random(8)
+    rows = [(k, prose(rng, 30)) for k in range(300)]
+    rows += [(1000 + k, rows[k][1]) for k in range(20)] + [(7, rows[7][1])]
+    items = spark.createDataFrame([(1, rows[50][1]), (2, rows[51][1])], "item_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the ids were too many
+    try:
+        for df, expected in ((near_dedup.without_near_duplicates(table(spark, rows)), set(range(300))),
+                             (phrase_index.decontaminated(table(spark, rows), items), {r[0] for r in rows} - {50, 51})):
+            assert {r.doc_id for r in df.collect()} == expected
+            assert moved(df._jdf.queryExecution().executedPlan(), "row") < 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
