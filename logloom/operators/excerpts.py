@@ -100,6 +100,32 @@ def highlight(rows: DataFrame, spec, left: str, right: str, text: str = "raw", i
     return df.withColumn("_runs", runs).select(*[F.col(f"`{c}`") for c in rows.columns], whole.alias(into))
 
 
+def _best(names: list[str], words: int) -> Column:
+    """(kinds, width, first) of the run of words that counts, null without one; ``names`` hold the spans of each phrase.
+
+    Occurrences are passed once, from the last one back, with the next end of every phrase at hand: the occurrences
+    of one phrase are of one length, so that the next is the one that ends first.
+    """
+    none = 2 ** 31 - 1
+
+    def tagged(name: str, k: int) -> Column:
+        return F.transform(name, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.lit(k).alias("phrase")))
+
+    fits = F.filter(F.concat(*[tagged(n, k) for k, n in enumerate(names)]), lambda s: s["last"] - s["first"] < words)
+
+    def step(acc: Column, s: Column) -> Column:
+        ends = [F.when(s["phrase"] == k, s["last"]).otherwise(acc[f"end{k}"]) for k in range(len(names))]
+        held = [e - s["first"] < words for e in ends]
+        kinds = reduce(lambda a, b: a + b, [F.when(h, 1).otherwise(0) for h in held])
+        # the span in which every phrase that the run can hold has occurred once
+        reach = F.greatest(s["last"], *[F.when(h, e).otherwise(-1) for h, e in zip(held, ends)])
+        run = F.struct((-kinds).alias("kinds"), (reach - s["first"] + 1).alias("width"), s["first"].alias("first"))
+        return F.struct(F.least(acc["best"], run).alias("best"), *[e.alias(f"end{k}") for k, e in enumerate(ends)])
+
+    start = F.struct(F.lit(None).cast("struct<kinds:int,width:int,first:int>").alias("best"), *[F.lit(none).alias(f"end{k}") for k in range(len(names))])
+    return F.aggregate(F.reverse(F.array_sort(fits)), start, step, lambda acc: acc["best"])
+
+
 def snippet(rows: DataFrame, spec, left: str, right: str, words: int = SNIPPET_WORDS, more: str = MORE, text: str = "raw",
             into: str = "snippet") -> DataFrame:
     """The rows with the run of ``words`` words that shows most of the search, marked, and ``more`` where text is left out.
@@ -109,25 +135,15 @@ def snippet(rows: DataFrame, spec, left: str, right: str, words: int = SNIPPET_W
     without an occurrence gives its beginning, a null text null.
     """
     df, names = _opened(rows, spec, text)
-    none = F.array().cast("array<struct<first:int,last:int>>")
-    every = F.concat(*names) if names else none
-
-    def window(start: Column) -> Column:
-        def inside(s: Column) -> Column:
-            return (s["first"] >= start["first"]) & (s["last"] < start["first"] + words)
-
-        held = [F.filter(n, inside) for n in names]
-        kinds = reduce(lambda a, b: a + b, [F.when(F.size(h) > 0, 1).otherwise(0) for h in held])
-        # the span in which every phrase that the run can hold has occurred once
-        reach = F.greatest(start["last"], *[F.coalesce(F.array_min(F.transform(h, lambda s: s["last"])), F.lit(-1)) for h in held])
-        return F.struct((-kinds).alias("kinds"), (reach - start["first"] + 1).alias("width"), start["first"].alias("first"))
-
-    best = F.array_min(F.transform(F.filter(every, lambda s: s["last"] - s["first"] < words), window)) if names else F.lit(None)
-    df = df.withColumn("_runs", _merged(every)).withColumn("_best", best)
+    every = F.concat(*names) if names else F.array().cast("array<struct<first:int,last:int>>")
+    df = df.withColumn("_best", _best(names, words) if names else F.lit(None))
     n = F.size("_w")
     room = (F.col("_best.first") - F.floor((words - F.col("_best.width")) / 2)) if names else F.lit(0)
     first = F.greatest(F.lit(0), F.least(F.coalesce(room, F.lit(0)), n - words)).cast("int")
     df = df.withColumn("_first", first).withColumn("_last", F.least(F.col("_first") + words, n) - 1)
+    # occurrences outside do not change which words of the run are marked
+    near = F.filter(every, lambda s: (s["last"] >= F.col("_first")) & (s["first"] <= F.col("_last")))
+    df = df.withColumn("_runs", _merged(near))
     shown = _marked(F.col("_runs"), F.col("_first"), F.col("_last"), left, right)
     out = F.concat(F.when(F.col("_first") > 0, F.lit(more)).otherwise(F.get("_g", F.lit(0))), shown,
                    F.when(F.col("_last") < n - 1, F.lit(more)).when(n > 0, F.get("_g", n)).otherwise(""))

@@ -2,6 +2,7 @@
 
 import random
 import sqlite3
+import time
 
 import duckdb
 import pytest
@@ -161,6 +162,46 @@ def test_snippets(spark, corpus):
     assert none[0].snippet is None
 
 
+def plain_phrase_snippet(words, phrases, size):
+    """The same for (words, whether the last is a beginning) over single-spaced words."""
+    spans = [[(i, i + len(p) - 1) for i in range(len(words) - len(p) + 1) if words[i:i + len(p) - 1] == p[:-1]
+              and (words[i + len(p) - 1].startswith(p[-1]) if prefix else words[i + len(p) - 1] == p[-1])] for p, prefix in phrases]
+    best = min(((-sum(any(a <= x and y < a + size for x, y in h) for h in spans),
+                 max([b, *[min(y for x, y in h if a <= x and y < a + size) for h in spans if any(a <= x and y < a + size for x, y in h)]]) - a + 1, a)
+                for h in spans for a, b in h if b - a < size), default=None)
+    first = max(0, min(best[2] - (size - best[1]) // 2 if best else 0, len(words) - size))
+    last = min(first + size, len(words)) - 1
+    runs = []
+    for a, b in sorted(x for h in spans for x in h):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    shown = " ".join("[" * any(a == k for a, _ in runs) + words[k] + "]" * any(b == k for _, b in runs) for k in range(first, last + 1))
+    return "…" * (first > 0) + shown + "…" * (last < len(words) - 1)
+
+
+def test_snippets_of_phrases(spark):
+    rng = random.Random(12)
+    rows = [(k, " ".join(rng.choices(["a", "b", "c", "ax", "q", "r"], k=rng.randrange(1, 40)))) for k in range(150)]
+    spec = S.any_of(S.phrase("a b"), S.phrase("b c a"), S.phrase("b a", prefix=True), S.phrase("r"))
+    lines = spark.createDataFrame(rows, "id long, raw string")
+    for size in (2, 5):
+        got = {r.id: r.snippet for r in excerpts.snippet(lines, spec, "[", "]", size).collect()}
+        phrases = [(["a", "b"], False), (["b", "c", "a"], False), (["b", "a"], True), (["r"], False)]
+        assert got == {i: plain_phrase_snippet(t.split(), phrases, size) for i, t in rows}
+
+
+def test_snippet_of_very_many_occurrences(spark):
+    n = 12_000
+    text = "from x y z u v w t s " * n + "from there"
+    lines = spark.createDataFrame([(1, text)], "id long, raw string")
+    began = time.monotonic()
+    got = excerpts.snippet(lines, S.all_of(S.phrase("from"), S.phrase("ther", prefix=True)), "[", "]", 4).collect()
+    assert got[0].snippet == "…t s [from] [there]"
+    assert time.monotonic() - began < 30
+
+
 def test_index_follows_its_lines(spark, tmp_path):
     """Many small batches, removals in between, a line that comes back: always the hits of a full build, from few segments."""
     rng, path, held = random.Random(9), str(tmp_path / "index"), {}
