@@ -207,8 +207,8 @@ def _starred(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, f"a {kind}, b {kind}, equal int")
 
 
-def _neighbours(rows: DataFrame, place: str, percent: int) -> DataFrame:
-    """(a, b, equal): each member of a bucket with the next one in an order. Ranges of the order are tasks; only at
+def _neighbours(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, equal): each member of a bucket with the next one in every order. Ranges of the orders are tasks; only at
     their borders, which differ between orders, are neighbours not paired."""
     kind = rows.schema["node"].dataType.simpleString()
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -219,13 +219,15 @@ def _neighbours(rows: DataFrame, place: str, percent: int) -> DataFrame:
             if last is not None:
                 x = pa.Table.from_batches([last, x]).combine_chunks().to_batches()[0]
             last = x.slice(len(x) - 1)
-            key, node, size, bins = x.column(0).to_numpy(), x.column(1), x.column(2).to_numpy(), _matrix(x.column(3))
-            equal = np.where(key[1:] == key[:-1], _alike(bins[1:], bins[:-1], size[1:], size[:-1], percent), 0)
+            key, node, size, bins, order = x.column(0).to_numpy(), x.column(1), x.column(2).to_numpy(), _matrix(x.column(3)), x.column(4).to_numpy()
+            together = (key[1:] == key[:-1]) & (order[1:] == order[:-1])
+            equal = np.where(together, _alike(bins[1:], bins[:-1], size[1:], size[:-1], percent), 0)
             yield pa.RecordBatch.from_arrays([node.slice(0, len(x) - 1), node.slice(1), pa.array(equal, pa.int32())],
                                              ["a", "b", "equal"]).filter(pa.array(equal > 0))
 
-    return (rows.select("key", "node", "n", "bins", place).repartitionByRange(n, "key", place).sortWithinPartitions("key", place, "node")
-            .mapInArrow(run, f"a {kind}, b {kind}, equal int"))
+    orders = F.posexplode(F.array(*[f"place{k}" for k in range(len(ORDERS))])).alias("order", "place")
+    return (rows.select("key", "node", "n", "bins", orders).repartitionByRange(n, "order", "key", "place")
+            .sortWithinPartitions("order", "key", "place", "node").mapInArrow(run, f"a {kind}, b {kind}, equal int"))
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -371,7 +373,7 @@ def _bridges(rows: DataFrame, percent: int) -> DataFrame:
     return _pieces(rows, "cluster").select("cluster", "i", "j", "part", "side", "text").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _remaining(ranked: DataFrame, sides: DataFrame, chosen: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _remaining(ranked: DataFrame, sides: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(a, b): links of components (``sides`` of the nodes) between members of a bucket, judged pair by pair."""
     # both members of a bucket of two have met
     rows = storage.table(ranked.filter("members > 2").select("key", "node", "node_body", "n", "bins").join(sides, "node"), "rows")
@@ -380,7 +382,7 @@ def _remaining(ranked: DataFrame, sides: DataFrame, chosen: DataFrame, texts: Da
     alike = storage.table(_clustered(rows.join(several, "key"), percent).distinct(), "links")
     clusters = components(alike.filter("node is null").select("a", "b")).select(F.col("node").alias("side"), F.col("label").alias("cluster"))
     clusters = alike.filter("node is not null").select("node", F.col("a").alias("side")).join(clusters, "side")
-    own = chosen.select("node", "node_body", "n").distinct().join(clusters, "node")
+    own = rows.select("node", "node_body", "n").distinct().join(clusters, "node")
     own = storage.table(own, "clusters")
     parts = own.groupBy("cluster").agg(F.ceil(F.sum("n") / PART_SHINGLES).alias("parts"))
     whole = texts_of(texts, own.select("node", "node_body")).groupBy("node", "node_body").agg(F.first("text").alias("text"))
@@ -403,8 +405,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     single, rest = bitmap.split(sets, ["whole"], classes.filter("rows > 1").select("whole"))
     named = ["id as node", "body as node_body", "n", "keys", "bins"]
     rest = rest.join(classes.select("whole", "node", "node_body"), "whole").filter("id = node and body = node_body")
-    chosen = single.selectExpr(*named).union(rest.selectExpr(*named))
-    nodes = classes.select("node", "node_body").distinct()
+    chosen = single.selectExpr(*named).union(storage.table(rest.selectExpr(*named), "firsts"))
+    nodes = classes.select("node", "node_body")
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text"))
 
     entries = chosen.select("node", "node_body", "n", F.posexplode("keys").alias("band", "key"))
@@ -415,9 +417,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = hubs.join(bins, "node")
     ranked = storage.table(_placed(shared.select("node", "node_body", "n", "key", "band", "members").join(hubs, ["node", "node_body"])), "ranked")
 
-    found = _starred(ranked, percent)
-    for k in range(len(ORDERS)):
-        found = found.union(_neighbours(ranked, f"place{k}", percent))
+    found = _starred(ranked, percent).union(_neighbours(ranked, percent))
     pairs = storage.table(found.filter("a != b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                           .agg(F.max("equal").alias("equal")), "pairs")
 
@@ -428,8 +428,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = F.max(F.struct("equal", "a", "b")).alias("best")
     first = (pairs.select("equal", "a", "b", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(best)
              .select("best.a", "best.b").distinct())
-    # every node of a pair has a best pair, so these texts serve the other pairs too
-    ends = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # every node of a pair has a best pair, so these texts serve both the best pairs and the others
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     held = storage.table(texts_of(texts, nodes.join(ends, "node", "left_semi")), "texts")
     links = storage.table(confirmed(first, held, percent).union(own), "links")
     labels = components(links)
@@ -444,11 +444,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = sided(pairs).filter("side_a != side_b").select("a", "b")
     rest = storage.table(apart.join(first, ["a", "b"], "left_anti"), "pairs")
     bridges = sided(storage.table(confirmed(rest, held, percent), "links"))
-    joined = components(bridges.select(F.col("side_a").alias("a"), F.col("side_b").alias("b")))
+    joined = components(storage.table(bridges.select(F.col("side_a").alias("a"), F.col("side_b").alias("b")), "links"))
     joined = joined.withColumnsRenamed({"node": "side", "label": "whole_side"})
     sides = nodes.select("node").distinct().join(labels, "node", "left").withColumn("side", F.coalesce("label", "node"))
     sides = storage.table(sides.join(joined, "side", "left").select("node", F.coalesce("whole_side", "side").alias("side")), "sides")
-    last = components(storage.table(_remaining(ranked, sides, chosen, texts, percent).distinct(), "links"))
+    last = components(storage.table(_remaining(ranked, sides, texts, percent).distinct(), "links"))
     last = last.withColumnsRenamed({"node": "at", "label": "whole_side"})
     low = classes.join(sides, "node").join(last, F.col("side") == F.col("at"), "left")
     low = storage.table(low.select("whole", F.coalesce("whole_side", "side").alias("component")), "components")

@@ -15,6 +15,7 @@ from llm import brute
 from logloom.llm import exact_dedup, language, mixing, near_dedup, packing, phrase_index, secrets, storage, suffix_array, suffix_dedup
 from logloom.llm import text as X
 from logloom.llm import toxicity, warc
+from logloom.llm.graph import components
 
 SF = "/root/testdata/sf0.001"
 #: Columns that an operator also makes itself.
@@ -493,6 +494,40 @@ def templates(rng, members):
     return rows
 
 
+def test_components_of_long_paths_take_few_tasks(spark):
+    """A step that shuffles costs a task a partition, however few its rows."""
+    rng = np.random.default_rng(3)
+    name, edges = rng.permutation(400).tolist(), []
+    for low, high in ((0, 1), (1, 3), (3, 60), (60, 300), (300, 400)):  # paths of 1 to 240 nodes
+        edges += [(name[k], name[k + 1]) for k in range(low, high - 1)]
+    edges += [(7, 7), *edges[:20], *((b, a) for a, b in edges[20:40])]
+    label = list(range(400))
+    for a, b in edges * 400:
+        if label[a] != label[b]:
+            label[a] = label[b] = min(label[a], label[b])
+    before, sc = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}, spark.sparkContext
+    table_of = storage.table(spark.createDataFrame(edges, "a long, b long").repartition(4), "edges")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 60)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        sc.setJobGroup("components", "")
+        got = {r.node: r.label for r in components(table_of).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {k: label[k] for e in edges if e[0] != e[1] for k in e}
+    status = sc.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup("components") for s in status.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for i in map(status.getStageInfo, stages) if i)
+    assert tasks < 900, tasks
+
+
+def test_components_of_no_edges(spark):
+    assert components(spark.createDataFrame([], "a string, b string")).collect() == []
+    assert components(spark.createDataFrame([("x", "x")], "a string, b string")).collect() == []
+
+
 def by_counts(rows, percent=near_dedup.PERCENT):
     """(id, component) of texts of one size, by all pairs."""
     sets = [next(near_dedup.shingle_sets(b)) for _, t in rows for b in X.blocks(pa.array([t]))]
