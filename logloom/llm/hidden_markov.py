@@ -45,6 +45,9 @@ class Settings:
 #: Tokens that are trained on at a time, and of a text in one go when training: its start state is then no longer the text's.
 BLOCK_TOKENS, PIECE = 1 << 17, 1 << 11
 
+#: Tokens that are scored at a time. Scoring holds less of each, and a block takes as many steps as its longest text has tokens.
+SCORE_TOKENS = 1 << 20
+
 #: Expected counts are summed as whole numbers of this fraction, so that sums do not depend on their order.
 _UNIT = 1 << 16
 
@@ -195,56 +198,68 @@ def first_chain(v: Vocabulary) -> Chain:
     return Chain(np.full(s.states, 1 / s.states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def _steps(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences from the longest on, and how many have a t-th token, for every t."""
+def _steps(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences from the longest on, where the tokens of every step begin once laid out step by step, and their places before.
+
+    All t-th tokens stand together, in the order of the sequences, so that a step works on slices.
+    """
     size = np.diff(bounds)
     order = np.argsort(-size, kind="stable")
     live = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), "left")
-    return order, live
+    base = np.concatenate([[0], np.cumsum(live)])
+    step = np.repeat(np.arange(len(live)), live)
+    return order, base, bounds[:-1][order][np.arange(base[-1]) - base[step]] + step
 
 
 def forward(classes: np.ndarray, bounds: np.ndarray, chain: Chain) -> np.ndarray:
     """log10 P of every sequence of classes: each step's states are scaled to sum to 1, and the logs of the scales add up."""
-    order, live = _steps(bounds)
-    total = np.zeros(len(bounds) - 1)
-    first, state = bounds[:-1][order], None
-    for t, n in enumerate(live.tolist()):
-        before = np.broadcast_to(chain.start, (n, len(chain.start))) if state is None else state[:n] @ chain.move
-        state = before * chain.emit[classes[first[:n] + t]]
-        scale = state.sum(1)
+    order, base, place = _steps(bounds)
+    total, laid, ones = np.zeros(len(order)), classes[place], np.ones(len(chain.start))
+    state = np.broadcast_to(chain.start, (len(order), len(ones)))
+    for t, (lo, hi) in enumerate(zip(base[:-1].tolist(), base[1:].tolist())):
+        state = state[:hi - lo] @ chain.move if t else state[:hi - lo]
+        state = state * chain.emit.take(laid[lo:hi], 0)
+        scale = state @ ones
         state /= scale[:, None]
-        total[order[:n]] += np.log10(scale)
-    return total
+        total[:hi - lo] += np.log10(scale)
+    out = np.zeros_like(total)
+    out[order] = total
+    return out
 
 
 def expected(classes: np.ndarray, bounds: np.ndarray, starts: np.ndarray, chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected (starts, moves, emissions) of sequences; ``starts`` says which begin with the chain's start, not in its course."""
     states = len(chain.start)
-    order, live = _steps(bounds)
-    first = bounds[:-1][order]
-    begin = np.where(starts[order, None], chain.start, chain.stationary())
-    alpha = np.zeros((len(classes), states))
-    emit = chain.emit[classes]
-    scale = np.ones(len(classes))
-    for t, n in enumerate(live.tolist()):
-        at = first[:n] + t
-        state = (alpha[at - 1] @ chain.move if t else begin[:n]) * emit[at]
-        scale[at] = state.sum(1)
-        alpha[at] = state / scale[at][:, None]
-    # from here on: what the states emit after a token, scaled alike
-    beta = np.ones((len(order), states))
-    moves, gamma = np.zeros((states, states)), np.zeros_like(alpha)
-    for t in range(len(live) - 1, -1, -1):
-        n, at = live[t], first[:live[t]] + t
-        gamma[at] = alpha[at] * beta[:n]
+    order, base, place = _steps(bounds)
+    laid, steps, ones = classes[place], base.tolist(), np.ones(states)
+    emit = chain.emit[laid]
+    alpha, scale = np.zeros_like(emit), np.ones(len(laid))
+    for t, (lo, hi) in enumerate(zip(steps[:-1], steps[1:])):
+        state = alpha[lo:hi]
         if t:
-            ahead = emit[at] * beta[:n] / scale[at][:, None]
-            moves += alpha[at - 1].T @ ahead
-            beta[:n] = ahead @ chain.move.T
+            np.matmul(alpha[steps[t - 1]:steps[t - 1] + hi - lo], chain.move, out=state)
+        else:
+            state[:] = np.where(starts[order[:hi], None], chain.start, chain.stationary())
+        state *= emit[lo:hi]
+        np.matmul(state, ones, out=scale[lo:hi])
+        state /= scale[lo:hi, None]
+    # from here on: what the states emit after a token, scaled alike
+    emit /= scale[:, None]
+    beta, back = np.ones_like(emit), np.ascontiguousarray(chain.move.T)
+    for t in range(len(steps) - 2, 0, -1):
+        lo, hi = steps[t], steps[t + 1]
+        ahead = emit[lo:hi]
+        ahead *= beta[lo:hi]
+        np.matmul(ahead, back, out=beta[steps[t - 1]:steps[t - 1] + hi - lo])
+    first = steps[1] if len(steps) > 1 else 0
+    size = np.diff(base)
+    before = np.arange(first, len(laid)) - np.repeat(size[:-1], size[1:])
+    moves = alpha[before].T @ emit[first:]
+    alpha *= beta
     emitted = np.zeros((len(chain.emit), states))
     for s in range(states):
-        emitted[:, s] = np.bincount(classes, gamma[:, s], len(chain.emit))
-    return gamma[bounds[:-1][starts]].sum(0), moves * chain.move, emitted
+        emitted[:, s] = np.bincount(laid, alpha[:, s], len(chain.emit))
+    return alpha[:first][starts[order[:first]]].sum(0), moves * chain.move, emitted
 
 
 def _pieces(classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,8 +269,8 @@ def _pieces(classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate([*cuts, bounds[-1:]]), begins
 
 
-def _class_blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for block in X.blocks(column, 2 * BLOCK_TOKENS):
+def _class_blocks(column: pa.Array, tokens: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for block in X.blocks(column, 2 * tokens):
         yield block.data.view(np.uint16).astype(np.int64), block.offsets // 2
 
 
@@ -267,7 +282,7 @@ def _expected(encoded: DataFrame, chain: Chain, v: Vocabulary) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 + states + classes, states))
         for batch in batches:
-            for sequence, bounds in _class_blocks(batch.column(0)):
+            for sequence, bounds in _class_blocks(batch.column(0), BLOCK_TOKENS):
                 cut, begins = _pieces(sequence, bounds)
                 start, move, emit = expected(sequence, cut, begins, shared.value)
                 total += np.concatenate([start[None], move, emit])
@@ -333,7 +348,7 @@ def score(docs: DataFrame, train_if: Column, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, size = [np.zeros(0)], [np.zeros(0, np.int64)]
-            for sequence, bounds in _class_blocks(batch.column(2)):
+            for sequence, bounds in _class_blocks(batch.column(2), SCORE_TOKENS):
                 total.append(forward(sequence, bounds, chain.value))
                 size.append(np.diff(bounds))
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in (0, 1, 3, 4, 5)], pa.array(np.concatenate(size)),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from llm import brute
 from llm.test_operators import ODD, prose, table
 from logloom.llm import alignment, hard_negatives, hidden_markov, language, perfect_hash
+from logloom.llm import text as X
 
 FEW = hidden_markov.Settings(states=3, heads=4, hashed=8, near=32, first_rounds=2, rounds=1)
 
@@ -42,6 +43,26 @@ def test_expected_counts_are_those_of_all_paths(sequences):
         assert np.allclose(got[k], sum(np.array(e[k]) for e in each), rtol=1e-10)
 
 
+def test_steps_stand_together(sequences):
+    lists, flat, bounds = sequences
+    order, base, place = hidden_markov._steps(bounds)
+    assert sorted(place.tolist()) == list(range(len(flat)))
+    for t, (lo, hi) in enumerate(zip(base[:-1], base[1:])):
+        assert flat[place[lo:hi]].tolist() == [lists[k][t] for k in order if len(lists[k]) > t]
+
+
+def test_texts_are_scored_in_few_blocks():
+    """A block takes as many steps as its longest text has tokens, so that small blocks repeat them."""
+    rng = np.random.default_rng(6)
+    c, size = chain(rng, 4, 6), [20_000, *[500] * 900, 0, 20_000]
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    column = X.binary_rows(rng.integers(0, 6, bounds[-1]).astype(np.uint16), bounds)
+    blocks = list(hidden_markov._class_blocks(column, hidden_markov.SCORE_TOKENS))
+    assert len(blocks) == 1
+    parts = [hidden_markov.forward(*b, c) for b in hidden_markov._class_blocks(column, hidden_markov.BLOCK_TOKENS)]
+    assert len(parts) > 3 and np.allclose(hidden_markov.forward(*blocks[0], c), np.concatenate(parts), rtol=1e-12)
+
+
 def test_long_texts_never_run_out_of_scale():
     c = chain(np.random.default_rng(3), 4, 6)
     n = 30_000
